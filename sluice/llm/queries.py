@@ -1,0 +1,63 @@
+"""Driver queries of this subpackage: thin wrappers with production parameters."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..deploy import ship
+from . import lm_scoring, token_counts, topk_search, toxicity, url_filter, warc
+from .common import crc_mod, read
+
+URL_RULES = ["allow org/", "block example.org/es/", "block example.org/en/1", "allow com/fr/", "block com/de/"]
+TOKEN_MODEL = "piece_bpe_32k.model"
+
+
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_pages(read(spark, sf_dir, "pages"), min_revisit_bytes=0)
+
+
+def op2_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk_search.top_k(read(spark, sf_dir, "embeddings"), k=20, query_mod=20, scale=64.0)
+
+
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge_urls(read(spark, sf_dir, "pages"), URL_RULES)
+
+
+def op4_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.score_documents(read(spark, sf_dir, "documents"), crc_mod(F.col("doc_id"), 7) != 2)
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    train = crc_mod(F.col("doc_id"), 5) != 0
+    out = toxicity.score_toxicity(docs, read(spark, sf_dir, "labels"), train)
+    return out.select("doc_id", (crc_mod(F.col("doc_id"), 5) == 0).alias("held_out"), "score", "predicted")
+
+
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return token_counts.count_tokens(read(spark, sf_dir, "documents"), str(public_tokenizers.path(TOKEN_MODEL)), limit=4096)
+
+
+def _shipped(f):
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return f(ship(spark), sf_dir)
+
+    return query
+
+
+QUERIES = {
+    "op1_warc": op1_warc,
+    "op2_topk": op2_topk,
+    "op3_url_filter": op3_url_filter,
+    "op4_lm_score": op4_lm_score,
+    "op9_toxicity": op9_toxicity,
+    "op10_token_counts": op10_token_counts,
+}
+
+QUERIES = {name: _shipped(f) for name, f in QUERIES.items()}
+
+ORACLE_SQL: dict[str, str] = {}
