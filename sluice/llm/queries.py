@@ -6,10 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..deploy import ship
-from . import lm_scoring, token_counts, topk_search, toxicity, url_filter, warc
+from . import decontaminate, lm_scoring, mixing, token_counts, topk_search, toxicity, url_filter, warc
 from .common import crc_mod, read
 
 URL_RULES = ["allow org/", "block example.org/es/", "block example.org/en/1", "allow com/fr/", "block com/de/"]
+#: target token shares of the quality labels' domains
+MIX_WEIGHTS = {1: 0.97, 0: 0.03}
 TOKEN_MODEL = "piece_bpe_32k.model"
 
 
@@ -29,6 +31,14 @@ def op4_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scoring.score_documents(read(spark, sf_dir, "documents"), crc_mod(F.col("doc_id"), 7) != 2)
 
 
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"), MIX_WEIGHTS, label="quality")
+
+
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     train = crc_mod(F.col("doc_id"), 5) != 0
@@ -54,6 +64,8 @@ QUERIES = {
     "op2_topk": op2_topk,
     "op3_url_filter": op3_url_filter,
     "op4_lm_score": op4_lm_score,
+    "op7_mixing": op7_mixing,
+    "op8_decontaminate": op8_decontaminate,
     "op9_toxicity": op9_toxicity,
     "op10_token_counts": op10_token_counts,
 }
