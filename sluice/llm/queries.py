@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..deploy import ship
-from . import decontaminate, lm_scoring, mixing, token_counts, topk_search, toxicity, url_filter, warc
+from . import decontaminate, lm_scoring, mixing, near_duplicates, substring_dedup, token_counts, topk_search, toxicity, url_filter, warc
 from .common import crc_mod, read
 
 URL_RULES = ["allow org/", "block example.org/es/", "block example.org/en/1", "allow com/fr/", "block com/de/"]
@@ -31,6 +31,16 @@ def op4_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scoring.score_documents(read(spark, sf_dir, "documents"), crc_mod(F.col("doc_id"), 7) != 2)
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.remove_repeats(read(spark, sf_dir, "documents"), length=400)
+
+
+def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per document: its class (least doc_id of the linked documents) and number of links."""
+    out = near_duplicates.near_duplicates(read(spark, sf_dir, "documents"), threshold=0.8, words=5)
+    return out.select("doc_id", "class_id", "n_links")
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"), MIX_WEIGHTS, label="quality")
 
@@ -64,6 +74,8 @@ QUERIES = {
     "op2_topk": op2_topk,
     "op3_url_filter": op3_url_filter,
     "op4_lm_score": op4_lm_score,
+    "op5_substring_dedup": op5_substring_dedup,
+    "op6_near_duplicates": op6_near_duplicates,
     "op7_mixing": op7_mixing,
     "op8_decontaminate": op8_decontaminate,
     "op9_toxicity": op9_toxicity,
@@ -72,4 +84,30 @@ QUERIES = {
 
 QUERIES = {name: _shipped(f) for name, f in QUERIES.items()}
 
-ORACLE_SQL: dict[str, str] = {}
+_ALPHABET = warc.BASE32
+# base32 of the 160 bits of a SHA-1, five at a time
+_BASE32_SQL = f"""
+array_to_string(list_transform(range(0, 32), lambda i: substr('{_ALPHABET}', 1 + cast(
+    16 * cast(substr(bits, 5 * i + 1, 1) AS INT) + 8 * cast(substr(bits, 5 * i + 2, 1) AS INT) + 4 * cast(substr(bits, 5 * i + 3, 1) AS INT)
+    + 2 * cast(substr(bits, 5 * i + 4, 1) AS INT) + cast(substr(bits, 5 * i + 5, 1) AS INT) AS INT), 1)), '')"""
+
+ORACLE_SQL: dict[str, str] = {
+    "op1_warc": f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
+h AS (SELECT page_id, octet_length(encode(body)) AS payload_bytes, sha1(body) AS hex, max(page_id) OVER (PARTITION BY body) AS top FROM p),
+b AS (SELECT *, array_to_string(list_transform(range(1, 41), lambda j: substr(
+    '0000000100100011010001010110011110001001101010111100110111101111', 4 * (strpos('0123456789abcdef', substr(hex, j, 1)) - 1) + 1, 4)), '') AS bits FROM h)
+SELECT page_id, cast(payload_bytes AS BIGINT) AS payload_bytes, {_BASE32_SQL} AS payload_digest,
+    CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type,
+    CASE WHEN page_id = top THEN NULL ELSE top END AS refers_to
+FROM b""",
+    "op2_topk": """
+WITH v AS (
+    SELECT vec_id, list_transform(embedding, lambda x: floor(64 * cast(x AS DOUBLE))) AS e FROM embeddings
+    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+    SELECT q.vec_id AS query_id, c.vec_id, cast(list_inner_product(q.e, c.e) AS BIGINT) AS score
+    FROM v q, v c WHERE q.vec_id % 20 = 0 AND c.vec_id <> q.vec_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+SELECT query_id, cast(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 20""",
+}
