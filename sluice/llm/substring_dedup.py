@@ -51,7 +51,7 @@ def parse(text: bytes, length: int = LENGTH, modulus: int = MODULUS):
     """(hash, index, lo, hi) of the phrases of a text, and of its windows with under two triggers.
 
     Phrase i runs from trigger i to the end of trigger i + 1. A window whose whole
-    phrases are a run a..b lies within (lo of a, hi of b). Windows have index -1 - start.
+    phrases are a run a..b lies within (lo of a, hi of b). Windows have negative indexes.
     """
     data = np.frombuffer(text, np.uint8)
     n = len(data)
@@ -66,15 +66,30 @@ def parse(text: bytes, length: int = LENGTH, modulus: int = MODULUS):
     first = np.searchsorted(t, windows)
     last = np.searchsorted(t, windows + length - TRIGGER_BYTES, side="right") - 1
     bare = windows[last - first < 1]
+    if not len(bare):
+        return h, np.arange(len(start)), lo, hi
+    # a stretch of such windows is one region; its distinct hashes stand for it, once
+    # more (under an index of its own) where the text itself repeats them
     wh = mix(_ONE.spans(prefix, bare, bare + length) ^ np.uint64(0xA5A5A5A5))
-    index = np.concatenate([np.arange(len(start)), -1 - bare])
-    return np.concatenate([h, wh]), index, np.concatenate([lo, bare]), np.concatenate([hi, bare + length])
+    uniq, inv, count = np.unique(wh, return_inverse=True, return_counts=True)
+    head = np.flatnonzero(np.r_[True, bare[1:] != bare[:-1] + 1])
+    tail = np.append(head[1:], len(bare)) - 1
+    run = np.cumsum(np.r_[False, bare[1:] != bare[:-1] + 1])
+    pair = np.unique(run * np.int64(len(uniq)) + inv)
+    pr, pu = pair // len(uniq), pair % len(uniq)
+    twin = count[pu] > 1
+    pr, pu = np.concatenate([pr, pr[twin]]), np.concatenate([pu, pu[twin]])
+    index = -1 - bare[head[pr]]
+    index[len(pair) :] -= 1 << 30
+    return (np.concatenate([h, uniq[pu]]), np.concatenate([np.arange(len(start)), index]), np.concatenate([lo, bare[head[pr]]]), np.concatenate([hi, bare[tail[pr]] + length]))
 
 
 def classes_of(text: bytes, regions: list[tuple[int, int]], length: int = LENGTH, modulus: int = MODULUS):
     """Window classes within the regions: rows (run hash x2, class hash x2, first, last window start).
 
-    Windows with under two triggers come as classes of one with run hash 0, 0.
+    Windows with under two triggers come as classes of one with run hash 0, 0; where the
+    text itself repeats such a window, one row stands for it, and the stretches of such
+    windows, repeated for certain, have run hash 0, 1.
     """
     data = np.frombuffer(text, np.uint8)
     p1, p2 = _ONE.prefix(data), _TWO.prefix(data)
@@ -100,7 +115,23 @@ def classes_of(text: bytes, regions: list[tuple[int, int]], length: int = LENGTH
     for hasher, pre in ((_ONE, p1), (_TWO, p2)):
         shape = ((ti - a) * 4096 + (b - a)).astype(np.uint64)
         out.append(mix(hasher.spans(pre, a, b + length) ^ shape).view(np.int64))
-    return [*out, a, b]
+    cols = [*out, a, b]
+    at = np.flatnonzero(lone)
+    if len(at) < 2:
+        return cols
+    both = np.stack([out[2][at], out[3][at]], 1)
+    _, first, inv, count = np.unique(both, axis=0, return_index=True, return_inverse=True, return_counts=True)
+    again = at[count[inv.reshape(-1)] > 1]
+    if not len(again):
+        return cols
+    drop = np.zeros(len(a), bool)
+    drop[at] = True
+    drop[at[first]] = False
+    head = np.flatnonzero(np.r_[True, a[again][1:] != a[again][:-1] + 1])
+    tail = np.append(head[1:], len(again)) - 1
+    zero = np.zeros(len(head), np.int64)
+    sure = [zero, zero + 1, zero, zero, a[again][head], a[again][tail]]
+    return [np.concatenate([c[~drop], x]) for c, x in zip(cols, sure)]
 
 
 def window_hashes(text: bytes, spans: list[tuple[int, int]], length: int = LENGTH):
@@ -191,37 +222,39 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, modulus: int = MODULUS
 
     def phrases(batches):
         for b in batches:
-            got: list[list[np.ndarray]] = [[] for _ in range(6)]
+            got: list[list[np.ndarray]] = [[] for _ in range(5)]
             size = 0
-            for x1, x2, t in zip(b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(2).to_pylist()):
+            for x1, t in zip(b.column(0).to_numpy(), b.column(1).to_pylist()):
                 h, index, lo, hi = parse(t, length, modulus)
-                for c, v in zip(got, (h.view(np.int64), np.full(len(h), x1), np.full(len(h), x2), index, lo, hi)):
+                for c, v in zip(got, (h.view(np.int64), np.full(len(h), x1), index, lo, hi)):
                     c.append(v)
                 size += len(h)
                 if size > 1 << 18:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(np.int64 if k < 3 else np.int32)) for k, c in enumerate(got)], names=names)
-                    got, size = [[] for _ in range(6)], 0
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(np.int64 if k < 2 else np.int32)) for k, c in enumerate(got)], names=names)
+                    got, size = [[] for _ in range(5)], 0
             if size:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(np.int64 if k < 3 else np.int32)) for k, c in enumerate(got)], names=names)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(np.int64 if k < 2 else np.int32)) for k, c in enumerate(got)], names=names)
 
-    names = ["h", "x1", "x2", "i", "lo", "hi"]
-    found = src.where(F.octet_length("t") >= length).select("x1", "x2", "t").mapInArrow(phrases, "h long, x1 long, x2 long, i int, lo int, hi int")
+    # half of a text's identity will do here: were it shared by two texts, both would get
+    # the regions of both, and regions are only where to look
+    names = ["h", "x1", "i", "lo", "hi"]
+    found = src.where(F.octet_length("t") >= length).select("x1", "t").mapInArrow(phrases, "h long, x1 long, i int, lo int, hi int")
     # copies of a text give the same occurrence id, so they do not make a phrase repeated
-    common_h = _twice(found.select("h", F.xxhash64("x1", "x2", "i").alias("id")), ["h"]).select("h")
-    kept = found.join(common_h, "h", "left_semi").groupBy("x1", "x2", "i").agg(F.min("lo").alias("lo"), F.min("hi").alias("hi"))
+    common_h = _twice(found.select("h", F.xxhash64("x1", "i").alias("id")), ["h"]).select("h")
+    kept = found.join(common_h, "h", "left_semi").groupBy("x1", "i").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
     # runs of repeated phrases: index less rank is constant along a run
-    w = Window.partitionBy("x1", "x2").orderBy("i")
+    w = Window.partitionBy("x1").orderBy("i")
     runs = kept.withColumn("run", F.when(F.col("i") < 0, F.col("i")).otherwise(F.col("i") - F.row_number().over(w) + F.lit(1 << 30)))
-    runs = runs.groupBy("x1", "x2", "run").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where(F.col("hi") - F.col("lo") >= length)
-    regions = runs.groupBy("x1", "x2").agg(F.collect_list(F.struct("lo", "hi")).alias("regions"))
-    wanted = regions.join(texts, ["x1", "x2"]).select(F.col("x1").alias("w1"), F.col("x2").alias("w2"), "first", "copies", "regions")
+    runs = runs.groupBy("x1", "run").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where(F.col("hi") - F.col("lo") >= length)
+    regions = runs.groupBy("x1").agg(F.collect_list(F.struct("lo", "hi")).alias("regions"))
+    wanted = regions.join(texts, "x1").select(F.col("x1").alias("w1"), F.col("x2").alias("w2"), "first", "copies", "regions")
     fetched = src.join(wanted, (src.x1 == F.col("w1")) & (src.x2 == F.col("w2")) & src.doc_id.eqNullSafe(F.col("first")))
     touched = common.written(fetched.select(F.monotonically_increasing_id().alias("uid"), "x1", "x2", "first", "copies", "regions", "t"), "pfp-touched")
 
     def to_classes(batches):
         for b in batches:
             for uid, regs, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
-                cols = classes_of(t, [(r["lo"], r["hi"]) for r in regs], length, modulus)
+                cols = classes_of(t, [(r["lo"], min(r["hi"], len(t))) for r in regs], length, modulus)
                 if len(cols[0]):
                     arrays = [pa.array(c) for c in cols[:4]] + [pa.array(np.full(len(cols[0]), uid, np.int64))] + [pa.array(c.astype(np.int32)) for c in cols[4:]]
                     yield pa.RecordBatch.from_arrays(arrays, names=["k1", "k2", "f1", "f2", "uid", "a", "b"])
@@ -229,13 +262,14 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, modulus: int = MODULUS
     every = touched.select("uid", "regions", "t").mapInArrow(to_classes, "k1 long, k2 long, f1 long, f2 long, uid long, a int, b int")
     every = common.written(every, "pfp-classes")
     marked = every.withColumn("id", F.xxhash64("uid", "a"))
-    runs_only = marked.where("k1 <> 0 or k2 <> 0")
+    runs_only = marked.where("k1 <> 0 or k2 not in (0, 1)")
     kinds = runs_only.groupBy("k1", "k2", "f1", "f2").agg(F.min("id").alias("lo_id"), F.max("id").alias("hi_id"))
     whole = kinds.where("lo_id <> hi_id")
     # runs that stand between different outer phrases, at least one of them alone
     edge = kinds.groupBy("k1", "k2").agg(F.count("*").alias("c"), F.max((F.col("lo_id") == F.col("hi_id")).cast("int")).alias("alone")).where("c > 1 and alone = 1")
     edge_kinds = kinds.join(edge.select("k1", "k2"), ["k1", "k2"], "left_semi").select("f1", "f2", F.col("lo_id").alias("id"))
     single = marked.where("k1 = 0 and k2 = 0")
+    certain = marked.where("k1 = 0 and k2 = 1").select("uid", F.col("a").alias("s"), (F.col("b") + length).alias("e"))
     repeated_single = _twice(single, ["f1", "f2"]).select("f1", "f2")
     direct = single.join(repeated_single, ["f1", "f2"], "left_semi").select("uid", F.col("a").alias("s"), (F.col("b") + length).alias("e"))
     by_class = runs_only.join(whole.select("f1", "f2"), ["f1", "f2"], "left_semi").select("uid", F.col("a").alias("s"), (F.col("b") + length).alias("e"))
@@ -251,7 +285,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, modulus: int = MODULUS
     windows = touched.join(look, "uid").select("uid", "look", "t").mapInArrow(to_windows, "h1 long, h2 long, uid long, p int")
     windows = common.written(windows, "pfp-windows").withColumn("id", F.xxhash64("uid", "p"))
     by_window = windows.join(_twice(windows, ["h1", "h2"]).select("h1", "h2"), ["h1", "h2"], "left_semi").select("uid", F.col("p").alias("s"), (F.col("p") + length).alias("e"))
-    spans = by_class.union(direct).union(by_window).groupBy("uid").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
+    spans = by_class.union(direct).union(certain).union(by_window).groupBy("uid").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
     return src, rows, texts, touched.join(spans, "uid")
 
 
