@@ -59,6 +59,19 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def hash_sample(df: DataFrame, key, most: int, n: int | None = None) -> DataFrame:
+    """At most ``most`` rows of ``df``, those with the least hashes of ``key`` columns.
+
+    Rows are first thinned to about ``most`` in each task by a threshold on the hash, so
+    that the final ordering sees a bounded number of rows however many tasks there are.
+    """
+    n = df.count() if n is None else n
+    h = F.xxhash64(*key)
+    if n > 2 * most:
+        df = df.where(F.pmod(h, F.lit(1 << 30)) < int((1 << 30) * 1.2 * most / n) + 1)
+    return df.orderBy(F.pmod(h, F.lit(1 << 30)), *key).limit(most)
+
+
 def crc_mod(col, modulus: int):
     """crc32 of the decimal text modulo; a null id counts as the empty text (crc32 0)."""
     return F.pmod(F.crc32(F.coalesce(col.cast("string"), F.lit("")).cast("binary")), F.lit(modulus))

@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import common
+
 #: Most labelled rows of a class the network is fitted on (least hashes), and their most bytes.
 MAX_TRAIN, MAX_TRAIN_BYTES = 2000, 16_000
 WINDOW, STRIDE = 48, 32
@@ -284,15 +286,14 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, train: Column, label: st
     lab = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg((F.max(label) > 0).cast("int").alias("y"))
     src = docs.where(train).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     src = src.where(F.octet_length("text") <= most_bytes)
-    order = F.xxhash64("doc_id")
     # the ids are chosen first, so that only their texts move
     rows = src.select("doc_id").join(lab, "doc_id")
-    chosen = None
+    sizes = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    picked: dict[int, int] = {}
     for k in (0, 1):
-        part = rows.where(F.col("y") == k).orderBy(order, "doc_id").limit(most)
-        chosen = part if chosen is None else chosen.union(part)
-    picked = {d: y for d, y in chosen.collect()}
-    got = src.where(F.col("doc_id").isin(list(picked))).orderBy(order, "doc_id", "text").collect() if picked else []
+        if sizes.get(k):
+            picked |= {r[0]: k for r in common.hash_sample(rows.where(F.col("y") == k).select("doc_id"), ["doc_id"], most, sizes[k]).collect()}
+    got = src.where(F.col("doc_id").isin(list(picked))).orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(2 * most).collect() if picked else []
     return [r["text"] for r in got], [picked[r["doc_id"]] for r in got]
 
 

@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import common
+
 ALPHABET = 256
 #: Most labelled URLs of a class the models are fitted on (the least hashes of all).
 MAX_TRAIN = 4000
@@ -153,8 +155,8 @@ def judge_urls(pages: DataFrame, rules: list[str], order: int = ORDER, max_train
     base = base.withColumns({"rule": rule, "said": verdict})
 
     def sample(kind: str) -> list[str]:
-        rows = base.where(F.col("said") == kind).select("url").distinct().orderBy(F.xxhash64("url"), "url").limit(max_train).collect()
-        return [r[0] for r in rows]
+        rows = base.where(F.col("said") == kind).select("url").distinct()
+        return [r[0] for r in common.hash_sample(rows, ["url"], max_train).collect()]
 
     model = spark.sparkContext.broadcast(fit_filter(sample("allow"), sample("block"), order))
 
