@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from .plans import dc_queries, monitor_queries
+
+QUERIES: dict = {**monitor_queries.Q, **dc_queries.Q}
+ORACLE_SQL: dict[str, str] = {**monitor_queries.SQL, **dc_queries.SQL}
