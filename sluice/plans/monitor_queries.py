@@ -21,12 +21,12 @@ def _ntz(df):
     return df.withColumns({c: F.col(c).cast("timestamp_ntz") for c, t in df.dtypes if t == "timestamp"})
 
 
-def daily(name: str, checks: dict, sql: str, post=None):
-    """Register a daily check per event type: measure columns and their SQL list."""
+def daily(name: str, checks, sql: str, post=None):
+    """Register a daily check per event type: measure columns (made when run) and their SQL list."""
 
     def run(spark, d):
         m = Monitor("ts", tumbling("1 day"), "event_type")
-        for k, v in checks.items():
+        for k, v in checks().items():
             measure, must = v if isinstance(v, tuple) else (v, None)
             m.check(measure, must, k)
         out = _ntz(m.run(events(spark, d)))
@@ -38,35 +38,35 @@ def daily(name: str, checks: dict, sql: str, post=None):
 
 daily(
     "measures_tumbling",
-    {"n": (M.count(), ">= 1"), "lo": M.min("value"), "hi": M.max("value"), "total": F.round(M.sum("value"), 2), "avg": (M.mean("value", 6), "[0, 1000]"), "mid": M.median("value"), "kinds": M.distinct_count("user_id"), "up": M.availability()},
+    lambda: {"n": (M.count(), ">= 1"), "lo": M.min("value"), "hi": M.max("value"), "total": F.round(M.sum("value"), 2), "avg": (M.mean("value", 6), "[0, 1000]"), "mid": M.median("value"), "kinds": M.distinct_count("user_id"), "up": M.availability()},
     "count(*) AS n, count(*) >= 1 AS n_ok, min(value) AS lo, max(value) AS hi, round(sum(value), 2) AS total, round(avg(value), 6) AS avg, coalesce(round(avg(value), 6) BETWEEN 0 AND 1000, false) AS avg_ok, median(value) AS mid, count(DISTINCT user_id) + max(cast(user_id IS NULL AS INT)) AS kinds, count(*) > 0 AS up",
 )
-daily("assess_compare", {"n": (M.count(), "> 2"), "total": (F.round(M.sum("value"), 2), "< 500")}, "count(*) AS n, count(*) > 2 AS n_ok, round(sum(value), 2) AS total, coalesce(round(sum(value), 2) < 500, false) AS total_ok")
-daily("assess_interval", {"avg": (M.mean("value", 6), "(5, 20]"), "n": (M.count(), "[1, 10)"), "m": (M.count_non_null("value"), "not in [1, 2]")}, "round(avg(value), 6) AS avg, coalesce(round(avg(value), 6) > 5 AND round(avg(value), 6) <= 20, false) AS avg_ok, count(*) AS n, count(*) >= 1 AND count(*) < 10 AS n_ok, count(value) AS m, count(value) NOT IN (1, 2) AS m_ok")
-daily("measure_lengths", {"a": M.min_length("props"), "b": M.max_length("props"), "c": M.mean_length("props"), "d": M.median_length("props")}, "min(length(props)) AS a, max(length(props)) AS b, round(avg(length(props)), 3) AS c, median(length(props)) AS d")
+daily("assess_compare", lambda: {"n": (M.count(), "> 2"), "total": (F.round(M.sum("value"), 2), "< 500")}, "count(*) AS n, count(*) > 2 AS n_ok, round(sum(value), 2) AS total, coalesce(round(sum(value), 2) < 500, false) AS total_ok")
+daily("assess_interval", lambda: {"avg": (M.mean("value", 6), "(5, 20]"), "n": (M.count(), "[1, 10)"), "m": (M.count_non_null("value"), "not in [1, 2]")}, "round(avg(value), 6) AS avg, coalesce(round(avg(value), 6) > 5 AND round(avg(value), 6) <= 20, false) AS avg_ok, count(*) AS n, count(*) >= 1 AND count(*) < 10 AS n_ok, count(value) AS m, count(value) NOT IN (1, 2) AS m_ok")
+daily("measure_lengths", lambda: {"a": M.min_length("props"), "b": M.max_length("props"), "c": M.mean_length("props"), "d": M.median_length("props")}, "min(length(props)) AS a, max(length(props)) AS b, round(avg(length(props)), 3) AS c, median(length(props)) AS d")
 _INT = "length(cast(cast(floor(abs(value)) AS BIGINT) AS VARCHAR))"
 _FR = "rtrim(split_part(cast(cast(abs(value) AS DECIMAL(38,10)) AS VARCHAR), '.', 2), '0')"
 _FRAC = f"length(cast(cast(CASE WHEN {_FR} = '' THEN '0' ELSE {_FR} END AS HUGEINT) AS VARCHAR))"
 daily(
     "measure_digits",
-    {"a": M.min_integer_part_length("value"), "b": M.max_integer_part_length("value"), "c": M.mean_integer_part_length("value"), "d": M.median_integer_part_length("value"), "e": M.min_fractional_part_length("value"), "f": M.max_fractional_part_length("value"), "g": M.mean_fractional_part_length("value"), "h": M.median_fractional_part_length("value")},
+    lambda: {"a": M.min_integer_part_length("value"), "b": M.max_integer_part_length("value"), "c": M.mean_integer_part_length("value"), "d": M.median_integer_part_length("value"), "e": M.min_fractional_part_length("value"), "f": M.max_fractional_part_length("value"), "g": M.mean_fractional_part_length("value"), "h": M.median_fractional_part_length("value")},
     f"min({_INT}) AS a, max({_INT}) AS b, round(avg({_INT}), 3) AS c, median({_INT}) AS d, min({_FRAC}) AS e, max({_FRAC}) AS f, round(avg({_FRAC}), 3) AS g, median({_FRAC}) AS h",
 )
 _MISS = "value IS NULL OR cast(value AS VARCHAR) = '' OR value IN (6.55, 12.31)"
-daily("measure_missing", {"a": M.missing_count("value", [6.55, 12.31]), "b": M.missing_fraction("value", [6.55, 12.31])}, f"count_if({_MISS}) AS a, round(count_if({_MISS}) / count(*), 3) AS b")
-daily("measure_conformance", {"a": M.range_conformance_count("value", 5, 20), "b": M.range_conformance_fraction("value", 5, 20, (True, False)), "c": M.set_conformance_count("user_id", [1, 2, 3]), "d": M.set_conformance_fraction("user_id", [1, 2, 3])}, "count_if(value BETWEEN 5 AND 20) AS a, round(count_if(value >= 5 AND value < 20) / count(*), 3) AS b, count_if(user_id IN (1,2,3)) AS c, round(count_if(user_id IN (1,2,3)) / count(*), 3) AS d")
-daily("measure_regex", {"a": M.regex_conformance_count("props", r"\{\"k\": [1-4]"), "b": M.regex_conformance_fraction("props", r"\{\"k\": [1-4]")}, r"""count_if(regexp_matches(props, '^(?:\{"k": [1-4])')) AS a, round(count_if(regexp_matches(props, '^(?:\{"k": [1-4])')) / count(*), 3) AS b""")
-daily("measure_percentiles", {"p": M.percentiles("value", precision=6)}, "round(quantile_cont(value, 0.25), 6) AS p25, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.75), 6) AS p75", lambda df: df.select("window_start", "window_end", "event_type", *(F.col("p")[float(k)].alias(f"p{k}") for k in (25, 50, 75))))
-daily("measure_first_digit", {"m": M.first_digit_frequencies("value")}, ", ".join(f"cast(count_if(substr(cast(cast(abs(value) AS DECIMAL(38,10)) AS VARCHAR), 1, 1) = '{i}') AS DOUBLE) AS d{i}" for i in range(10)), lambda df: df.select("window_start", "window_end", "event_type", *(F.col("m")[i][0].alias(f"d{i}") for i in range(10))))
-daily("measure_is_frozen", {"a": M.is_frozen("value"), "b": M.is_frozen("event_type")}, "min(coalesce(cast(value AS VARCHAR), 'null')) = max(coalesce(cast(value AS VARCHAR), 'null')) AS a, true AS b")
-daily("measure_ordering", {"a": M.satisfies_ordering("event_id", "ts"), "b": M.satisfies_ordering("event_id", "ts", "DESC")}, "list(event_id ORDER BY ts, event_id) = list_sort(list(event_id)) AS a, list(event_id ORDER BY ts, event_id) = list_reverse_sort(list(event_id)) AS b")
-daily("measure_variance", {"v": F.round(F.var_pop("value"), 2), "s": M.std_dev("value", 2), "compat": M.std_dev("value", 2, compat=True)}, "round(var_pop(value), 2) AS v, round(stddev_pop(value), 2) AS s, round(var_pop(value), 2) AS compat")
-daily("measure_distinct", {"a": M.distinct_count("user_id"), "b": M.distinct_fraction("user_id"), "c": M.distinct_placeholder_count("user_id", [1, 2, 7]), "d": M.distinct_placeholder_fraction("user_id", [1, 2, 7]), "e": M.duplicate_count("user_id")}, "count(DISTINCT user_id) AS a, round(count(DISTINCT user_id) / count(*), 3) AS b, count(DISTINCT CASE WHEN user_id IN (1,2,7) THEN user_id END) AS c, round(count(DISTINCT CASE WHEN user_id IN (1,2,7) THEN user_id END) / count(*), 3) AS d, count(user_id) - count(DISTINCT user_id) AS e")
-daily("measure_arithmetic", {"m": M.missing_count("value") + M.missing_count("user_id"), "gap": F.round(M.max("value") - M.min("value"), 4)}, "count_if(value IS NULL) + count_if(user_id IS NULL) AS m, round(max(value) - min(value), 4) AS gap")
-daily("measure_tuples", {"a": M.tuple_sorted("user_id"), "b": M.tuple_sorted_by_time("ts", "event_id"), "w": M.window_duration()}, "list_sort(list(user_id)) AS a, list(event_id ORDER BY ts, event_id) AS b, 86400.0 AS w", lambda df: df.select("window_start", "window_end", "event_type", F.concat_ws(",", "a").alias("a"), F.concat_ws(",", "b").alias("b"), "w"))
+daily("measure_missing", lambda: {"a": M.missing_count("value", [6.55, 12.31]), "b": M.missing_fraction("value", [6.55, 12.31])}, f"count_if({_MISS}) AS a, round(count_if({_MISS}) / count(*), 3) AS b")
+daily("measure_conformance", lambda: {"a": M.range_conformance_count("value", 5, 20), "b": M.range_conformance_fraction("value", 5, 20, (True, False)), "c": M.set_conformance_count("user_id", [1, 2, 3]), "d": M.set_conformance_fraction("user_id", [1, 2, 3])}, "count_if(value BETWEEN 5 AND 20) AS a, round(count_if(value >= 5 AND value < 20) / count(*), 3) AS b, count_if(user_id IN (1,2,3)) AS c, round(count_if(user_id IN (1,2,3)) / count(*), 3) AS d")
+daily("measure_regex", lambda: {"a": M.regex_conformance_count("props", r"\{\"k\": [1-4]"), "b": M.regex_conformance_fraction("props", r"\{\"k\": [1-4]")}, r"""count_if(regexp_matches(props, '^(?:\{"k": [1-4])')) AS a, round(count_if(regexp_matches(props, '^(?:\{"k": [1-4])')) / count(*), 3) AS b""")
+daily("measure_percentiles", lambda: {"p": M.percentiles("value", precision=6)}, "round(quantile_cont(value, 0.25), 6) AS p25, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.75), 6) AS p75", lambda df: df.select("window_start", "window_end", "event_type", *(F.col("p")[float(k)].alias(f"p{k}") for k in (25, 50, 75))))
+daily("measure_first_digit", lambda: {"m": M.first_digit_frequencies("value")}, ", ".join(f"cast(count_if(substr(cast(cast(abs(value) AS DECIMAL(38,10)) AS VARCHAR), 1, 1) = '{i}') AS DOUBLE) AS d{i}" for i in range(10)), lambda df: df.select("window_start", "window_end", "event_type", *(F.col("m")[i][0].alias(f"d{i}") for i in range(10))))
+daily("measure_is_frozen", lambda: {"a": M.is_frozen("value"), "b": M.is_frozen("event_type")}, "min(coalesce(cast(value AS VARCHAR), 'null')) = max(coalesce(cast(value AS VARCHAR), 'null')) AS a, true AS b")
+daily("measure_ordering", lambda: {"a": M.satisfies_ordering("event_id", "ts"), "b": M.satisfies_ordering("event_id", "ts", "DESC")}, "list(event_id ORDER BY ts, event_id) = list_sort(list(event_id)) AS a, list(event_id ORDER BY ts, event_id) = list_reverse_sort(list(event_id)) AS b")
+daily("measure_variance", lambda: {"v": F.round(F.var_pop("value"), 2), "s": M.std_dev("value", 2), "compat": M.std_dev("value", 2, compat=True)}, "round(var_pop(value), 2) AS v, round(stddev_pop(value), 2) AS s, round(var_pop(value), 2) AS compat")
+daily("measure_distinct", lambda: {"a": M.distinct_count("user_id"), "b": M.distinct_fraction("user_id"), "c": M.distinct_placeholder_count("user_id", [1, 2, 7]), "d": M.distinct_placeholder_fraction("user_id", [1, 2, 7]), "e": M.duplicate_count("user_id")}, "count(DISTINCT user_id) AS a, round(count(DISTINCT user_id) / count(*), 3) AS b, count(DISTINCT CASE WHEN user_id IN (1,2,7) THEN user_id END) AS c, round(count(DISTINCT CASE WHEN user_id IN (1,2,7) THEN user_id END) / count(*), 3) AS d, count(user_id) - count(DISTINCT user_id) AS e")
+daily("measure_arithmetic", lambda: {"m": M.missing_count("value") + M.missing_count("user_id"), "gap": F.round(M.max("value") - M.min("value"), 4)}, "count_if(value IS NULL) + count_if(user_id IS NULL) AS m, round(max(value) - min(value), 4) AS gap")
+daily("measure_tuples", lambda: {"a": M.tuple_sorted("user_id"), "b": M.tuple_sorted_by_time("ts", "event_id"), "w": M.window_duration()}, "list_sort(list(user_id)) AS a, list(event_id ORDER BY ts, event_id) AS b, 86400.0 AS w", lambda df: df.select("window_start", "window_end", "event_type", F.concat_ws(",", "a").alias("a"), F.concat_ws(",", "b").alias("b"), "w"))
 SQL["measure_tuples"] = f"SELECT {DAY}, event_type, array_to_string(list_sort(list(user_id)), ',') AS a, array_to_string(list(event_id ORDER BY ts, event_id), ',') AS b, cast(86400 AS DOUBLE) AS w FROM events GROUP BY ALL"
-daily("measure_trend", {"t": M.trend("value", F.unix_timestamp(F.col("ts").cast("timestamp")) / 3600, 2)}, "coalesce(round(regr_slope(value, floor(epoch(ts)) / 3600), 2), 0) AS t")
-daily("measure_corr_pearson", {"r": M.correlation("value", "user_id", 2)}, "CASE WHEN stddev_pop(value) = 0 OR stddev_pop(user_id) = 0 OR count(*) < 2 THEN NULL ELSE round(corr(value, user_id), 2) + 0.0 END AS r")
+daily("measure_trend", lambda: {"t": M.trend("value", F.unix_timestamp(F.col("ts").cast("timestamp")) / 3600, 2)}, "coalesce(round(regr_slope(value, floor(epoch(ts)) / 3600), 2), 0) AS t")
+daily("measure_corr_pearson", lambda: {"r": M.correlation("value", "user_id", 2)}, "CASE WHEN stddev_pop(value) = 0 OR stddev_pop(user_id) = 0 OR count(*) < 2 THEN NULL ELSE round(corr(value, user_id), 2) + 0.0 END AS r")
 
 
 def _weekly(name, measure, sql):
@@ -134,13 +134,13 @@ Q["measure_above_mean"] = _above
 SQL["measure_above_mean"] = f"WITH e AS (SELECT {DAY}, event_type, value FROM events), m AS (SELECT *, avg(value) OVER (PARTITION BY window_start, event_type) AS mean FROM e) SELECT window_start, window_end, event_type, count_if(value > mean) AS a, round(count_if(value > mean) / count(*), 3) AS f FROM m GROUP BY ALL"
 Q["measure_approx"] = lambda spark, d: _ntz(Monitor("ts", tumbling("1 day"), "event_type").check(M.distinct_count_approx("user_id"), None, "a").check(M.distinct_fraction_approx("user_id"), None, "f").check(M.most_frequent_approx("user_id"), None, "k").run(events(spark, d)))
 
-_BASIC = {"n": M.count(), "lo": M.min("value"), "hi": M.max("value"), "mid": M.median("value")}
+_BASIC = lambda: {"n": M.count(), "lo": M.min("value"), "hi": M.max("value"), "mid": M.median("value")}
 
 
 def _kind(window, instance):
     def run(spark, d):
         m = Monitor("ts", window, instance)
-        for k, v in _BASIC.items():
+        for k, v in _BASIC().items():
             m.check(v, None, k)
         return _ntz(m.run(events(spark, d)))
 
