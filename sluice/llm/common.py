@@ -41,8 +41,35 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     """Write to the shared folder and read back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
     path = fresh_path(spark, tag)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
+    # shuffle files of the finished job are only freed once the driver's JVM collects
+    spark.sparkContext._jvm.System.gc()
+    out = spark.read.schema(df.schema).parquet(path)
+    out._sluice_path = path
+    return out
+
+
+def discard(*dfs: DataFrame) -> None:
+    """Delete tables of ``written`` that nothing will read again."""
+    for df in dfs:
+        remove_path(df.sparkSession, df._sluice_path)
+
+
+#: Words of 64 bits in the filter of ``thinned``: its broadcast side has at most so many rows.
+FILTER_WORDS = 1 << 20
+
+
+def thinned(df: DataFrame, hash_col: str, wanted: DataFrame, wanted_col: str) -> DataFrame:
+    """Rows of ``df`` whose 64-bit hash may be among the wanted ones (a one-probe bit filter).
+
+    Spares most of a shuffle that an exact join needs afterwards. The filter has a fixed
+    size, so beyond some hundred million wanted rows it merely lets more through.
+    """
+    word = lambda c: F.shiftrightunsigned(c, 6).bitwiseAND(FILTER_WORDS - 1)
+    bit = lambda c: F.expr(f"shiftleft(1L, cast({c} & 63 AS INT))")
+    bits = wanted.select(word(F.col(wanted_col)).alias("_word"), bit(wanted_col).alias("_bit")).groupBy("_word").agg(F.bit_or("_bit").alias("_bits"))
+    out = df.withColumn("_word", word(F.col(hash_col))).join(F.broadcast(bits), "_word")
+    return out.where(F.col("_bits").bitwiseAND(bit(hash_col)) != 0).drop("_word", "_bits")
 
 
 def remove_path(spark: SparkSession, path: str) -> None:
@@ -89,6 +116,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
     e = written(e, "cc")
     state = None
     for _ in range(max_rounds):
+        last = e
         both = e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
@@ -102,6 +130,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
             .distinct(),
             "cc",
         )
+        discard(last)
         now = e.agg(F.count("*"), F.expr("bit_xor(xxhash64(a, b))")).first()
         if tuple(now) == state:
             break

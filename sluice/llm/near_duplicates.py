@@ -212,6 +212,7 @@ def near_duplicates(
         "uid", "doc_id", "x1", "x2", "n", lone.alias("rep"), F.coalesce("w", F.lit(1)).alias("w"), F.when(F.col("uid") == F.col("rep"), F.col("keys")).alias("keys")
     )
     members = common.written(members, "nd-members")
+    common.discard(sigs)
     reps = members.where("uid = rep and n > 0")
     band = reps.select("uid", F.explode("keys").alias("key"))
     hubs = band.groupBy("key").agg(F.min("uid").alias("hub"), F.count("*").alias("c")).where("c > 1").select("key", "hub")
@@ -252,7 +253,8 @@ def _verified(docs: DataFrame, reps: DataFrame, groups: DataFrame, threshold: fl
     placed = placed.withColumn("at", F.when(t.isNull(), pack).otherwise(grid)).drop("root", "tiles", "n")
     src = docs.select(F.col("doc_id").cast("long").alias("d"), *text_keys(F.col("text")), F.col("text").cast("string").alias("text"))
     p = placed.select("uid", F.col("doc_id").alias("pd"), F.col("x1").alias("p1"), F.col("x2").alias("p2"), "w", "keys", "at")
-    joined = src.join(p, (src.x1 == p.p1) & (src.x2 == p.p2) & src.d.eqNullSafe(p.pd)).select("uid", "w", "keys", "at", "text")
+    near = common.thinned(src, "x1", wanted.select(F.col("x1").alias("p1")), "p1")
+    joined = near.join(p, (F.col("x1") == F.col("p1")) & (F.col("x2") == F.col("p2")) & F.col("d").eqNullSafe(F.col("pd"))).select("uid", "w", "keys", "at", "text")
 
     def to_sets(batches):
         for b in batches:

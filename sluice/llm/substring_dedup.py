@@ -85,11 +85,13 @@ def parse(text: bytes, length: int = LENGTH, modulus: int = MODULUS):
 
 
 def classes_of(text: bytes, regions: list[tuple[int, int]], length: int = LENGTH, modulus: int = MODULUS):
-    """Window classes within the regions: rows (run hash x2, class hash x2, first, last window start).
+    """Window classes within the regions: rows (kind, run hash, class hash, first, last window start).
 
-    Windows with under two triggers come as classes of one with run hash 0, 0; where the
-    text itself repeats such a window, one row stands for it, and the stretches of such
-    windows, repeated for certain, have run hash 0, 1.
+    The run hash is of the whole phrases and the class hash, by another base, of all the
+    windows' bytes; a class is known by both. Kind 0 are such classes. Kind 1 are single
+    windows with under two triggers, with two hashes of the window; where the text itself
+    repeats one, a single row stands for it, and the stretches of those windows, repeated
+    for certain, are kind 2.
     """
     data = np.frombuffer(text, np.uint8)
     p1, p2 = _ONE.prefix(data), _TWO.prefix(data)
@@ -97,7 +99,7 @@ def classes_of(text: bytes, regions: list[tuple[int, int]], length: int = LENGTH
     starts = [np.arange(a, b - length + 1) for a, b in regions if b - a >= length]
     p = np.unique(np.concatenate(starts)) if starts else np.empty(0, np.int64)
     if not len(p):
-        return [np.empty(0, np.int64)] * 6
+        return [np.empty(0, np.int64)] * 5
     i = np.searchsorted(t, p)
     j = np.searchsorted(t, p + length - TRIGGER_BYTES, side="right") - 1
     bare = j - i < 1
@@ -109,17 +111,14 @@ def classes_of(text: bytes, regions: list[tuple[int, int]], length: int = LENGTH
     ti = t[np.minimum(i[head], len(t) - 1)] if len(t) else np.zeros(len(head), np.int64)
     tj = t[np.maximum(j[head], 0)] + TRIGGER_BYTES if len(t) else np.zeros(len(head), np.int64)
     ti, tj = np.where(lone, a, ti), np.where(lone, b + length, tj)
-    out = []
-    for hasher, pre in ((_ONE, p1), (_TWO, p2)):
-        out.append(np.where(lone, np.uint64(0), hasher.spans(pre, ti, tj)).view(np.int64))
-    for hasher, pre in ((_ONE, p1), (_TWO, p2)):
-        shape = ((ti - a) * 4096 + (b - a)).astype(np.uint64)
-        out.append(mix(hasher.spans(pre, a, b + length) ^ shape).view(np.int64))
-    cols = [*out, a, b]
+    shape = np.where(lone, 0, (ti - a) * 4096 + (b - a)).astype(np.uint64)
+    run = _ONE.spans(p1, ti, tj).view(np.int64)
+    whole = mix(_TWO.spans(p2, a, b + length) ^ shape).view(np.int64)
+    cols = [lone.astype(np.int64), run, whole, a, b]
     at = np.flatnonzero(lone)
     if len(at) < 2:
         return cols
-    both = np.stack([out[2][at], out[3][at]], 1)
+    both = np.stack([run[at], whole[at]], 1)
     _, first, inv, count = np.unique(both, axis=0, return_index=True, return_inverse=True, return_counts=True)
     again = at[count[inv.reshape(-1)] > 1]
     if not len(again):
@@ -130,7 +129,7 @@ def classes_of(text: bytes, regions: list[tuple[int, int]], length: int = LENGTH
     head = np.flatnonzero(np.r_[True, a[again][1:] != a[again][:-1] + 1])
     tail = np.append(head[1:], len(again)) - 1
     zero = np.zeros(len(head), np.int64)
-    sure = [zero, zero + 1, zero, zero, a[again][head], a[again][tail]]
+    sure = [zero + 2, zero, zero, a[again][head], a[again][tail]]
     return [np.concatenate([c[~drop], x]) for c, x in zip(cols, sure)]
 
 
@@ -248,7 +247,9 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, modulus: int = MODULUS
     runs = runs.groupBy("x1", "run").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where(F.col("hi") - F.col("lo") >= length)
     regions = runs.groupBy("x1").agg(F.collect_list(F.struct("lo", "hi")).alias("regions"))
     wanted = regions.join(texts, "x1").select(F.col("x1").alias("w1"), F.col("x2").alias("w2"), "first", "copies", "regions")
-    fetched = src.join(wanted, (src.x1 == F.col("w1")) & (src.x2 == F.col("w2")) & src.doc_id.eqNullSafe(F.col("first")))
+    wanted = common.written(wanted, "pfp-wanted")
+    near = common.thinned(src, "x1", wanted, "w1")
+    fetched = near.join(wanted, (F.col("x1") == F.col("w1")) & (F.col("x2") == F.col("w2")) & F.col("doc_id").eqNullSafe(F.col("first")))
     touched = common.written(fetched.select(F.monotonically_increasing_id().alias("uid"), "x1", "x2", "first", "copies", "regions", "t"), "pfp-touched")
 
     def to_classes(batches):
@@ -256,25 +257,24 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, modulus: int = MODULUS
             for uid, regs, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
                 cols = classes_of(t, [(r["lo"], min(r["hi"], len(t))) for r in regs], length, modulus)
                 if len(cols[0]):
-                    arrays = [pa.array(c) for c in cols[:4]] + [pa.array(np.full(len(cols[0]), uid, np.int64))] + [pa.array(c.astype(np.int32)) for c in cols[4:]]
-                    yield pa.RecordBatch.from_arrays(arrays, names=["k1", "k2", "f1", "f2", "uid", "a", "b"])
+                    arrays = [pa.array(cols[0].astype(np.int32)), pa.array(cols[1]), pa.array(cols[2]), pa.array(np.full(len(cols[0]), uid, np.int64))]
+                    yield pa.RecordBatch.from_arrays(arrays + [pa.array(c.astype(np.int32)) for c in cols[3:]], names=["kind", "k", "f", "uid", "a", "b"])
 
-    every = touched.select("uid", "regions", "t").mapInArrow(to_classes, "k1 long, k2 long, f1 long, f2 long, uid long, a int, b int")
+    every = touched.select("uid", "regions", "t").mapInArrow(to_classes, "kind int, k long, f long, uid long, a int, b int")
     every = common.written(every, "pfp-classes")
     marked = every.withColumn("id", F.xxhash64("uid", "a"))
-    runs_only = marked.where("k1 <> 0 or k2 not in (0, 1)")
-    kinds = runs_only.groupBy("k1", "k2", "f1", "f2").agg(F.min("id").alias("lo_id"), F.max("id").alias("hi_id"))
-    whole = kinds.where("lo_id <> hi_id")
+    span = (F.col("a").alias("s"), (F.col("b") + length).alias("e"))
+    runs_only = marked.where("kind = 0")
+    kinds = common.written(runs_only.groupBy("k", "f").agg(F.min("id").alias("id"), (F.min("id") != F.max("id")).alias("twice")), "pfp-kinds")
+    by_class = runs_only.join(kinds.where("twice").select("k", "f"), ["k", "f"], "left_semi").select("uid", *span)
     # runs that stand between different outer phrases, at least one of them alone
-    edge = kinds.groupBy("k1", "k2").agg(F.count("*").alias("c"), F.max((F.col("lo_id") == F.col("hi_id")).cast("int")).alias("alone")).where("c > 1 and alone = 1")
-    edge_kinds = kinds.join(edge.select("k1", "k2"), ["k1", "k2"], "left_semi").select("f1", "f2", F.col("lo_id").alias("id"))
-    single = marked.where("k1 = 0 and k2 = 0")
-    certain = marked.where("k1 = 0 and k2 = 1").select("uid", F.col("a").alias("s"), (F.col("b") + length).alias("e"))
-    repeated_single = _twice(single, ["f1", "f2"]).select("f1", "f2")
-    direct = single.join(repeated_single, ["f1", "f2"], "left_semi").select("uid", F.col("a").alias("s"), (F.col("b") + length).alias("e"))
-    by_class = runs_only.join(whole.select("f1", "f2"), ["f1", "f2"], "left_semi").select("uid", F.col("a").alias("s"), (F.col("b") + length).alias("e"))
+    edge = kinds.groupBy("k").agg(F.count("*").alias("c"), F.bool_or(~F.col("twice")).alias("alone")).where("c > 1 and alone")
+    edge_kinds = kinds.join(edge.select("k"), "k", "left_semi").select("id")
+    certain = marked.where("kind = 2").select("uid", *span)
+    single = marked.where("kind = 1")
+    direct = single.join(_twice(single, ["k", "f"]).select("k", "f"), ["k", "f"], "left_semi").select("uid", *span)
     # one occurrence of each edge class is compared window by window
-    look = runs_only.join(edge_kinds, ["f1", "f2", "id"], "left_semi").groupBy("uid").agg(F.collect_list(F.struct("a", "b")).alias("look"))
+    look = runs_only.select("id", "uid", "a", "b").join(edge_kinds, "id", "left_semi").groupBy("uid").agg(F.collect_list(F.struct("a", "b")).alias("look"))
 
     def to_windows(batches):
         for b in batches:
@@ -283,9 +283,16 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, modulus: int = MODULUS
                 yield pa.RecordBatch.from_arrays([pa.array(h1), pa.array(h2), pa.array(np.full(len(p), uid, np.int64)), pa.array(p.astype(np.int32))], names=["h1", "h2", "uid", "p"])
 
     windows = touched.join(look, "uid").select("uid", "look", "t").mapInArrow(to_windows, "h1 long, h2 long, uid long, p int")
-    windows = common.written(windows, "pfp-windows").withColumn("id", F.xxhash64("uid", "p"))
+    stored = common.written(windows, "pfp-windows")
+    windows = stored.withColumn("id", F.xxhash64("uid", "p"))
     by_window = windows.join(_twice(windows, ["h1", "h2"]).select("h1", "h2"), ["h1", "h2"], "left_semi").select("uid", F.col("p").alias("s"), (F.col("p") + length).alias("e"))
-    spans = by_class.union(direct).union(certain).union(by_window).groupBy("uid").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
+    # one kind after the other, so that the shuffle files of only one are there at a time
+    gathered = []
+    for part, spent in ((by_window, [stored]), (by_class.union(direct).union(certain), [every, kinds])):
+        gathered.append(common.written(part.groupBy("uid").agg(F.collect_list(F.struct("s", "e")).alias("spans")), "pfp-spans"))
+        common.discard(*spent)
+    common.discard(wanted)
+    spans = gathered[0].union(gathered[1]).groupBy("uid").agg(F.flatten(F.collect_list("spans")).alias("spans"))
     return src, rows, texts, touched.join(spans, "uid")
 
 
