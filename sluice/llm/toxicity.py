@@ -12,7 +12,6 @@ from __future__ import annotations
 import math
 import re
 import uuid
-from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -160,36 +159,42 @@ def _window_rows(ids: np.ndarray, pad: int) -> tuple[np.ndarray, np.ndarray]:
 
 def train_network(texts: list[str], labels: list[int], epochs: int = 4, batch: int = 48, rate: float = 0.01, seed: int = 7) -> Network:
     """Fit on whole texts; a text's loss is that of its highest window."""
-    tokens = [words_of(t) for t in texts]
+    # words are held as numbers: the sample's texts as lists of strings would weigh on the driver
+    number: dict[str, int] = {}
+    tokens = [np.fromiter((number.setdefault(w, len(number)) for w in words_of(t)), np.int32) for t in texts]
+    names = list(number)
+    del number
     y = np.array(labels, np.float32)
     n1, n0 = float(y.sum()), float(len(y) - y.sum())
-    df1, df0 = Counter(), Counter()
+    df1, df0 = np.zeros(len(names), np.int64), np.zeros(len(names), np.int64)
     for ws, lab in zip(tokens, labels):
-        (df1 if lab else df0).update(set(ws))
+        (df1 if lab else df0)[np.unique(ws)] += 1
     total = df1 + df0
-    vocab = {w: i for i, w in enumerate(sorted(w for w, c in total.most_common(VOCAB) if c >= 4), 2)}
+    often = np.argsort(-total, kind="stable")[:VOCAB]
+    chosen = sorted((names[i], int(i)) for i in often if total[i] >= 4)
+    vocab = {w: i for i, (w, _) in enumerate(chosen, 2)}
     net = Network(vocab, seed)
     if not n1 or not n0:
         net.constant = n1 / max(len(y), 1)
         return net
     # the first dimension starts as the smoothed log-odds of documents that hold the word
-    for w, i in vocab.items():
-        odds = math.log((df1[w] + 1) / (n1 + 2)) - math.log((df0[w] + 1) / (n0 + 2))
-        net.p["word"][i, 0] = np.clip(odds, -4, 4) / 4 * min(1.0, total[w] / 12)
+    for i, (_, k) in enumerate(chosen, 2):
+        odds = math.log((df1[k] + 1) / (n1 + 2)) - math.log((df0[k] + 1) / (n0 + 2))
+        net.p["word"][i, 0] = np.clip(odds, -4, 4) / 4 * min(1.0, total[k] / 12)
     net.p["word"][0] = 0
     moment = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in net.p.items()}
     r, step = np.random.default_rng(seed), 0
     for _ in range(epochs):
         order = r.permutation(len(tokens))
         for lo in range(0, len(order), batch):
-            docs = [i for i in order[lo : lo + batch] if tokens[i]]
+            docs = [i for i in order[lo : lo + batch] if len(tokens[i])]
             if not docs:
                 continue
-            distinct = sorted({w for i in docs for w in tokens[i]})
-            place = {w: k for k, w in enumerate(distinct)}
+            used = np.unique(np.concatenate([tokens[i] for i in docs]))
+            distinct = [names[k] for k in used]
             x = np.concatenate([net.inputs(distinct), np.zeros((1, WORD_DIM + CHAR_DIM), np.float32)])
             pad = len(distinct)
-            got = [_window_rows(np.fromiter((place[w] for w in tokens[i]), np.int64, len(tokens[i])), pad) for i in docs]
+            got = [_window_rows(np.searchsorted(used, tokens[i]), pad) for i in docs]
             idx, mask = np.concatenate([a for a, _ in got]), np.concatenate([m for _, m in got])
             size = [len(a) for a, _ in got]
             gate = net.gates(x)
