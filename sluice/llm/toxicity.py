@@ -10,6 +10,7 @@ scoring. The input half of the gates is computed once per distinct word.
 from __future__ import annotations
 
 import math
+import pickle
 import re
 import uuid
 
@@ -159,7 +160,7 @@ def _window_rows(ids: np.ndarray, pad: int) -> tuple[np.ndarray, np.ndarray]:
 
 def train_network(texts: list[str], labels: list[int], epochs: int = 4, batch: int = 48, rate: float = 0.01, seed: int = 7) -> Network:
     """Fit on whole texts; a text's loss is that of its highest window."""
-    # words are held as numbers: the sample's texts as lists of strings would weigh on the driver
+    # words are held as numbers: the sample's texts as lists of strings would weigh on the task
     number: dict[str, int] = {}
     tokens = [np.fromiter((number.setdefault(w, len(number)) for w in words_of(t)), np.int32) for t in texts]
     names = list(number)
@@ -286,20 +287,40 @@ class Scorer:
 _SCORERS: dict[str, Scorer] = {}
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, train: Column, label: str = "toxic", most: int = MAX_TRAIN, most_bytes: int = MAX_TRAIN_BYTES):
-    """At most ``most`` (text, label) rows of each class: those with the least id hashes."""
+def labelled_sample(docs: DataFrame, labels: DataFrame, train: Column, label: str = "toxic", most: int = MAX_TRAIN, most_bytes: int = MAX_TRAIN_BYTES) -> DataFrame | None:
+    """At most ``most`` (text, y) rows of each class, those with the least id hashes, in one partition; None if there are none."""
     lab = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg((F.max(label) > 0).cast("int").alias("y"))
     src = docs.where(train).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     src = src.where(F.octet_length("text") <= most_bytes)
     # the ids are chosen first, so that only their texts move
     rows = src.select("doc_id").join(lab, "doc_id")
     sizes = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
-    picked: dict[int, int] = {}
+    picked: dict[int, list[int]] = {0: [], 1: []}
     for k in (0, 1):
         if sizes.get(k):
-            picked |= {r[0]: k for r in common.hash_sample(rows.where(F.col("y") == k).select("doc_id"), ["doc_id"], most, sizes[k]).collect()}
-    got = src.where(F.col("doc_id").isin(list(picked))).orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(2 * most).collect() if picked else []
-    return [r["text"] for r in got], [picked[r["doc_id"]] for r in got]
+            picked[k] = [r[0] for r in common.hash_sample(rows.where(F.col("y") == k).select("doc_id"), ["doc_id"], most, sizes[k]).collect()]
+    if not picked[0] + picked[1]:
+        return None
+    got = src.where(F.col("doc_id").isin(picked[0] + picked[1])).withColumn("y", F.col("doc_id").isin(picked[1]).cast("int"))
+    return got.orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(2 * most).select("text", "y")
+
+
+def fit_network(sample: DataFrame | None) -> Network:
+    """Fit in one task, so that the sample's texts never reach the driver; only the network does."""
+    if sample is None:
+        return train_network([], [])
+
+    def run(batches):
+        texts: list[str] = []
+        labels: list[int] = []
+        for b in batches:
+            texts += b.column(0).to_pylist()
+            labels += b.column(1).to_pylist()
+        if texts:
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(train_network(texts, labels))], pa.binary())], names=["net"])
+
+    got = sample.mapInArrow(run, "net binary").collect()
+    return pickle.loads(bytes(got[0]["net"])) if got else train_network([], [])
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, train: Column, label: str = "toxic", max_train: int = MAX_TRAIN, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -310,7 +331,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, train: Column, label: str
     scored one by one. A document's label is the highest given. Scoring is narrow; the
     broadcast network has a fixed bound (VOCAB words, TRIGRAMS buckets).
     """
-    net = train_network(*labelled_sample(docs, labels, train, label, max_train))
+    net = fit_network(labelled_sample(docs, labels, train, label, max_train))
     shared, key = docs.sparkSession.sparkContext.broadcast(net), uuid.uuid4().hex
     extra = [c for c in keep if c not in ("doc_id", "score", "predicted", "text")]
 
