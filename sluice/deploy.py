@@ -8,12 +8,20 @@ import zipfile
 
 from pyspark.sql import SparkSession
 
+#: Most bytes of rows that go to a Python worker at once: bounds a task's Arrow buffers and the worker's copy of them.
+BATCH = ("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
+
 
 def ship(spark: SparkSession) -> SparkSession:
-    """Add a zip of the package to the job, once per context, so that workers import it."""
+    """Add a zip of the package to the job, once per context, so that workers import it.
+
+    Also lowers the session's Arrow batches to BATCH, unless the cluster sets a limit of its own.
+    """
     context = spark.sparkContext
     if getattr(context, "_sluice_shipped", False):
         return spark
+    if context.getConf().get(BATCH[0]) is None:
+        spark.conf.set(*BATCH)
     root = os.path.dirname(os.path.abspath(__file__))
     target = os.path.join(tempfile.mkdtemp(prefix="sluice-"), "sluice_package.zip")
     with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
