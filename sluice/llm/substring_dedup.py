@@ -329,10 +329,12 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, modulus: int = MODULUS
             )
 
     schema = "x1 long, x2 long, removed long, spans long, left_sha string, kept string"
-    cut_texts = found.where("copies = 1").select("x1", "x2", "spans", "t").mapInArrow(finish, schema)
+    cut_texts = found.where("copies = 1").select("x1", "x2", "spans", "t").mapInArrow(finish, schema).withColumn("twice", F.lit(False))
+    # a text that occurs twice goes whole, any other as cut: one row per text to join, so that
+    # both sides come straight from a shuffle and AQE can split the rows of a hot text
     twice = texts.where("copies > 1").select("x1", "x2", F.lit(True).alias("twice"))
-    out = rows.join(twice, ["x1", "x2"], "left").join(cut_texts, ["x1", "x2"], "left")
-    whole = F.col("twice").isNotNull() & (F.col("n_bytes") >= length)
+    out = rows.join(cut_texts.unionByName(twice, allowMissingColumns=True), ["x1", "x2"], "left")
+    whole = F.coalesce("twice", F.lit(False)) & (F.col("n_bytes") >= length)
     return out.select(
         "doc_id", "n_bytes",
         F.when(whole, F.col("n_bytes")).otherwise(F.coalesce("removed", F.lit(0))).cast("long").alias("n_removed"),
