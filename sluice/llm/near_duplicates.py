@@ -206,13 +206,16 @@ def near_duplicates(
     """
     bands = bands_for(threshold, rows, recall)
     sigs = common.written(signatures(docs, bands, rows, words), "nd-signatures")
+    # Classes and groups of one row need no join. The others' rows are stored first, so that both
+    # sides of the join come straight from a shuffle and AQE can split the rows of a hot one.
     classes = sigs.where("n > 0").groupBy("f1", "f2", "n").agg(F.min("uid").alias("rep"), F.count("*").alias("w"))
+    classes = common.written(classes.where("w > 1"), "nd-classes")
     lone = F.coalesce(F.col("rep"), F.col("uid"))
     members = sigs.join(classes, ["f1", "f2", "n"], "left").select(
-        "uid", "doc_id", "x1", "x2", "n", lone.alias("rep"), F.coalesce("w", F.lit(1)).alias("w"), F.when(F.col("uid") == F.col("rep"), F.col("keys")).alias("keys")
+        "uid", "doc_id", "x1", "x2", "n", lone.alias("rep"), F.coalesce("w", F.lit(1)).alias("w"), F.when((F.col("uid") == lone) & (F.col("n") > 0), F.col("keys")).alias("keys")
     )
     members = common.written(members, "nd-members")
-    common.discard(sigs)
+    common.discard(sigs, classes)
     reps = members.where("uid = rep and n > 0")
     band = reps.select("uid", F.explode("keys").alias("key"))
     hubs = band.groupBy("key").agg(F.min("uid").alias("hub"), F.count("*").alias("c")).where("c > 1").select("key", "hub")
@@ -226,9 +229,8 @@ def near_duplicates(
     info = info.select("uid", "doc_id", "x1", "x2", F.coalesce("root", "rep").alias("root"), (F.coalesce("links", F.lit(0)) + F.col("w") - 1).alias("n_links"))
     info = common.written(info, "nd-links")
     first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "uid")).alias("first")
-    # only classes with more than one row need the join
     several = info.groupBy("root").agg(first, F.count("*").alias("c")).where("c > 1").select("root", F.col("first.doc_id").alias("class_id"), F.col("first.uid").alias("first_uid"))
-    out = info.join(several, "root", "left")
+    out = info.join(common.written(several, "nd-several"), "root", "left")
     one = F.col("first_uid").isNull()
     return out.select("doc_id", F.when(one, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), "n_links", (one | (F.col("uid") == F.col("first_uid"))).alias("keep"), "x1", "x2")
 
