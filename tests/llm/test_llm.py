@@ -113,6 +113,15 @@ def test_decontamination(spark):
     assert decontaminate.lcs_length(list("abcde"), list("axcxe")) == 3
 
 
+def test_decontamination_of_an_item_in_a_third_of_the_rows(spark):
+    item = "the quick purple walrus measured seventeen copper kettles. then it sang about distant rivers"
+    text = lambda i: " ".join(f"w{(i * 31 + j * 7) % 997}" for j in range(120))
+    docs = [(i, f"{text(i)} {item} {text(i + 1)}" if i % 3 == 0 else text(i)) for i in range(96)]
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    got = {r["doc_id"] for r in decontaminate.find_contamination(spark.createDataFrame(docs, "doc_id long, text string"), bench).collect()}
+    assert got == set(range(0, 96, 3))
+
+
 def test_mixing_meets_targets(spark):
     docs = [(i, "plain words here. " * (3 + i % 5)) if i % 3 else (i, "JUNK*** THING$$$ MORE### " * (3 + i % 5)) for i in range(120)]
     df = spark.createDataFrame([*docs, (None, None)], "doc_id long, text string")
