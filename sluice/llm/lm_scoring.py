@@ -1,19 +1,28 @@
-"""Language-model scoring with a weighted backoff automaton.
-
-Counts come from the whole training part of the corpus. Words whose share of all
-tokens reaches ``min_word_share`` (so at most 1/share of them) and n-grams whose share
-reaches ``min_ngram_share`` are broadcast as an automaton: contexts are states, a kept
-n-gram is an arc with its discounted log-probability, and a failure arc leads to the
-context without its first word with the backoff weight as its cost. A text is read
-once, left to right. The lowest order is the add-one unigram; words outside the
-broadcast set always end there, so their counts are joined in afterwards.
+"""Language-model scoring with weighted backoff.
+
+Counts come from the whole training part of the corpus: every word, and every n-gram
+that occurs at least LEAST times, however large the corpus. A kept n-gram has its
+discounted probability; another costs the backoff weight of its context and is scored
+without its first word; the lowest order is the add-one unigram. ``Automaton`` states
+this as arcs and failure arcs over a table in memory.
+
+Here its score is taken as a sum over n-grams, so that no task holds the model. With
+bo(h) the log backoff weight of h (0 if nothing kept follows it), the score of a text is
+that of its unigrams, plus for each kept n-gram g = h w its gain, log p(g) - bo(h) -
+log p(g without its first word), plus bo(g). An n-gram that does not end in the end
+token is the context of one token, and no end token is a context. Each term belongs to one
+n-gram, and the terms meet the texts in one join; frequent words and n-grams are a
+broadcast cache, which changes no score.
+
+Words are told apart by 64-bit hashes, n-grams in counting by a pair of them and in
+joins by one: among 10^9 keys a chance of some 3 % that any two are one.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections import Counter
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +34,7 @@ from . import common
 END = b""  # no word is empty, so this is the end token
 CHUNK = 1 << 20  # characters handled at once by a worker
 FLUSH = 400_000  # distinct words a worker counts before it sends them on
+LEAST = 2  # an n-gram seen so often is kept
 
 
 def tokens(text: str | None) -> list[bytes]:
@@ -45,18 +55,60 @@ def _chunks(texts: list):
         yield start, len(texts)
 
 
+class _Hashes(dict):
+    """word -> 64-bit hash, filled as words are met."""
+
+    def __missing__(self, word: bytes) -> int:
+        h = self[word] = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little", signed=True)
+        return h
+
+
+_HASHES = _Hashes()
+
+
+def _hashed(texts: list) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the tokens of all texts, the ends included, and each token's text."""
+    if len(_HASHES) > FLUSH:
+        _HASHES.clear()
+    flat: list[int] = []
+    sizes, end = [], _HASHES[END]
+    for t in texts:
+        before = len(flat)
+        flat += map(_HASHES.__getitem__, tokens(t))
+        flat.append(end)
+        sizes.append(len(flat) - before)
+    return np.array(flat, np.int64), np.repeat(np.arange(len(texts)), sizes)
+
+
+_P1, _P2, _P3, _P4, _P5 = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+
+
+def _rotl(x: np.ndarray, k: int) -> np.ndarray:
+    return (x << np.uint64(k)) | (x >> np.uint64(64 - k))
+
+
+def chained(prefix: np.ndarray, suffix: np.ndarray) -> np.ndarray:
+    """Spark's xxhash64(prefix, suffix): the key of the n-gram with these two (n-1)-grams."""
+    h = np.full(len(prefix), 42, np.uint64)
+    for x in (prefix, suffix):
+        h = (h + _P5 + np.uint64(8)) ^ (_rotl(x.view(np.uint64) * _P2, 31) * _P1)
+        h = _rotl(h, 27) * _P1 + _P4
+        h = (h ^ (h >> np.uint64(33))) * _P2
+        h = (h ^ (h >> np.uint64(29))) * _P3
+        h ^= h >> np.uint64(32)
+    return h.view(np.int64)
+
+
 def word_counts(docs: DataFrame) -> DataFrame:
-    """(word, train, total): counts in training rows and in all rows; the end is ''."""
+    """(key, train, total): counts in training rows and in all rows by a word's hash."""
 
     def run(batches):
         def out(train, rest):
             for kind, c in ((True, train), (False, rest)):
                 if c:
                     n = pa.array(c.values(), pa.int64())
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(c.keys(), pa.binary()).cast(pa.string()), n if kind else pa.array(np.zeros(len(c), np.int64)), n],
-                        names=["word", "train", "total"],
-                    )
+                    keys = pa.array([_Hashes()[w] for w in c], pa.int64())
+                    yield pa.RecordBatch.from_arrays([keys, n if kind else pa.array(np.zeros(len(c), np.int64)), n], names=["key", "train", "total"])
 
         train, rest = Counter(), Counter()
         for b in batches:
@@ -70,91 +122,88 @@ def word_counts(docs: DataFrame) -> DataFrame:
                     rest.clear()
         yield from out(train, rest)
 
-    part = docs.select("train", "text").mapInArrow(run, "word string, train long, total long")
-    return part.groupBy("word").agg(F.sum("train").alias("train"), F.sum("total").alias("total"))
-
-
-class _Ids(dict):
-    """word -> index of a broadcast word list, built once per worker."""
-
+    part = docs.select("train", "text").mapInArrow(run, "key long, train long, total long")
+    return part.groupBy("key").agg(F.sum("train").alias("train"), F.sum("total").alias("total"))
 
-_CACHE: dict[str, object] = {}
 
+def key_filter(keys: DataFrame) -> np.ndarray:
+    """A one-probe bit filter of fixed size; one that is full lets more keys through."""
+    word = F.shiftrightunsigned("key", 6).bitwiseAND(common.FILTER_WORDS - 1)
+    got = keys.groupBy(word.alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(key & 63 AS INT))")).alias("bits")).toArrow()
+    out = np.zeros(common.FILTER_WORDS, np.uint64)
+    out[got.column(0).to_numpy()] = got.column(1).to_numpy().view(np.uint64)
+    return out
 
-def _cached(key: str, make):
-    if key not in _CACHE:
-        while len(_CACHE) > 3:
-            _CACHE.pop(next(iter(_CACHE)))
-        _CACHE[key] = make()
-    return _CACHE[key]
 
+def _maybe(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    k = keys.view(np.uint64)
+    word = ((k >> np.uint64(6)) & np.uint64(common.FILTER_WORDS - 1)).astype(np.int64)
+    return (bits[word] >> (k & np.uint64(63))) & np.uint64(1) > 0
 
-def _ngram_ids(ids: np.ndarray, kept: list[np.ndarray], width: int, usable: np.ndarray) -> np.ndarray:
-    """For each position the index of the kept n-gram that starts there (n = len(kept) + 1), else -1."""
-    at = np.where((ids >= 0) & usable[np.maximum(ids, 0)], ids, -1)
-    for n, codes in enumerate(kept, 2):
-        code = _codes(at, ids, n, width)
-        pos = np.searchsorted(codes, code)
-        pos[pos == len(codes)] = 0
-        at = np.full(len(ids), -1, np.int64)
-        hit = (code >= 0) & (codes[pos] == code) if len(codes) else np.zeros(len(code), bool)
-        at[: len(code)][hit] = pos[hit]
-    return at
 
-
-def _codes(at: np.ndarray, ids: np.ndarray, n: int, width: int) -> np.ndarray:
-    """Codes of the n-grams whose two (n-1)-gram parts are both kept, else -1."""
-    m = max(len(ids) - n + 1, 0)
-    ok = (at[:m] >= 0) & (at[1 : m + 1] >= 0)
-    return np.where(ok, at[:m] * width + ids[n - 1 : n - 1 + m], -1)
-
-
-def ngram_counts(docs: DataFrame, words, key: str, usable, kept: list[np.ndarray], n: int) -> DataFrame:
-    """(code, count) of n-grams in training rows whose (n-1)-grams are kept."""
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast((kept, usable))
+def ngram_counts(docs: DataFrame, filters: list[np.ndarray], n: int) -> DataFrame:
+    """(key, prefix, suffix, c) of the n-grams that occur LEAST times in training rows; prefix
+    and suffix are the keys of its (n-1)-grams, which occur as often and so pass the filters."""
+    shared = docs.sparkSession.sparkContext.broadcast(filters)
 
     def run(batches):
-        vocab = words.value
-        index = _cached(key, lambda: {w: i for i, w in enumerate(vocab)})
-        (kept_, usable_), width = shared.value, len(vocab)
-        end = index.get(END, -1)
-        held, size = [], 0
+        held: list[tuple] = []
+        size = 0
 
         def merged():
-            code = np.concatenate([c for c, _ in held])
-            num = np.concatenate([x for _, x in held])
-            u, inv = np.unique(code, return_inverse=True)
-            return u, np.bincount(inv, num, len(u)).astype(np.int64)
+            prefix, suffix, num = (np.concatenate(x) for x in zip(*held))
+            _, first, inv = np.unique(chained(prefix, suffix), return_index=True, return_inverse=True)
+            return prefix[first], suffix[first], np.bincount(inv, num, len(first)).astype(np.int64)
+
+        def out():
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in held[0]], names=["prefix", "suffix", "n"])
 
         for b in batches:
             texts = b.column(0).to_pylist()
             for lo, hi in _chunks(texts):
-                flat: list = []
-                for t in texts[lo:hi]:
-                    flat += map(index.get, tokens(t), repeat(-1))
-                    flat += [end, -1]
-                ids = np.array(flat, np.int64)
-                code = _codes(_ngram_ids(ids, kept_, width, usable_), ids, n, width)
-                u, c = np.unique(code[code >= 0], return_counts=True)
-                held.append((u, c))
-                size += len(u)
-                if size > 1 << 20:
+                ids, doc = _hashed(texts[lo:hi])
+                at, key = np.arange(len(ids)), ids
+                for k in range(2, n):
+                    key, at = _next(key, at, doc, k)
+                    ok = _maybe(shared.value[k - 2], key)
+                    key, at = key[ok], at[ok]
+                pair = _neighbours(at, doc, n)
+                held.append((key[pair], key[pair + 1], np.ones(len(pair), np.int64)))
+                size += len(pair)
+                if size > 2 << 20:
                     held[:] = [merged()]
                     size = len(held[0][0])
                     if size > 1 << 20:
-                        yield pa.RecordBatch.from_arrays([pa.array(held[0][0]), pa.array(held[0][1])], names=["code", "n"])
-                        held, size = [], 0
+                        yield out()
+                        held.clear()
+                        size = 0
         if held:
-            u, c = merged()
-            yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(c)], names=["code", "n"])
+            held[:] = [merged()]
+            yield out()
+
+    part = docs.where("train").select("text").mapInArrow(run, "prefix long, suffix long, n long")
+    kept = part.groupBy("prefix", "suffix").agg(F.sum("n").alias("c")).where(F.col("c") >= LEAST)
+    return kept.select(F.xxhash64("prefix", "suffix").alias("key"), "prefix", "suffix", "c")
+
+
+def _neighbours(at: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
+    """Indices of (n-1)-grams, starting ``at`` these tokens, that form an n-gram with the next one."""
+    if len(at) < 2:
+        return np.zeros(0, np.int64)
+    last = np.minimum(at[:-1] + n - 1, len(doc) - 1)
+    return np.flatnonzero((at[1:] == at[:-1] + 1) & (doc[last] == doc[at[:-1]]))
 
-    part = docs.where("train").select("text").mapInArrow(run, "code long, n long")
-    return part.groupBy("code").agg(F.sum("n").alias("n"))
+
+def _next(key: np.ndarray, at: np.ndarray, doc: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    pair = _neighbours(at, doc, n)
+    return chained(key[pair], key[pair + 1]), at[pair]
 
 
 class Automaton:
-    """States are contexts; ``arcs[state * width + word]`` is (log10 p, next state)."""
+    """The model of one table in memory, which ``score_documents`` is tested against.
+
+    States are contexts; ``arcs[state * width + word]`` is (log10 p, next state).
+    """
 
     def __init__(self, counts: list[int], total: int, vocabulary: int, grams: list[dict[tuple[int, ...], int]], discount: float):
         self.width = len(counts)
@@ -225,6 +274,36 @@ class Automaton:
         return total, base
 
 
+def _terms(spark, counts: DataFrame, levels: list[DataFrame], n: int, v: int, discount: float) -> DataFrame:
+    """(key, n, c, base, score, known): what one occurrence of a word or kept n-gram adds."""
+    unigram = F.log10((F.col("train") + 1) / F.lit(float(n + v + 1)))
+    low = counts.select("key", F.col("train").alias("c"), unigram.alias("base"), unigram.alias("gain"), F.pow(F.lit(10.0), unigram).alias("p"), F.col("total"))
+    out: DataFrame | None = None
+    done: list[DataFrame] = []
+    none = F.lit(None).cast("double")
+    for k, g in enumerate([*levels, None], 1):
+        own = low
+        if g is not None:
+            g = g.join(low.select(F.col("key").alias("suffix"), F.col("p").alias("below")), "suffix")
+            context = g.groupBy("prefix").agg(F.sum(F.col("c") - discount).alias("mass"), F.sum("below").alias("below"))
+            context = context.join(low.select(F.col("key").alias("prefix"), F.col("c").alias("seen")), "prefix")
+            left = lambda x: F.greatest(1 - x, F.lit(1e-9))
+            bo = F.log10(left(F.col("mass") / F.col("seen")) / left(F.col("below")))
+            context = common.written(context.select("prefix", "seen", bo.alias("bo")), "lm-contexts")
+            own = low.join(context.select(F.col("prefix").alias("key"), "bo"), "key", "left")
+            p = (F.col("c") - discount) / F.col("seen")
+            g = g.join(context, "prefix").select("key", "c", none.alias("base"), (F.log10(p) - F.col("bo") - F.log10("below")).alias("gain"), p.alias("p"), F.col("c").alias("total"))
+            low = common.written(g, f"lm-level-{k + 1}")
+            done += [context, low]
+        else:
+            own = low.withColumn("bo", none)
+        one = own.select("key", F.lit(k).alias("n"), F.col("total").alias("c"), F.coalesce("base", F.lit(0.0)).alias("base"), (F.col("gain") + F.coalesce("bo", F.lit(0.0))).alias("score"), (F.col("base").isNotNull() & (F.col("c") > 0)).cast("long").alias("known"))
+        out = one if out is None else out.union(one)
+    terms = common.written(out, "lm-terms")
+    common.discard(*done)
+    return terms
+
+
 def score_documents(
     docs: DataFrame, train: Column, order: int = 3, min_word_share: float = 1e-6, min_ngram_share: float = 1e-5, discount: float = 0.5
 ) -> DataFrame:
@@ -235,82 +314,77 @@ def score_documents(
     token has probability 1. Texts of any length are read whole.
 
     Plan: counting is pre-aggregated in each task, so a hot word is one row per task.
-    Broadcast: at most 1/min_word_share words and 1/min_ngram_share n-grams per order.
-    The words outside it, each rarer than the share, meet their counts in one join; a
-    document's own row takes part under a key of its own and so cannot pile up.
+    Broadcast: a cache of at most 1/min_word_share words and 1/min_ngram_share n-grams per
+    order, and a filter of 8 MB per order. The others, each rarer than the share, meet their
+    terms in one join; a document's own row takes part under a key of its own and so
+    cannot pile up.
     """
     spark = docs.sparkSession
     sc = spark.sparkContext
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.coalesce(train, F.lit(False)).alias("train"))
     counts = common.written(word_counts(src), "lm-words")
     n, v, t = counts.agg(F.coalesce(F.sum("train"), F.lit(0)), F.count_if(F.col("train") > 0), F.coalesce(F.sum("total"), F.lit(0))).first()
-    top = counts.where(F.col("total") >= max(1.0, min_word_share * t)).select("word", "train").orderBy("word").toArrow()
-    vocab = [x.encode() for x in top.column(0).to_pylist()]
-    train_counts = top.column(1).to_pylist()
-    words, key = sc.broadcast(vocab), common.fresh_path(spark, "lm")
-    least = max(2.0, min_ngram_share * n)
-    usable = np.array([c >= least for c in train_counts] or [False])
-    kept, grams = [], []
-    before = {(i,): i for i in range(len(vocab))}  # n-gram -> index
+    levels: list[DataFrame] = []
+    filters: list[np.ndarray] = []
     for k in range(2, order + 1):
-        got = ngram_counts(src, words, key, usable, kept, k).where(F.col("n") >= least).orderBy("code").toArrow()
-        codes = got.column(0).to_numpy()
-        if not len(codes):
+        level = common.written(ngram_counts(src, filters, k), f"lm-{k}-grams")
+        if level.isEmpty():
             break
-        names = {i: g for g, i in before.items()}
-        level = {(*names[c // len(vocab)], c % len(vocab)): m for c, m in zip(codes.tolist(), got.column(1).to_pylist())}
-        kept.append(codes)
-        grams.append(level)
-        before = {g: i for i, g in enumerate(level)}
-    model = sc.broadcast(Automaton(train_counts, n, v, grams, discount))
-    known = sc.broadcast(np.array([c > 0 for c in train_counts] or [False]))
-    names = ["uid", "doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "word", "tf"]
-    types = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.string(), pa.int64()]
+        levels.append(level)
+        filters.append(key_filter(level))
+    terms = _terms(spark, counts, levels, n, v, discount)
+    common.discard(counts, *levels)
+    hot = F.when(F.col("n") == 1, F.col("c") >= max(1.0, min_word_share * t)).otherwise(F.col("c") >= max(float(LEAST), min_ngram_share * n))
+    top = terms.where(hot).select("key", "base", "score", "known").orderBy("key").toArrow()
+    cache = sc.broadcast(tuple(top.column(i).to_numpy() for i in range(4)))
+    bits = sc.broadcast(filters)
 
     def run(batches):
-        index = _cached(key, lambda: {w: i for i, w in enumerate(words.value)})
-        auto, is_known, end = model.value, known.value.tolist(), index.get(END)
+        keys, *weights = cache.value
+
+        def look(key, doc, sums):
+            """Adds the cached terms to the texts' sums; gives the rest of the keys."""
+            if not len(keys):
+                return key, doc
+            pos = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+            hit = keys[pos] == key
+            for s, w in zip(sums, weights):
+                s += np.bincount(doc[hit], w[pos[hit]], len(s))
+            return key[~hit], doc[~hit]
+
         for b in batches:
-            uids, ids_, trains, texts = (c.to_pylist() for c in b.columns)
+            uids, ids_, trains, texts = b.column(0).to_numpy(), b.column(1), b.column(2), b.column(3).to_pylist()
             for lo, hi in _chunks(texts):
-                cols: list[list] = [[] for _ in range(7)]
-                rare_uid: list[int] = []
-                rare_word: list[bytes] = []
-                rare_tf: list[int] = []
-                for i in range(lo, hi):
-                    toks = tokens(texts[i])
-                    ids = list(map(index.get, toks))
-                    rare = Counter(w for w, x in zip(toks, ids) if x is None)
-                    toks_n = len(toks) + 1
-                    if end is None:  # the end itself is below the share: one of the joined words
-                        rare[END] += 1
-                        ids.append(None)
-                    else:
-                        ids.append(end)
-                    score, base = auto.traverse(ids)
-                    n_known = sum(is_known[x] for x in ids if x is not None)
-                    for c, x in zip(cols, (uids[i], ids_[i], not trains[i], toks_n, n_known, base, score)):
-                        c.append(x)
-                    rare_uid += [uids[i]] * len(rare)
-                    rare_word += rare.keys()
-                    rare_tf += rare.values()
-                m, r = len(cols[0]), len(rare_uid)
-                word = pa.concat_arrays([pa.array([f" {u}" for u in cols[0]], pa.string()), pa.array(rare_word, pa.binary()).cast(pa.string())])
-                tf = pa.concat_arrays([pa.nulls(m, pa.int64()), pa.array(rare_tf, pa.int64())])
-                uid = pa.concat_arrays([pa.array(cols[0], pa.int64()), pa.array(rare_uid, pa.int64())])
-                rest = [pa.concat_arrays([pa.array(c, k), pa.nulls(r, k)]) for c, k in zip(cols[1:], types[1:7])]
-                yield pa.RecordBatch.from_arrays([uid, *rest, word, tf], names=names)
-
-    schema = "uid long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, word string, tf long"
+                ids, doc = _hashed(texts[lo:hi])
+                m = hi - lo
+                sums = [np.zeros(m) for _ in range(3)]
+                rest = [look(ids, doc, sums)]
+                at, key = np.arange(len(ids)), ids
+                for k, f in enumerate(bits.value, 2):
+                    key, at = _next(key, at, doc, k)
+                    ok = _maybe(f, key)
+                    key, at = key[ok], at[ok]
+                    rest.append(look(key, doc[at], sums))
+                key, of = (np.concatenate(x) for x in zip(*rest))
+                by = np.lexsort((key, of))
+                key, of = key[by], of[by]
+                first = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (of[1:] != of[:-1])]) if len(key) else np.zeros(0, np.int64)
+                tf = np.diff(np.r_[first, len(key)])
+                own = uids[lo:hi]
+                fields = [ids_.slice(lo, m), pa.array([not x for x in trains.slice(lo, m).to_pylist()]), pa.array(np.bincount(doc, minlength=m)), pa.array(sums[2].astype(np.int64)), pa.array(sums[0]), pa.array(sums[1])]
+                row = pa.StructArray.from_arrays(fields, names=["doc_id", "held_out", "n_tokens", "n_known", "base", "score"])
+                yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(chained(own, own)), pa.nulls(m, pa.int64()), row], names=["uid", "key", "tf", "doc"])
+                for i in range(0, len(first), 1 << 16):
+                    j = first[i : i + (1 << 16)]
+                    yield pa.RecordBatch.from_arrays([pa.array(own[of[j]]), pa.array(key[j]), pa.array(tf[i : i + (1 << 16)]), pa.nulls(len(j), row.type)], names=["uid", "key", "tf", "doc"])
+
+    schema = "uid long, key long, tf long, doc struct<doc_id: long, held_out: boolean, n_tokens: long, n_known: long, base: double, score: double>"
     rows = src.select(F.monotonically_increasing_id().alias("uid"), "doc_id", "train", "text").mapInArrow(run, schema)
-    rare = counts.where(F.col("total") < max(1.0, min_word_share * t)).select("word", F.col("train").alias("c"))
-    term = F.col("tf") * F.log10((F.coalesce("c", F.lit(0)) + 1) / F.lit(float(n + v + 1)))
-    joined = rows.join(rare, "word", "left").select(
-        "uid", "doc_id", "held_out", "n_tokens", F.coalesce("n_known", F.when(F.col("c") > 0, F.col("tf")).otherwise(0)).alias("n_known"),
-        F.coalesce("base_score", term).alias("base_score"), F.coalesce("score", term).alias("score"),
-    )
+    cold = terms.where(~hot).select("key", "base", "score", "known")
+    term = lambda c, own: F.coalesce(F.col(f"doc.{own}"), F.col("tf") * F.col(c), F.lit(0))
+    joined = rows.join(cold, "key", "left").select("uid", "doc", term("known", "n_known").alias("n_known"), term("base", "base").alias("base_score"), term("score", "score").alias("score"))
     out = joined.groupBy("uid").agg(
-        F.max("doc_id").alias("doc_id"), F.max("held_out").alias("held_out"), F.max("n_tokens").alias("n_tokens"), F.sum("n_known").alias("n_known"),
+        F.max("doc.doc_id").alias("doc_id"), F.max("doc.held_out").alias("held_out"), F.max("doc.n_tokens").alias("n_tokens"), F.sum("n_known").alias("n_known"),
         F.lit(n).cast("long").alias("train_tokens"), F.sum("base_score").alias("base_score"), F.sum("score").alias("score"),
     )
     return out.drop("uid")

@@ -79,6 +79,24 @@ def test_lm_base_and_normalisation(spark, edge):
         assert abs(total - 1) < 1e-9
 
 
+@pytest.mark.parametrize("share", [1e-6, 0.05])
+def test_lm_keeps_every_repeated_ngram(spark, share):
+    r = np.random.default_rng(3)
+    texts = [" ".join(f"w{x}" for x in np.minimum(r.zipf(1.4, 40), 60)) for _ in range(60)] + ["", None]
+    rows, train = list(enumerate(texts)), lambda i: i % 5 > 0
+    toks = [[*lm_scoring.tokens(x), b""] for x in texts]
+    index = {w: i for i, w in enumerate(sorted({w for ts in toks for w in ts}))}
+    ids = [[index[w] for w in ts] for ts in toks]
+    count = lambda n: Counter(tuple(x[p : p + n]) for i, x in enumerate(ids) if train(i) for p in range(len(x) - n + 1))
+    uni = count(1)
+    auto = lm_scoring.Automaton([uni[(i,)] for i in range(len(index))], sum(uni.values()), len(uni), [{g: c for g, c in count(n).items() if c >= 2} for n in (2, 3)], 0.5)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {x["doc_id"]: x for x in lm_scoring.score_documents(df, F.col("doc_id") % 5 > 0, min_word_share=share, min_ngram_share=share).collect()}
+    for i, x in enumerate(ids):
+        assert (got[i]["score"], got[i]["base_score"]) == pytest.approx(auto.traverse(x), abs=1e-6)
+        assert (got[i]["n_known"], got[i]["held_out"]) == (sum(uni[(w,)] > 0 for w in x), not train(i))
+
+
 def test_substring_dedup_equals_brute_force(spark):
     base = ["".join(chr(97 + (i * 7919 + j * j * 31 + i * j) % 26) for j in range(900)) for i in range(3)]
     texts = ["", None, "z" * 900, base[0], base[0], base[1][:500] + base[0][100:600], "é" * 300, "Der " * 250, base[2] + base[2][:420]]
