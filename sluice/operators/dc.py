@@ -96,9 +96,20 @@ def count_one(df: DataFrame, rule: Rule) -> DataFrame:
     return n.union(own.select(-F.col("own"))).agg(F.sum("n").alias("violations"))
 
 
-def count_two(df: DataFrame, rule: Rule, id_col: str) -> DataFrame:
+def _equal_ids(df: DataFrame, rule: Rule, id_col: str) -> DataFrame:
+    """``n``: pairs of equal id that break a rule of one column per predicate, a row with itself included."""
+    cols = sorted({id_col, *(p.left for p in rule.predicates)})
+    s, t = df.select(*cols).alias("s"), df.select(*cols).alias("t")
+    on = [F.col(f"s.{c}") == F.col(f"t.{c}") for c in [id_col, *(k.left for k in rule.keys)]] + [p.column() for p in rule.order]
+    return s.join(t, reduce(lambda a, b: a & b, on)).agg(F.count("*").alias("n"))
+
+
+def count_two(df: DataFrame, rule: Rule, id_col: str, equal_ids: bool = True) -> DataFrame:
     """Ordered pairs of a rule with two same-column inequalities.
 
+    Rows are told apart, or ids where ``equal_ids`` is False: pairs of equal id are then
+    taken off, and rows without an id are in no pair, as in ``_pairs``.
+
     Rows are bucketed on the first column; a pair of different buckets meets in exactly
     one node of the tree over the buckets, its two halves, where only the second column
     is left to compare: a running count. Pairs within a bucket are joined.
@@ -106,7 +117,7 @@ def count_two(df: DataFrame, rule: Rule, id_col: str) -> DataFrame:
     a, b = rule.order
     flip = a.op in ("<", "<=")
     ks = [k.left for k in rule.keys]
-    rows = df.where(reduce(lambda x, y: x & y, (F.col(c).isNotNull() for c in [*ks, a.left, b.left])))
+    rows = df.where(reduce(lambda x, y: x & y, (F.col(c).isNotNull() for c in [*ks, a.left, b.left, *([] if equal_ids else [id_col])])))
     splits = _splits(rows, a.left)
     levels = max(1, len(splits).bit_length())
     bucketed = rows.withColumn("_bk", _bucket(F.col(a.left), splits))
@@ -115,12 +126,14 @@ def count_two(df: DataFrame, rule: Rule, id_col: str) -> DataFrame:
     up = b.op in (">", ">=")
     lv = lv.select(*ks, "_l", F.expr("shiftright(_bk, _l)").alias("_node"), (F.col("v") if up else -F.col("v")).alias("v"), high.cast("int").alias("cl"), (~high).cast("int").alias("cr"))
     across = _ordered_count(lv, [*ks, "_l", "_node"], b.op in ("<", ">"), [x if up else -x for x in _splits(rows, b.left)] if up else sorted(-x for x in _splits(rows, b.left)))
-    s, t = bucketed.select(id_col, *ks, a.left, b.left, "_bk").alias("s"), bucketed.select(id_col, *ks, a.left, b.left, "_bk").alias("t")
+    s, t = bucketed.select(*ks, a.left, b.left, "_bk").alias("s"), bucketed.select(*ks, a.left, b.left, "_bk").alias("t")
     on = [F.col(f"s.{c}") == F.col(f"t.{c}") for c in [*ks, "_bk"]] + [a.column(), b.column()]
-    if a.op in ("<=", ">=") and b.op in ("<=", ">="):  # else no row pairs with itself
-        on.append(F.col(f"s.{id_col}") != F.col(f"t.{id_col}"))
-    within = s.join(t, reduce(lambda x, y: x & y, on)).agg(F.count("*").alias("m"))
-    return across.union(within).agg(F.sum("n").alias("violations"))
+    n = across.union(s.join(t, reduce(lambda x, y: x & y, on)).agg(F.count("*").alias("m")))
+    if not equal_ids:
+        n = n.union(_equal_ids(rows, rule, id_col).select(-F.col("n")))
+    elif a.op in ("<=", ">=") and b.op in ("<=", ">="):  # else no row pairs with itself
+        n = n.union(rows.agg((-F.count("*")).alias("n")))
+    return n.agg(F.sum("n").alias("violations"))
 
 
 def count(df: DataFrame, rule: Rule, id_col: str) -> DataFrame:
@@ -135,7 +148,7 @@ def count(df: DataFrame, rule: Rule, id_col: str) -> DataFrame:
     if len(rule.order) == 2 and plain and rule.keys and all(p.same for p in rule.predicates):
         biggest = df.groupBy(*(k.left for k in rule.keys)).count().agg(F.max("count")).first()[0] or 0
         if biggest > JOIN_GROUP:
-            return count_two(df, rule, id_col)
+            return count_two(df, rule, id_col, equal_ids=False)
     if rule.symmetric:
         half = violations(df, rule, id_col).where("s_id < t_id")
         return half.agg((F.count("*") * 2).alias("violations"))

@@ -60,6 +60,16 @@ def test_counting_strategies_equal_nested_loop(spark):
             assert dc.count_two(df, x, "id").first()[0] == want
 
 
+def test_counts_of_large_groups_tell_ids_apart(spark):
+    r = random.Random(6)
+    n = dc.JOIN_GROUP + 100
+    rows = [(None if i % 500 == 7 else i % (n // 3), 1, r.randint(0, 40), r.randint(0, 9)) for i in range(n)]
+    df = spark.createDataFrame(rows, "id int, k int, a int, b int")
+    for text in ("k = k, a > a, b < b", "k = k, a >= a, b <= b", "k = k, a < a, b <= b"):
+        x = rule(text)
+        assert dc.count(df, x, "id").first()[0] == dc.violations(df, x, "id").count(), text
+
+
 def test_rules_and_assessments(spark):
     got, bad = parse_text("a = a\nnonsense\nb <= c")
     assert bad == ["nonsense"] and got.predicates[1] == Predicate("b", "<=", "c")
