@@ -104,18 +104,22 @@ def crc_mod(col, modulus: int):
     return F.pmod(F.crc32(F.coalesce(col.cast("string"), F.lit("")).cast("binary")), F.lit(modulus))
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
+def connected_components(edges: DataFrame, max_rounds: int | None = None) -> DataFrame:
     """(node, root) for every node of the undirected ``edges`` (a, b); root is the least id.
 
     Alternates large-star and small-star contraction. The neighbour minimum is a
     partially aggregated ``min``; the hub rows of a join are left to AQE's skew split.
     Every round is written to the shared folder, so lost executors cost one round.
+    Rounds go on until one changes nothing; a state not settled after ``max_rounds`` is an error.
     """
     spark = edges.sparkSession
     e = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     e = written(e, "cc")
-    state = None
-    for _ in range(max_rounds):
+    state, rounds = None, 0
+    while True:
+        if rounds == max_rounds:
+            raise RuntimeError(f"components not settled after {max_rounds} rounds")
+        rounds += 1
         last = e
         both = e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sluice.llm import decontaminate, lm_scoring, mixing, near_duplicates, substring_dedup, token_counts, topk_search, toxicity, url_filter, warc
+from sluice.llm import common, decontaminate, lm_scoring, mixing, near_duplicates, substring_dedup, token_counts, topk_search, toxicity, url_filter, warc
 
 EDGE = [(1, ""), (2, None), (3, "one"), (3, "one"), (None, "a b c d e f g h"), (5, "w " * 3000), (6, "a b c d e f g h")]
 
@@ -121,6 +121,13 @@ def test_near_duplicates_edges(spark, edge):
     assert near_duplicates.near_duplicates(edge.limit(0)).count() == 0
 
 
+def test_components_settle_or_raise(spark):
+    path = spark.createDataFrame([(i, i + 1) for i in range(64)], "a long, b long")
+    assert {r["root"] for r in common.connected_components(path).collect()} == {0}
+    with pytest.raises(RuntimeError):
+        common.connected_components(path, max_rounds=1)
+
+
 def test_decontamination(spark):
     item = "the quick purple walrus measured seventeen copper kettles. then it sang about distant rivers"
     docs = [(i, " ".join(f"w{(i * 31 + j * 7) % 997}" for j in range(300))) for i in range(80)]
