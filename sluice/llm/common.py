@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
 import os
+import re
 import tempfile
 import uuid
 
@@ -16,14 +18,17 @@ MASK64 = (1 << 64) - 1
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can read, as the cluster names it in spark.checkpoint.dir.
 
-    Where the setting is absent (local tests) a folder below the system's temporary
-    one is used and also set as the checkpoint folder.
+    Where the setting is absent and the master is local (tests) a folder below the
+    system's temporary one is used and also set as the checkpoint folder; on a cluster,
+    whose executors do not share that folder, its absence is an error.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     context = spark.sparkContext
     if not found:
         found = getattr(context, "_sluice_shared", None)
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         found = os.path.join(tempfile.gettempdir(), "checkpoints", f"sluice-{uuid.uuid4().hex}")
         os.makedirs(found, exist_ok=True)
         found = "file://" + found
@@ -37,13 +42,28 @@ def fresh_path(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/sluice/{tag}-{uuid.uuid4().hex}"
 
 
+@contextlib.contextmanager
+def shuffles_freed(spark: SparkSession):
+    """Shuffle files of the actions within go as soon as each one ends, not when the driver
+    happens to collect its garbage. The session's own setting is put back."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)
+
+
 def written(df: DataFrame, tag: str) -> DataFrame:
     """Write to the shared folder and read back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
     path = fresh_path(spark, tag)
-    df.write.option("compression", "zstd").parquet(path)
-    # shuffle files of the finished job are only freed once the driver's JVM collects
-    spark.sparkContext._jvm.System.gc()
+    with shuffles_freed(spark):
+        df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._sluice_path = path
     return out
@@ -104,40 +124,40 @@ def crc_mod(col, modulus: int):
     return F.pmod(F.crc32(F.coalesce(col.cast("string"), F.lit("")).cast("binary")), F.lit(modulus))
 
 
+def _stars(edges: DataFrame) -> bool:
+    """Whether every larger end has one edge and is no smaller end of another."""
+    ends = edges.select(F.col("a").alias("x"), F.lit(1).alias("up")).union(edges.select(F.col("b").alias("x"), F.lit(0).alias("up")))
+    per = ends.groupBy("x").agg(F.sum("up").alias("up"), F.min("up").alias("low"))
+    with shuffles_freed(edges.sparkSession):
+        return per.where("up > 1 or (up = 1 and low = 0)").isEmpty()
+
+
 def connected_components(edges: DataFrame, max_rounds: int | None = None) -> DataFrame:
     """(node, root) for every node of the undirected ``edges`` (a, b); root is the least id.
 
     Alternates large-star and small-star contraction. The neighbour minimum is a
-    partially aggregated ``min``; the hub rows of a join are left to AQE's skew split.
-    Every round is written to the shared folder, so lost executors cost one round.
-    Rounds go on until one changes nothing; a state not settled after ``max_rounds`` is an error.
+    partially aggregated ``min``, stored before the join, so that both sides of the join
+    come straight from a shuffle and AQE can split the rows of a hub. Every round is
+    written to the shared folder, so lost executors cost one round. Rounds end when the
+    edges are stars; edges that are none after ``max_rounds`` are an error.
     """
-    spark = edges.sparkSession
     e = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     e = written(e, "cc")
-    state, rounds = None, 0
-    while True:
+    rounds = 0
+    while not _stars(e):
         if rounds == max_rounds:
             raise RuntimeError(f"components not settled after {max_rounds} rounds")
         rounds += 1
         last = e
         both = e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = large.where("a <> b").distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").select(F.col("b").alias("x"), "a", "m")
-        e = written(
-            small.select(F.col("x").alias("a"), F.col("m").alias("b"))
-            .union(small.select("a", F.col("m").alias("b")))
-            .where("a <> b")
-            .distinct(),
-            "cc",
-        )
-        discard(last)
-        now = e.agg(F.count("*"), F.expr("bit_xor(xxhash64(a, b))")).first()
-        if tuple(now) == state:
-            break
-        state = tuple(now)
+        low = written(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "cc-low")
+        large = both.join(low.hint("merge"), "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        large = written(large.where("a <> b").distinct(), "cc-large")
+        discard(last, low)
+        low = written(large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("c")), "cc-low")
+        # a node of one smaller neighbour keeps its edge; the others' neighbours meet at the least
+        small = large.join(low.where("c > 1").select("a", "m").hint("merge"), "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        e = written(small.union(low.select("a", F.col("m").alias("b"))).distinct(), "cc")
+        discard(large, low)
     roots = e.groupBy("a").agg(F.min("b").alias("root")).withColumnRenamed("a", "node")
     return roots.union(e.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())

@@ -1,9 +1,9 @@
 """Exact removal of repeated substrings by prefix-free parsing.
 
-A rolling hash of TRIGGER_BYTES bytes that is 0 modulo MODULUS is a trigger; triggers
-cut every text into phrases, the same way wherever the same bytes occur. The
-dictionary is the set of distinct phrases, the parse the sequence of phrases of a
-text. A repeat of ``length`` bytes repeats its inner phrases, so
+A text is a sequence of symbols, bytes or words (``Unit``). A rolling hash of a few
+symbols that is 0 modulo a number is a trigger; triggers cut every text into phrases,
+the same way wherever the same symbols occur. The dictionary is the set of distinct
+phrases, the parse the sequence of phrases of a text. A repeat of ``length`` symbols repeats its inner phrases, so
 
 1. phrases that occur once in the dictionary rule out every window that holds one;
 2. what is left is ordered by parse: a window is the suffix of one phrase, a run of
@@ -23,48 +23,90 @@ parse: suffix arrays of dictionary and parse, combined.
 from __future__ import annotations
 
 import hashlib
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
 from .near_duplicates import text_keys
 from .spans import BASES, SpanHasher, mix
 
-LENGTH, TRIGGER_BYTES, MODULUS = 400, 12, 48
+LENGTH = 400
 _ONE, _TWO = SpanHasher(BASES[0]), SpanHasher(BASES[1])
 EMPTY_SHA = hashlib.sha256(b"").hexdigest()
+#: ASCII white space, which stands between words.
+_SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 
 
-def trigger_positions(data: np.ndarray, prefix: np.ndarray, modulus: int = MODULUS) -> np.ndarray:
+@dataclass(frozen=True)
+class Unit:
+    """What a text is a sequence of: symbols of a trigger, and one trigger in so many positions."""
+
+    trigger: int
+    modulus: int
+    words: bool = False
+
+    def symbols(self, text: bytes) -> np.ndarray:
+        """The bytes, or 64-bit hashes of the words between ASCII white space."""
+        data = np.frombuffer(text, np.uint8)
+        return _ONE.spans(_ONE.prefix(data), *word_bounds(data)) if self.words else data
+
+    def count(self, text: Column) -> Column:
+        """Number of symbols of a text column."""
+        return F.regexp_count(text, F.lit(r"[^\t-\r ]+")) if self.words else F.octet_length(text)
+
+    def least_bytes(self, length: int) -> int:
+        """No text of fewer bytes has so many symbols."""
+        return 2 * length - 1 if self.words else length
+
+    def to_bytes(self, text: bytes, runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
+        """Runs of symbols as runs of bytes; white space within a run belongs to it."""
+        if not self.words or not runs:
+            return runs
+        start, end = word_bounds(np.frombuffer(text, np.uint8))
+        return [(int(start[a]), int(end[b - 1])) for a, b in runs]
+
+
+def word_bounds(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the runs of bytes that are no ASCII white space."""
+    step = np.diff(np.r_[True, _SPACE[data], True].astype(np.int8))
+    return np.flatnonzero(step == -1), np.flatnonzero(step == 1)
+
+
+#: windows of 400 bytes hold some eight triggers of bytes, windows of 50 words some six of words
+BYTES, WORDS = Unit(12, 48), Unit(3, 8, words=True)
+
+
+def trigger_positions(data: np.ndarray, prefix: np.ndarray, unit: Unit = BYTES) -> np.ndarray:
     """Starts of trigger windows, ascending."""
-    n = len(data) - TRIGGER_BYTES + 1
+    n = len(data) - unit.trigger + 1
     if n <= 0:
         return np.empty(0, np.int64)
     at = np.arange(n)
-    return np.flatnonzero(_ONE.spans(prefix, at, at + TRIGGER_BYTES) % np.uint64(modulus) == 0)
+    return np.flatnonzero(_ONE.spans(prefix, at, at + unit.trigger) % np.uint64(unit.modulus) == 0)
 
 
-def parse(text: bytes, length: int = LENGTH, modulus: int = MODULUS):
+def parse(text: bytes, length: int = LENGTH, unit: Unit = BYTES):
     """(hash, index, lo, hi) of the phrases of a text, and of its windows with under two triggers.
 
     Phrase i runs from trigger i to the end of trigger i + 1. A window whose whole
     phrases are a run a..b lies within (lo of a, hi of b). Windows have negative indexes.
     """
-    data = np.frombuffer(text, np.uint8)
+    data = unit.symbols(text)
     n = len(data)
     prefix = _ONE.prefix(data)
-    t = trigger_positions(data, prefix, modulus)
-    start, end = t[:-1], t[1:] + TRIGGER_BYTES
+    t = trigger_positions(data, prefix, unit)
+    start, end = t[:-1], t[1:] + unit.trigger
     h = _ONE.spans(prefix, start, end)
     # an occurrence can extend to just after the trigger before, and to just before the end of the one after
     lo = np.concatenate([[0], t[:-2] + 1])[: len(start)] if len(start) else start
-    hi = np.concatenate([t[2:] + TRIGGER_BYTES - 1, [n]])[: len(start)] if len(start) else start
+    hi = np.concatenate([t[2:] + unit.trigger - 1, [n]])[: len(start)] if len(start) else start
     windows = np.arange(n - length + 1)
     first = np.searchsorted(t, windows)
-    last = np.searchsorted(t, windows + length - TRIGGER_BYTES, side="right") - 1
+    last = np.searchsorted(t, windows + length - unit.trigger, side="right") - 1
     bare = windows[last - first < 1]
     if not len(bare):
         return h, np.arange(len(start)), lo, hi
@@ -84,7 +126,7 @@ def parse(text: bytes, length: int = LENGTH, modulus: int = MODULUS):
     return (np.concatenate([h, uniq[pu]]), np.concatenate([np.arange(len(start)), index]), np.concatenate([lo, bare[head[pr]]]), np.concatenate([hi, bare[tail[pr]] + length]))
 
 
-def classes_of(text: bytes, regions: list[tuple[int, int]], length: int = LENGTH, modulus: int = MODULUS):
+def classes_of(text: bytes, regions: list[tuple[int, int]], length: int = LENGTH, unit: Unit = BYTES):
     """Window classes within the regions: rows (kind, run hash, class hash, first, last window start).
 
     The run hash is of the whole phrases and the class hash, by another base, of all the
@@ -93,15 +135,16 @@ def classes_of(text: bytes, regions: list[tuple[int, int]], length: int = LENGTH
     repeats one, a single row stands for it, and the stretches of those windows, repeated
     for certain, are kind 2.
     """
-    data = np.frombuffer(text, np.uint8)
+    data = unit.symbols(text)
     p1, p2 = _ONE.prefix(data), _TWO.prefix(data)
-    t = trigger_positions(data, p1, modulus)
+    t = trigger_positions(data, p1, unit)
+    regions = [(a, min(b, len(data))) for a, b in regions]
     starts = [np.arange(a, b - length + 1) for a, b in regions if b - a >= length]
     p = np.unique(np.concatenate(starts)) if starts else np.empty(0, np.int64)
     if not len(p):
         return [np.empty(0, np.int64)] * 5
     i = np.searchsorted(t, p)
-    j = np.searchsorted(t, p + length - TRIGGER_BYTES, side="right") - 1
+    j = np.searchsorted(t, p + length - unit.trigger, side="right") - 1
     bare = j - i < 1
     new = np.r_[True, (i[1:] != i[:-1]) | (j[1:] != j[:-1]) | (p[1:] != p[:-1] + 1) | bare[1:] | bare[:-1]]
     head = np.flatnonzero(new)
@@ -109,7 +152,7 @@ def classes_of(text: bytes, regions: list[tuple[int, int]], length: int = LENGTH
     a, b = p[head], p[tail]
     lone = bare[head]
     ti = t[np.minimum(i[head], len(t) - 1)] if len(t) else np.zeros(len(head), np.int64)
-    tj = t[np.maximum(j[head], 0)] + TRIGGER_BYTES if len(t) else np.zeros(len(head), np.int64)
+    tj = t[np.maximum(j[head], 0)] + unit.trigger if len(t) else np.zeros(len(head), np.int64)
     ti, tj = np.where(lone, a, ti), np.where(lone, b + length, tj)
     shape = np.where(lone, 0, (ti - a) * 4096 + (b - a)).astype(np.uint64)
     run = _ONE.spans(p1, ti, tj).view(np.int64)
@@ -133,9 +176,9 @@ def classes_of(text: bytes, regions: list[tuple[int, int]], length: int = LENGTH
     return [np.concatenate([c[~drop], x]) for c, x in zip(cols, sure)]
 
 
-def window_hashes(text: bytes, spans: list[tuple[int, int]], length: int = LENGTH):
+def window_hashes(text: bytes, spans: list[tuple[int, int]], length: int = LENGTH, unit: Unit = BYTES):
     """(hash, hash, start) of each window that starts in [first, last] of a span."""
-    data = np.frombuffer(text, np.uint8)
+    data = unit.symbols(text)
     p = np.unique(np.concatenate([np.arange(a, b + 1) for a, b in spans]))
     return [h.spans(h.prefix(data), p, p + length).view(np.int64) for h in (_ONE, _TWO)] + [p]
 
@@ -160,7 +203,7 @@ def cut(text: bytes, spans: list[tuple[int, int]]) -> bytes:
     return b"".join([*parts, text[at:]])
 
 
-def corpus_order(texts: list[bytes], modulus: int = MODULUS) -> list[tuple[int, int]]:
+def corpus_order(texts: list[bytes], unit: Unit = BYTES) -> list[tuple[int, int]]:
     """All suffixes (text, offset) of a bounded set of texts in lexicographic order.
 
     Prefix-free parsing: the phrases' suffixes are sorted (suffix array of the
@@ -171,9 +214,9 @@ def corpus_order(texts: list[bytes], modulus: int = MODULUS) -> list[tuple[int,
     parses, words = [], set()
     for x in texts:
         data = np.frombuffer(x, np.uint8)
-        t = [int(p) for p in trigger_positions(data, _ONE.prefix(data), modulus) if p > 0]
+        t = [int(p) for p in trigger_positions(data, _ONE.prefix(data), unit) if p > 0]
         # phrases overlap by a trigger, so that no phrase suffix longer than it is a prefix of another
-        ends = [p + TRIGGER_BYTES for p in t]
+        ends = [p + unit.trigger for p in t]
         cuts = [(a, min(b, len(x))) for a, b in zip([0, *t], [*ends, len(x) + 1])]
         seq = [(a, x[a:b]) for a, b in cuts]
         parses.append(seq)
@@ -194,7 +237,7 @@ def corpus_order(texts: list[bytes], modulus: int = MODULUS) -> list[tuple[int,
     for i, seq in enumerate(parses):
         for k, (a, s) in enumerate(seq):
             is_last = k == len(seq) - 1
-            stop = len(s) if is_last else len(s) - TRIGGER_BYTES
+            stop = len(s) if is_last else len(s) - unit.trigger
             for d in range(stop):
                 out.append((tails[s[d:]], -1 if is_last else int(order[at + k + 1]), i, a + d))
         at += len(seq) + 1
@@ -207,16 +250,16 @@ def _twice(rows: DataFrame, keys: list[str]) -> DataFrame:
     return rows.groupBy(*keys).agg(F.min("id").alias("_a"), F.max("id").alias("_b")).where("_a <> _b")
 
 
-def repeated_spans(docs: DataFrame, length: int = LENGTH, modulus: int = MODULUS):
+def repeated_spans(docs: DataFrame, length: int = LENGTH, unit: Unit = BYTES):
     """(rows, per_text): every row's identity, and the repeated windows of each distinct text.
 
-    rows: doc_id, x1, x2, n_bytes, sha (of the whole text). per_text: x1, x2, copies,
-    first (a doc_id), spans: array of [start, end) covered by repeated windows; texts
+    rows: doc_id, x1, x2, n_bytes, n (symbols), sha (of the whole text). per_text: x1, x2, copies,
+    first (a doc_id), spans: array of [start, end) of symbols covered by repeated windows; texts
     without one are absent, and so are texts that occur twice as a whole.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *text_keys(F.col("text")), F.encode(text, "UTF-8").alias("t"))
-    rows = common.written(src.select("doc_id", "x1", "x2", F.octet_length("t").cast("long").alias("n_bytes"), F.sha2("t", 256).alias("sha")), "pfp-rows")
+    src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *text_keys(F.col("text")), text.alias("text"), F.encode(text, "UTF-8").alias("t"))
+    rows = common.written(src.select("doc_id", "x1", "x2", F.octet_length("t").cast("long").alias("n_bytes"), unit.count(F.col("text")).cast("long").alias("n"), F.sha2("t", 256).alias("sha")), "pfp-rows")
     texts = rows.groupBy("x1", "x2").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies"))
 
     def phrases(batches):
@@ -224,7 +267,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, modulus: int = MODULUS
             got: list[list[np.ndarray]] = [[] for _ in range(5)]
             size = 0
             for x1, t in zip(b.column(0).to_numpy(), b.column(1).to_pylist()):
-                h, index, lo, hi = parse(t, length, modulus)
+                h, index, lo, hi = parse(t, length, unit)
                 for c, v in zip(got, (h.view(np.int64), np.full(len(h), x1), index, lo, hi)):
                     c.append(v)
                 size += len(h)
@@ -237,7 +280,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, modulus: int = MODULUS
     # half of a text's identity will do here: were it shared by two texts, both would get
     # the regions of both, and regions are only where to look
     names = ["h", "x1", "i", "lo", "hi"]
-    found = src.where(F.octet_length("t") >= length).select("x1", "t").mapInArrow(phrases, "h long, x1 long, i int, lo int, hi int")
+    found = src.where(F.octet_length("t") >= unit.least_bytes(length)).select("x1", "t").mapInArrow(phrases, "h long, x1 long, i int, lo int, hi int")
     # copies of a text give the same occurrence id, so they do not make a phrase repeated
     common_h = _twice(found.select("h", F.xxhash64("x1", "i").alias("id")), ["h"]).select("h")
     kept = found.join(common_h, "h", "left_semi").groupBy("x1", "i").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
@@ -255,7 +298,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, modulus: int = MODULUS
     def to_classes(batches):
         for b in batches:
             for uid, regs, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
-                cols = classes_of(t, [(r["lo"], min(r["hi"], len(t))) for r in regs], length, modulus)
+                cols = classes_of(t, [(r["lo"], r["hi"]) for r in regs], length, unit)
                 if len(cols[0]):
                     arrays = [pa.array(cols[0].astype(np.int32)), pa.array(cols[1]), pa.array(cols[2]), pa.array(np.full(len(cols[0]), uid, np.int64))]
                     yield pa.RecordBatch.from_arrays(arrays + [pa.array(c.astype(np.int32)) for c in cols[3:]], names=["kind", "k", "f", "uid", "a", "b"])
@@ -279,7 +322,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, modulus: int = MODULUS
     def to_windows(batches):
         for b in batches:
             for uid, spans, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
-                h1, h2, p = window_hashes(t, [(s["a"], s["b"]) for s in spans], length)
+                h1, h2, p = window_hashes(t, [(s["a"], s["b"]) for s in spans], length, unit)
                 yield pa.RecordBatch.from_arrays([pa.array(h1), pa.array(h2), pa.array(np.full(len(p), uid, np.int64)), pa.array(p.astype(np.int32))], names=["h1", "h2", "uid", "p"])
 
     windows = touched.join(look, "uid").select("uid", "look", "t").mapInArrow(to_windows, "h1 long, h2 long, uid long, p int")
@@ -296,12 +339,13 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, modulus: int = MODULUS
     return src, rows, texts, touched.join(spans, "uid")
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, modulus: int = MODULUS, texts_out: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = LENGTH, unit: Unit = BYTES, texts_out: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row; with ``texts_out``
     also x1, x2 and ``kept``, the remaining text, where anything was removed.
 
     Removed is each byte covered by a ``length``-byte string that also starts anywhere
-    else in the table, the same row included; matches never cross rows. Null texts are
+    else in the table, the same row included; matches never cross rows. With the unit
+    WORDS it is each run of ``length`` words that repeats, with the white space within. Null texts are
     empty. Rows with equal texts of at least ``length`` bytes are removed whole; shorter
     texts stay as they are. Exact: every window is compared by 128-bit fingerprints.
     Parts of a character that a cut leaves are dropped in ``kept``, while the digest is
@@ -310,14 +354,14 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, modulus: int = MODULUS
     Scale: each phrase is one shuffled row of a few integers; texts move once, those
     with repeats only are stored. Hot phrases and copies are reduced in each task first.
     """
-    src, rows, texts, found = repeated_spans(docs, length, modulus)
+    src, rows, texts, found = repeated_spans(docs, length, unit)
 
     def finish(batches):
         for b in batches:
             x1, x2, spans, text = (c.to_pylist() for c in b.columns)
             removed, count, sha, kept = [], [], [], []
             for s, t in zip(spans, text):
-                runs = merged((x["s"], x["e"]) for x in s)
+                runs = unit.to_bytes(t, merged((x["s"], x["e"]) for x in s))
                 left = cut(t, runs)
                 removed.append(len(t) - len(left))
                 count.append(len(runs))
@@ -334,7 +378,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, modulus: int = MODULUS
     # both sides come straight from a shuffle and AQE can split the rows of a hot text
     twice = texts.where("copies > 1").select("x1", "x2", F.lit(True).alias("twice"))
     out = rows.join(cut_texts.unionByName(twice, allowMissingColumns=True), ["x1", "x2"], "left")
-    whole = F.coalesce("twice", F.lit(False)) & (F.col("n_bytes") >= length)
+    whole = F.coalesce("twice", F.lit(False)) & (F.col("n") >= length)
     return out.select(
         "doc_id", "n_bytes",
         F.when(whole, F.col("n_bytes")).otherwise(F.coalesce("removed", F.lit(0))).cast("long").alias("n_removed"),

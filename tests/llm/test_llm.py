@@ -107,7 +107,7 @@ def test_substring_dedup_equals_brute_force(spark):
         runs = substring_dedup.merged((p, p + 400) for p in range(len(t) - 399) if c[t[p : p + 400]] > 1)
         assert (got[i]["n_removed"], got[i]["n_spans"]) == (sum(b - a for a, b in runs), len(runs)), i
         assert got[i]["kept_sha256"] == hashlib.sha256(substring_dedup.cut(t, runs)).hexdigest()
-    order = substring_dedup.corpus_order([b"banana bandana", b"ananas"], 3)
+    order = substring_dedup.corpus_order([b"banana bandana", b"ananas"], substring_dedup.Unit(12, 3))
     assert order == sorted(order, key=lambda x: ([b"banana bandana", b"ananas"][x[0]][x[1] :], x[0]))
 
 

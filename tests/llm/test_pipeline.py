@@ -1,5 +1,6 @@
 """Stages of corpus_pipeline against brute-force versions, and odd tables through all of them."""
 
+import re
 from collections import Counter
 
 import numpy as np
@@ -80,13 +81,14 @@ def _classes(rows):
     return Counter(rows[i] for i in best.values())
 
 
-def _cut(rows, length=400):
-    data = [(t or "").encode() for _, t in rows]
-    seen = Counter(t[p : p + length] for t in data for p in range(len(t) - length + 1))
+def _cut(rows, length=50):
+    spots = [[m.span() for m in re.finditer(rb"[^\t-\r ]+", (t or "").encode())] for _, t in rows]
+    words = [[(t or "").encode()[a:b] for a, b in at] for (_, t), at in zip(rows, spots)]
+    seen = Counter(tuple(w[p : p + length]) for w in words for p in range(len(w) - length + 1))
     out = Counter()
-    for (d, text), t in zip(rows, data):
-        runs = substring_dedup.merged((p, p + length) for p in range(len(t) - length + 1) if seen[t[p : p + length]] > 1)
-        left = substring_dedup.cut(t, runs).decode()
+    for (d, text), w, at in zip(rows, words, spots):
+        runs = substring_dedup.merged((p, p + length) for p in range(len(w) - length + 1) if seen[tuple(w[p : p + length])] > 1)
+        left = substring_dedup.cut((text or "").encode(), [(at[a][0], at[b - 1][1]) for a, b in runs]).decode()
         if not runs or left.strip():
             out[(d, left if runs else text)] += 1
     return out
@@ -120,6 +122,26 @@ def test_repeats_equal_brute_force(spark, sf_dir, rows):
     assert out.where("doc_id >= 300 and n_chars <> length(text)").count() == 0
 
 
+def test_short_worded_passages_go(spark, sf_dir):
+    """Passages of 51 to 70 short words, once in each of two to five documents; 49 words stay."""
+    r = np.random.default_rng(11)
+    word = lambda: "".join(chr(97 + x) for x in r.integers(0, 26, int(r.integers(2, 6))))
+    out, marks = [], {}
+    for g in range(30):
+        n = 49 if g >= 26 else int(r.integers(51, 71))
+        passage = " ".join(word() for _ in range(n))
+        for j in range(2 + g % 4):
+            pre, post = (" ".join(word() for _ in range(int(r.integers(0, 120)))) for _ in range(2))
+            out.append((g * 10 + j, f"{pre}\n{passage}  {post}"))
+            marks[g * 10 + j] = passage
+    out += [(1000 + i, " ".join(word() for _ in range(100))) for i in range(40)]
+    got = cp.cut_repeats(spark, spark.createDataFrame([_row(*x) for x in out], SCHEMA), sf_dir)
+    assert _pairs(got) == _cut(out)
+    texts = {d: t for d, t in _pairs(got)}
+    assert all((marks[d] in texts[d]) == (d >= 260) for d in marks if d in texts)
+    assert all(texts[d] == t for d, t in out if d >= 260)
+
+
 def test_contaminated_documents_go(spark, sf_dir, rows):
     docs = _docs(spark, sf_dir)
     out = cp.drop_contaminated(spark, docs, sf_dir)
