@@ -18,6 +18,8 @@ from sluice.llm import common, decontaminate, mixing, near_duplicates, substring
 
 #: target token shares of the quality labels' domains
 MIX_WEIGHTS = {1: 0.97, 0: 0.03}
+#: words of a passage that may not repeat
+PASSAGE_WORDS = 50
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,9 +40,9 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Bytes covered by repeated 400-byte strings are cut out; emptied documents go."""
+    """Runs of PASSAGE_WORDS words that stand anywhere else too are cut out; emptied documents go."""
     ship(spark)
-    cut = substring_dedup.remove_repeats(docs, texts_out=True).where("n_removed > 0")
+    cut = substring_dedup.remove_repeats(docs, length=PASSAGE_WORDS, unit=substring_dedup.WORDS, texts_out=True).where("n_removed > 0")
     cut = cut.groupBy(F.col("x1").alias("c1"), F.col("x2").alias("c2")).agg(F.first("kept").alias("kept"))
     x1, x2 = near_duplicates.text_keys(F.col("text"))
     joined = docs.withColumns({"_x1": x1, "_x2": x2}).join(cut, (F.col("_x1") == F.col("c1")) & (F.col("_x2") == F.col("c2")), "left")
