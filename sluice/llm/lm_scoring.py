@@ -10,19 +10,22 @@ Here its score is taken as a sum over n-grams, so that no task holds the model.
 bo(h) the log backoff weight of h (0 if nothing kept follows it), the score of a text is
 that of its unigrams, plus for each kept n-gram g = h w its gain, log p(g) - bo(h) -
 log p(g without its first word), plus bo(g). An n-gram that does not end in the end
-token is the context of one token, and no end token is a context. Each term belongs to one
-n-gram, and the terms meet the texts in one join; frequent words and n-grams are a
-broadcast cache, which changes no score.
+token is the context of one token, and no end token is a context. Each term belongs to
+one n-gram.
 
-Words are told apart by 64-bit hashes, n-grams in counting by a pair of them and in
-joins by one: among 10^9 keys a chance of some 3 % that any two are one.
+The model is dealt to shards by ranges of the n-grams' hashes, as many as the tokens ask
+for. A worker packs the n-grams of a block of texts (sorted, delta coded) into one row a
+shard; the shard's task looks them up and sends back one sum per text. Frequent words and
+n-grams are a broadcast cache, and a word that occurs once in all is known from its own
+text; neither changes a score.
+
+Words and n-grams are told apart by 64-bit hashes: among 10^9 keys a chance of some 3 %
+that any two are one.
 """
 
 from __future__ import annotations
 
-import hashlib
 import math
-from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -30,11 +33,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common
+from .spans import SpanHasher
+from .substring_dedup import word_bounds
 
-END = b""  # no word is empty, so this is the end token
+END_KEY = np.int64(0x5EED0E4D0F7E8753)  # the end token, which is no word
 CHUNK = 1 << 20  # characters handled at once by a worker
-FLUSH = 400_000  # distinct words a worker counts before it sends them on
+FLUSH = 1 << 21  # n-grams, and FLUSH_TEXTS texts, that a worker gathers before it sends them on
+FLUSH_TEXTS = 1 << 16
+SHARD = 4_000_000  # tokens of the corpus for each shard of the model
 LEAST = 2  # an n-gram seen so often is kept
+_HASHER = SpanHasher()
 
 
 def tokens(text: str | None) -> list[bytes]:
@@ -55,29 +63,19 @@ def _chunks(texts: list):
         yield start, len(texts)
 
 
-class _Hashes(dict):
-    """word -> 64-bit hash, filled as words are met."""
-
-    def __missing__(self, word: bytes) -> int:
-        h = self[word] = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little", signed=True)
-        return h
-
-
-_HASHES = _Hashes()
-
-
 def _hashed(texts: list) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the tokens of all texts, the ends included, and each token's text."""
-    if len(_HASHES) > FLUSH:
-        _HASHES.clear()
-    flat: list[int] = []
-    sizes, end = [], _HASHES[END]
-    for t in texts:
-        before = len(flat)
-        flat += map(_HASHES.__getitem__, tokens(t))
-        flat.append(end)
-        sizes.append(len(flat) - before)
-    return np.array(flat, np.int64), np.repeat(np.arange(len(texts)), sizes)
+    raw = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
+    data = np.frombuffer(b" ".join(raw).lower(), np.uint8)
+    start, end = word_bounds(data)
+    until = np.cumsum([len(x) + 1 for x in raw])  # where the next text starts
+    words = np.diff(np.searchsorted(start, until), prepend=0)
+    doc = np.repeat(np.arange(len(texts)), words + 1)
+    ids = np.full(len(doc), END_KEY)
+    is_word = np.ones(len(doc), bool)
+    is_word[np.cumsum(words + 1) - 1] = False
+    ids[is_word] = _HASHER.spans(_HASHER.prefix(data), start, end).view(np.int64)
+    return ids, doc
 
 
 _P1, _P2, _P3, _P4, _P5 = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
@@ -99,28 +97,71 @@ def chained(prefix: np.ndarray, suffix: np.ndarray) -> np.ndarray:
     return h.view(np.int64)
 
 
+def shard_of(key: np.ndarray, shards: int) -> np.ndarray:
+    """Shards are ranges of the keys as unsigned numbers."""
+    return ((key.view(np.uint64) >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
+
+
+def shard_column(key: str, shards: int) -> Column:
+    return F.shiftright(F.shiftrightunsigned(key, 32) * F.lit(shards).cast("long"), 32).cast("int")
+
+
+def pack(keys: np.ndarray, *numbers: np.ndarray) -> bytes:
+    """Keys in ascending unsigned order as deltas, and 32-bit numbers, byte plane by byte plane."""
+    n = len(keys)
+    delta = np.diff(keys.view(np.uint64), prepend=np.uint64(0))
+    planes = [delta.view(np.uint8).reshape(n, 8).T, *(x.astype(np.uint32).view(np.uint8).reshape(n, 4).T for x in numbers)]
+    return n.to_bytes(8, "little") + pa.compress(np.concatenate(planes).tobytes(), codec="zstd", asbytes=True)
+
+
+def unpack(blob: bytes, numbers: int) -> list[np.ndarray]:
+    n, high = int.from_bytes(blob[:8], "little"), 8 + 4 * numbers
+    planes = np.frombuffer(pa.decompress(blob[8:], high * n, codec="zstd", asbytes=True), np.uint8).reshape(high, n)
+    keys = np.cumsum(np.ascontiguousarray(planes[:8].T).view(np.uint64).reshape(-1), dtype=np.uint64).view(np.int64)
+    return [keys, *(np.ascontiguousarray(planes[i : i + 4].T).view(np.uint32).reshape(-1) for i in range(8, high, 4))]
+
+
+def _dealt(key: np.ndarray, shards: int):
+    """(shard, positions) of sorted keys, shard by shard."""
+    bounds = np.searchsorted(shard_of(key, shards), np.arange(shards + 1))
+    for s in np.flatnonzero(np.diff(bounds)):
+        yield int(s), slice(bounds[s], bounds[s + 1])
+
+
+def _ipc(batch: pa.RecordBatch) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+        w.write_batch(batch)
+    return sink.getvalue().to_pybytes()
+
+
 def word_counts(docs: DataFrame) -> DataFrame:
     """(key, train, total): counts in training rows and in all rows by a word's hash."""
 
     def run(batches):
-        def out(train, rest):
-            for kind, c in ((True, train), (False, rest)):
-                if c:
-                    n = pa.array(c.values(), pa.int64())
-                    keys = pa.array([_Hashes()[w] for w in c], pa.int64())
-                    yield pa.RecordBatch.from_arrays([keys, n if kind else pa.array(np.zeros(len(c), np.int64)), n], names=["key", "train", "total"])
-
-        train, rest = Counter(), Counter()
+        held: list[tuple] = []
+        size = 0
+
+        def merged():
+            key, train, total = (np.concatenate(x) for x in zip(*held))
+            uniq, inv = np.unique(key, return_inverse=True)
+            return uniq, np.bincount(inv, train, len(uniq)).astype(np.int64), np.bincount(inv, total, len(uniq)).astype(np.int64)
+
         for b in batches:
-            for is_train, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                c = train if is_train else rest
-                c.update(tokens(text))
-                c[END] += 1
-                if len(c) > FLUSH:
-                    yield from out(train, rest)
-                    train.clear()
-                    rest.clear()
-        yield from out(train, rest)
+            train, texts = b.column(0).to_numpy(zero_copy_only=False).astype(np.int64), b.column(1).to_pylist()
+            for lo, hi in _chunks(texts):
+                ids, doc = _hashed(texts[lo:hi])
+                held.append((ids, train[lo:hi][doc], np.ones(len(ids), np.int64)))
+                size += len(ids)
+                if size > FLUSH:
+                    held[:] = [merged()]
+                    size = len(held[0][0])
+                    if size > FLUSH // 2:
+                        yield pa.RecordBatch.from_arrays([pa.array(x) for x in held[0]], names=["key", "train", "total"])
+                        held.clear()
+                        size = 0
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in merged()], names=["key", "train", "total"])
 
     part = docs.select("train", "text").mapInArrow(run, "key long, train long, total long")
     return part.groupBy("key").agg(F.sum("train").alias("train"), F.sum("total").alias("total"))
@@ -129,7 +170,8 @@ def word_counts(docs: DataFrame) -> DataFrame:
 def key_filter(keys: DataFrame) -> np.ndarray:
     """A one-probe bit filter of fixed size; one that is full lets more keys through."""
     word = F.shiftrightunsigned("key", 6).bitwiseAND(common.FILTER_WORDS - 1)
-    got = keys.groupBy(word.alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(key & 63 AS INT))")).alias("bits")).toArrow()
+    with common.shuffles_freed(keys.sparkSession):
+        got = keys.groupBy(word.alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(key & 63 AS INT))")).alias("bits")).toArrow()
     out = np.zeros(common.FILTER_WORDS, np.uint64)
     out[got.column(0).to_numpy()] = got.column(1).to_numpy().view(np.uint64)
     return out
@@ -141,10 +183,9 @@ def _maybe(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return (bits[word] >> (k & np.uint64(63))) & np.uint64(1) > 0
 
 
-def ngram_counts(docs: DataFrame, filters: list[np.ndarray], n: int) -> DataFrame:
+def ngram_counts(docs: DataFrame, filters, n: int, shards: int) -> DataFrame:
     """(key, prefix, suffix, c) of the n-grams that occur LEAST times in training rows; prefix
     and suffix are the keys of its (n-1)-grams, which occur as often and so pass the filters."""
-    shared = docs.sparkSession.sparkContext.broadcast(filters)
 
     def run(batches):
         held: list[tuple] = []
@@ -156,34 +197,50 @@ def ngram_counts(docs: DataFrame, filters: list[np.ndarray], n: int) -> DataFram
             return prefix[first], suffix[first], np.bincount(inv, num, len(first)).astype(np.int64)
 
         def out():
-            return pa.RecordBatch.from_arrays([pa.array(x) for x in held[0]], names=["prefix", "suffix", "n"])
+            prefix, suffix, num = held[0]
+            shard = shard_of(chained(prefix, suffix), shards)
+            order = np.lexsort((prefix.view(np.uint64), shard))
+            bounds = np.searchsorted(shard[order], np.arange(shards + 1))
+            for s in np.flatnonzero(np.diff(bounds)):
+                at = order[bounds[s] : bounds[s + 1]]
+                halves = suffix[at].view(np.uint32).reshape(-1, 2).T
+                yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([pack(prefix[at], *halves, num[at])], pa.binary())], names=["shard", "body"])
 
         for b in batches:
             texts = b.column(0).to_pylist()
             for lo, hi in _chunks(texts):
                 ids, doc = _hashed(texts[lo:hi])
                 at, key = np.arange(len(ids)), ids
-                for k in range(2, n):
-                    key, at = _next(key, at, doc, k)
-                    ok = _maybe(shared.value[k - 2], key)
+                for k in range(1, n):
+                    if k > 1:
+                        key, at = _next(key, at, doc, k)
+                    ok = _maybe(filters.value[k - 1], key)
                     key, at = key[ok], at[ok]
                 pair = _neighbours(at, doc, n)
                 held.append((key[pair], key[pair + 1], np.ones(len(pair), np.int64)))
                 size += len(pair)
-                if size > 2 << 20:
+                if size > FLUSH:
                     held[:] = [merged()]
                     size = len(held[0][0])
-                    if size > 1 << 20:
-                        yield out()
+                    if size > FLUSH // 2:
+                        yield from out()
                         held.clear()
                         size = 0
         if held:
             held[:] = [merged()]
-            yield out()
+            yield from out()
 
-    part = docs.where("train").select("text").mapInArrow(run, "prefix long, suffix long, n long")
-    kept = part.groupBy("prefix", "suffix").agg(F.sum("n").alias("c")).where(F.col("c") >= LEAST)
-    return kept.select(F.xxhash64("prefix", "suffix").alias("key"), "prefix", "suffix", "c")
+    def keep(table: pa.Table) -> pa.Table:
+        parts = [unpack(x, 3) for x in table.column("body").to_pylist()]
+        prefix, low, high, num = (np.concatenate(x) for x in zip(*parts))
+        suffix = np.ascontiguousarray(np.stack([low, high], 1)).view(np.int64).reshape(-1)
+        key, first, inv = np.unique(chained(prefix, suffix), return_index=True, return_inverse=True)
+        c = np.bincount(inv, num, len(key)).astype(np.int64)
+        ok = c >= LEAST
+        return pa.table({"key": key[ok], "prefix": prefix[first[ok]], "suffix": suffix[first[ok]], "c": c[ok]})
+
+    part = docs.where("train").select("text").mapInArrow(run, "shard int, body binary")
+    return part.groupBy("shard").applyInArrow(keep, "key long, prefix long, suffix long, c long")
 
 
 def _neighbours(at: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
@@ -274,38 +331,42 @@ class Automaton:
         return total, base
 
 
-def _terms(spark, counts: DataFrame, levels: list[DataFrame], n: int, v: int, discount: float) -> DataFrame:
-    """(key, n, c, base, score, known): what one occurrence of a word or kept n-gram adds."""
-    unigram = F.log10((F.col("train") + 1) / F.lit(float(n + v + 1)))
-    low = counts.select("key", F.col("train").alias("c"), unigram.alias("base"), unigram.alias("gain"), F.pow(F.lit(10.0), unigram).alias("p"), F.col("total"))
-    out: DataFrame | None = None
-    done: list[DataFrame] = []
-    none = F.lit(None).cast("double")
-    for k, g in enumerate([*levels, None], 1):
-        own = low
-        if g is not None:
-            g = g.join(low.select(F.col("key").alias("suffix"), F.col("p").alias("below")), "suffix")
-            context = g.groupBy("prefix").agg(F.sum(F.col("c") - discount).alias("mass"), F.sum("below").alias("below"))
-            context = context.join(low.select(F.col("key").alias("prefix"), F.col("c").alias("seen")), "prefix")
-            left = lambda x: F.greatest(1 - x, F.lit(1e-9))
-            bo = F.log10(left(F.col("mass") / F.col("seen")) / left(F.col("below")))
-            context = common.written(context.select("prefix", "seen", bo.alias("bo")), "lm-contexts")
-            own = low.join(context.select(F.col("prefix").alias("key"), "bo"), "key", "left")
-            p = (F.col("c") - discount) / F.col("seen")
-            g = g.join(context, "prefix").select("key", "c", none.alias("base"), (F.log10(p) - F.col("bo") - F.log10("below")).alias("gain"), p.alias("p"), F.col("c").alias("total"))
-            low = common.written(g, f"lm-level-{k + 1}")
-            done += [context, low]
-        else:
-            own = low.withColumn("bo", none)
-        one = own.select("key", F.lit(k).alias("n"), F.col("total").alias("c"), F.coalesce("base", F.lit(0.0)).alias("base"), (F.col("gain") + F.coalesce("bo", F.lit(0.0))).alias("score"), (F.col("base").isNotNull() & (F.col("c") > 0)).cast("long").alias("known"))
-        out = one if out is None else out.union(one)
-    terms = common.written(out, "lm-terms")
-    common.discard(*done)
-    return terms
+def _terms(counts: DataFrame, levels: list[DataFrame], space: float, discount: float) -> list[DataFrame]:
+    """A table (key, c, total, score) a level: the score that one occurrence adds to a text's.
+
+    c is a word's count in training rows, -1 for n-grams. Each step is stored, so that the
+    disk holds one join's shuffles at a time.
+    """
+    p = (F.col("train") + 1) / F.lit(space)
+    low = counts.where("total > 1").select("key", F.col("train").alias("c"), F.col("train").alias("seen"), "total", p.alias("p"), F.log10(p).alias("gain"))
+    out: list[DataFrame] = []
+    stored: list[DataFrame] = []
+    for k, g in enumerate(levels, 2):
+        below = common.written(g.join(low.select(F.col("key").alias("suffix"), F.col("p").alias("below")), "suffix").select("key", "prefix", "c", "below"), "lm-below")
+        common.discard(g)
+        mass = below.groupBy("prefix").agg(F.sum(F.col("c") - discount).alias("mass"), F.sum("below").alias("below"))
+        left = lambda x: F.greatest(1 - x, F.lit(1e-9))
+        bo = F.log10(left(F.col("mass") / F.col("seen")) / left(F.col("below")))
+        context = mass.join(low.select(F.col("key").alias("prefix"), "seen"), "prefix").select("prefix", "seen", bo.alias("bo"))
+        context = common.written(context, "lm-contexts")
+        weight = context.select(F.col("prefix").alias("key"), "bo")
+        out.append(common.written(low.join(weight, "key", "left").select("key", "c", "total", (F.col("gain") + F.coalesce("bo", F.lit(0.0))).alias("score")), f"lm-terms-{k - 1}"))
+        p = (F.col("c") - discount) / F.col("seen")
+        gain = F.log10(p) - F.col("bo") - F.log10("below")
+        low = below.join(context, "prefix").select("key", F.lit(-1).cast("long").alias("c"), F.col("c").alias("seen"), F.col("c").alias("total"), p.alias("p"), gain.alias("gain"))
+        low = common.written(low, f"lm-level-{k}")
+        common.discard(below, context, *stored)
+        stored = [low]
+    out.append(common.written(low.select("key", "c", "total", F.col("gain").alias("score")), "lm-terms-last"))
+    common.discard(*stored)
+    return out
+
+
+_SUMS = ["known", "single", "base", "score"]
 
 
 def score_documents(
-    docs: DataFrame, train: Column, order: int = 3, min_word_share: float = 1e-6, min_ngram_share: float = 1e-5, discount: float = 0.5
+    docs: DataFrame, train: Column, order: int = 3, min_word_share: float = 1e-6, min_ngram_share: float = 1e-6, discount: float = 0.5
 ) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row.
 
@@ -313,34 +374,47 @@ def score_documents(
     row by row; other columns are ignored. With no training row N = V = 0 and every
     token has probability 1. Texts of any length are read whole.
 
-    Plan: counting is pre-aggregated in each task, so a hot word is one row per task.
-    Broadcast: a cache of at most 1/min_word_share words and 1/min_ngram_share n-grams per
-    order, and a filter of 8 MB per order. The others, each rarer than the share, meet their
-    terms in one join; a document's own row takes part under a key of its own and so
-    cannot pile up.
+    Plan: counting is pre-aggregated in each task, so a hot word or n-gram is one entry per
+    task. Broadcast: a cache of at most 1/min_word_share words and 1/min_ngram_share n-grams
+    per order, and a filter of 8 MB per order; an n-gram beyond the cache is rarer than the
+    share, so a shard meets at most SHARD entries and one share of the tokens besides.
     """
     spark = docs.sparkSession
     sc = spark.sparkContext
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.coalesce(train, F.lit(False)).alias("train"))
     counts = common.written(word_counts(src), "lm-words")
     n, v, t = counts.agg(F.coalesce(F.sum("train"), F.lit(0)), F.count_if(F.col("train") > 0), F.coalesce(F.sum("total"), F.lit(0))).first()
+    shards, space = max(1, -(-t // SHARD)), float(n + v + 1)
     levels: list[DataFrame] = []
-    filters: list[np.ndarray] = []
+    filters = [key_filter(counts.where("total > 1"))]
     for k in range(2, order + 1):
-        level = common.written(ngram_counts(src, filters, k), f"lm-{k}-grams")
+        shared = sc.broadcast(filters)
+        level = common.written(ngram_counts(src, shared, k, shards), f"lm-{k}-grams")
+        shared.destroy()
         if level.isEmpty():
+            common.discard(level)
             break
         levels.append(level)
         filters.append(key_filter(level))
-    terms = _terms(spark, counts, levels, n, v, discount)
-    common.discard(counts, *levels)
-    hot = F.when(F.col("n") == 1, F.col("c") >= max(1.0, min_word_share * t)).otherwise(F.col("c") >= max(float(LEAST), min_ngram_share * n))
-    top = terms.where(hot).select("key", "base", "score", "known").orderBy("key").toArrow()
-    cache = sc.broadcast(tuple(top.column(i).to_numpy() for i in range(4)))
+    terms = _terms(counts, levels, space, discount)
+    common.discard(counts)
+    hot, cold = [], []
+    for k, x in enumerate(terms, 1):
+        least = max(1.0, min_word_share * t) if k == 1 else max(float(LEAST), min_ngram_share * n)
+        hot.append(x.where(F.col("total") >= least).select("key", "c", "score"))
+        cold.append(x.where(F.col("total") < least).select("key", "c", "score"))
+    both = lambda parts: parts[0] if len(parts) == 1 else both([parts[0].union(parts[1]), *parts[2:]])
+    top = both(hot).orderBy("key").toArrow()
+    cache = sc.broadcast(tuple(top.column(i).to_numpy() for i in range(3)))
     bits = sc.broadcast(filters)
 
-    def run(batches):
-        keys, *weights = cache.value
+    def weights(c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(known, base) of a term by its count; an n-gram's is -1."""
+        return (c > 0).astype(np.float64), np.where(c >= 0, np.log10((np.maximum(c, 0) + 1) / space), 0.0)
+
+    def send(batches):
+        keys, c, score = cache.value
+        add = [*weights(c), score]
 
         def look(key, doc, sums):
             """Adds the cached terms to the texts' sums; gives the rest of the keys."""
@@ -348,43 +422,100 @@ def score_documents(
                 return key, doc
             pos = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
             hit = keys[pos] == key
-            for s, w in zip(sums, weights):
-                s += np.bincount(doc[hit], w[pos[hit]], len(s))
+            for name, w in zip(("known", "base", "score"), add):
+                sums[name] += np.bincount(doc[hit], w[pos[hit]], len(sums[name]))
             return key[~hit], doc[~hit]
 
+        texts_held: list[tuple] = []
+        grams: list[list[tuple]] = [[], []]
+        docs_held = size = 0
+
+        def flush():
+            """A row of the texts themselves, and a row of n-grams for each shard that has any."""
+            names = ["doc_id", "train", "n", *_SUMS]
+            columns = [pa.concat_arrays([x[i] for x in texts_held]) if i < 2 else pa.array(np.concatenate([x[i] for x in texts_held])) for i in range(1, 8)]
+            block = int(texts_held[0][0])
+            rows = [(block % shards, 0, _ipc(pa.RecordBatch.from_arrays(columns, names=names)))]
+            for kind, held in enumerate(grams, 1):
+                key, doc = (np.concatenate(x) for x in zip(*held))
+                by = np.argsort(key.view(np.uint64), kind="stable")
+                key, doc = key[by], doc[by]
+                rows += [(s, kind, pack(key[at], doc[at])) for s, at in _dealt(key, shards)]
+            for s, kind, body in rows:
+                yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([block], pa.int64()), pa.array([kind], pa.int32()), pa.array([body], pa.binary())], names=["shard", "block", "kind", "body"])
+
         for b in batches:
             uids, ids_, trains, texts = b.column(0).to_numpy(), b.column(1), b.column(2), b.column(3).to_pylist()
             for lo, hi in _chunks(texts):
                 ids, doc = _hashed(texts[lo:hi])
                 m = hi - lo
-                sums = [np.zeros(m) for _ in range(3)]
-                rest = [look(ids, doc, sums)]
+                sums = {x: np.zeros(m) for x in _SUMS}
+                key, of = look(ids, doc, sums)
+                ok = _maybe(bits.value[0], key)
+                # a word that occurs once in all: here
+                sums["single"] += np.bincount(of[~ok], minlength=m)
+                grams[0].append((key[ok], of[ok] + docs_held))
                 at, key = np.arange(len(ids)), ids
-                for k, f in enumerate(bits.value, 2):
+                for k, f in enumerate(bits.value[1:], 2):
                     key, at = _next(key, at, doc, k)
                     ok = _maybe(f, key)
                     key, at = key[ok], at[ok]
-                    rest.append(look(key, doc[at], sums))
-                key, of = (np.concatenate(x) for x in zip(*rest))
-                by = np.lexsort((key, of))
-                key, of = key[by], of[by]
-                first = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (of[1:] != of[:-1])]) if len(key) else np.zeros(0, np.int64)
-                tf = np.diff(np.r_[first, len(key)])
-                own = uids[lo:hi]
-                fields = [ids_.slice(lo, m), pa.array([not x for x in trains.slice(lo, m).to_pylist()]), pa.array(np.bincount(doc, minlength=m)), pa.array(sums[2].astype(np.int64)), pa.array(sums[0]), pa.array(sums[1])]
-                row = pa.StructArray.from_arrays(fields, names=["doc_id", "held_out", "n_tokens", "n_known", "base", "score"])
-                yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(chained(own, own)), pa.nulls(m, pa.int64()), row], names=["uid", "key", "tf", "doc"])
-                for i in range(0, len(first), 1 << 16):
-                    j = first[i : i + (1 << 16)]
-                    yield pa.RecordBatch.from_arrays([pa.array(own[of[j]]), pa.array(key[j]), pa.array(tf[i : i + (1 << 16)]), pa.nulls(len(j), row.type)], names=["uid", "key", "tf", "doc"])
-
-    schema = "uid long, key long, tf long, doc struct<doc_id: long, held_out: boolean, n_tokens: long, n_known: long, base: double, score: double>"
-    rows = src.select(F.monotonically_increasing_id().alias("uid"), "doc_id", "train", "text").mapInArrow(run, schema)
-    cold = terms.where(~hot).select("key", "base", "score", "known")
-    term = lambda c, own: F.coalesce(F.col(f"doc.{own}"), F.col("tf") * F.col(c), F.lit(0))
-    joined = rows.join(cold, "key", "left").select("uid", "doc", term("known", "n_known").alias("n_known"), term("base", "base").alias("base_score"), term("score", "score").alias("score"))
-    out = joined.groupBy("uid").agg(
-        F.max("doc.doc_id").alias("doc_id"), F.max("doc.held_out").alias("held_out"), F.max("doc.n_tokens").alias("n_tokens"), F.sum("n_known").alias("n_known"),
-        F.lit(n).cast("long").alias("train_tokens"), F.sum("base_score").alias("base_score"), F.sum("score").alias("score"),
-    )
-    return out.drop("uid")
+                    rest, of = look(key, doc[at], sums)
+                    grams[1].append((rest, of + docs_held))
+                if len(bits.value) == 1:
+                    grams[1].append((np.empty(0, np.int64), np.empty(0, np.int64)))
+                texts_held.append((uids[lo], ids_.slice(lo, m), trains.slice(lo, m), np.bincount(doc, minlength=m), *sums.values()))
+                docs_held += m
+                size += sum(len(x[-1][0]) for x in grams) + len(ids) // 8
+                if size > FLUSH or docs_held > FLUSH_TEXTS:
+                    yield from flush()
+                    texts_held, grams, docs_held, size = [], [[], []], 0, 0
+        if texts_held:
+            yield from flush()
+
+    def resolve(left: pa.Table, right: pa.Table) -> pa.Table:
+        """The texts' rows as they are; for each block's n-grams the sums over this shard."""
+        key = right.column("key").to_numpy()
+        by = np.argsort(key)
+        key, c, score = key[by], right.column("c").to_numpy()[by], right.column("score").to_numpy()[by]
+        known, base = weights(c)
+        out: list[tuple] = []
+        for block, kind, body in zip(left.column("block").to_pylist(), left.column("kind").to_pylist(), left.column("body")):
+            if kind == 0:
+                out.append((block, 0, body.as_py()))
+                continue
+            want, doc = unpack(body.as_py(), 1)
+            doc = doc.astype(np.int64)
+            pos = np.minimum(np.searchsorted(key, want), max(len(key) - 1, 0))
+            hit = key[pos] == want if len(key) else np.zeros(len(want), bool)
+            m = int(doc.max()) + 1
+            sums = {x: np.bincount(doc[hit], w[pos[hit]], m) for x, w in (("known", known), ("base", base), ("score", score))}
+            # words that the filter let through though they occur once; other n-grams are none of the model
+            sums["single"] = np.bincount(doc[~hit], minlength=m).astype(np.float64) if kind == 1 else np.zeros(m)
+            touched = np.unique(doc)
+            batch = pa.RecordBatch.from_arrays([pa.array(touched), *(pa.array(sums[x][touched]) for x in _SUMS)], names=["doc", *_SUMS])
+            out.append((block, 1, _ipc(batch)))
+        return pa.table({"block": pa.array([x[0] for x in out], pa.int64()), "kind": pa.array([x[1] for x in out], pa.int32()), "body": pa.array([x[2] for x in out], pa.binary())})
+
+    def gather(table: pa.Table) -> pa.Table:
+        """The rows of a block's texts."""
+        got = [(kind, pa.ipc.open_stream(body).read_all()) for kind, body in zip(table.column("kind").to_pylist(), table.column("body").to_pylist())]
+        own = next(x for kind, x in got if kind == 0)
+        sums = {x: own.column(x).to_numpy().copy() for x in _SUMS}
+        for kind, part in got:
+            if kind:
+                at = part.column("doc").to_numpy()
+                for x in _SUMS:
+                    sums[x][at] += part.column(x).to_numpy()
+        trained = own.column("train").to_numpy(zero_copy_only=False).astype(bool)
+        lone = sums["single"] * np.log10((trained + 1) / space)
+        return pa.table({
+            "doc_id": own.column("doc_id"), "held_out": pa.array(~trained), "n_tokens": own.column("n"),
+            "n_known": pa.array((sums["known"] + sums["single"] * trained).astype(np.int64)), "train_tokens": pa.array(np.full(len(trained), n, np.int64)),
+            "base_score": pa.array(sums["base"] + lone), "score": pa.array(sums["score"] + lone),
+        })
+
+    rows = src.select(F.monotonically_increasing_id().alias("uid"), "doc_id", "train", "text").mapInArrow(send, "shard int, block long, kind int, body binary")
+    model = both(cold).withColumn("shard", shard_column("key", shards))
+    found = rows.groupBy("shard").cogroup(model.groupBy("shard")).applyInArrow(resolve, "block long, kind int, body binary")
+    return found.groupBy("block").applyInArrow(gather, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
