@@ -29,7 +29,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
@@ -38,9 +38,10 @@ from .substring_dedup import word_bounds
 
 END_KEY = np.int64(0x5EED0E4D0F7E8753)  # the end token, which is no word
 CHUNK = 1 << 20  # characters handled at once by a worker
-FLUSH = 1 << 21  # n-grams, and FLUSH_TEXTS texts, that a worker gathers before it sends them on
+FLUSH = 1 << 20  # n-grams, and FLUSH_TEXTS texts, that a worker gathers before it sends them on
 FLUSH_TEXTS = 1 << 16
-SHARD = 4_000_000  # tokens of the corpus for each shard of the model
+SHARD = 2_000_000  # tokens of the corpus for each shard of the model
+CACHE = 250_000  # most words, and n-grams of an order, that are broadcast
 LEAST = 2  # an n-gram seen so often is kept
 _HASHER = SpanHasher()
 
@@ -357,16 +358,23 @@ def _terms(counts: DataFrame, levels: list[DataFrame], space: float, discount: f
         low = common.written(low, f"lm-level-{k}")
         common.discard(below, context, *stored)
         stored = [low]
-    out.append(common.written(low.select("key", "c", "total", F.col("gain").alias("score")), "lm-terms-last"))
-    common.discard(*stored)
-    return out
+    last = low.select("key", "c", "total", F.col("gain").alias("score"))
+    return [*out, last if stored else common.written(last, "lm-terms-1")]
+
+
+def _frequent(terms: DataFrame, most: int) -> int:
+    """The least count that at most ``most`` rows reach; counts are few, so one task orders them."""
+    with common.shuffles_freed(terms.sparkSession):
+        per = terms.groupBy("total").agg(F.count("*").alias("m"))
+        per = per.withColumn("upto", F.sum("m").over(Window.orderBy(F.desc("total"))))
+        return per.where(F.col("upto") <= most).agg(F.coalesce(F.min("total"), F.lit((1 << 62)))).first()[0]
 
 
 _SUMS = ["known", "single", "base", "score"]
 
 
 def score_documents(
-    docs: DataFrame, train: Column, order: int = 3, min_word_share: float = 1e-6, min_ngram_share: float = 1e-6, discount: float = 0.5
+    docs: DataFrame, train: Column, order: int = 3, cached: int = CACHE, discount: float = 0.5
 ) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row.
 
@@ -375,9 +383,9 @@ def score_documents(
     token has probability 1. Texts of any length are read whole.
 
     Plan: counting is pre-aggregated in each task, so a hot word or n-gram is one entry per
-    task. Broadcast: a cache of at most 1/min_word_share words and 1/min_ngram_share n-grams
-    per order, and a filter of 8 MB per order; an n-gram beyond the cache is rarer than the
-    share, so a shard meets at most SHARD entries and one share of the tokens besides.
+    task. Broadcast: the ``cached`` most frequent words, and n-grams of each order, and a
+    filter of 8 MB an order. An n-gram beyond the cache is one of more than ``cached`` that
+    occur as often or more, so none piles up in its shard.
     """
     spark = docs.sparkSession
     sc = spark.sparkContext
@@ -399,8 +407,8 @@ def score_documents(
     terms = _terms(counts, levels, space, discount)
     common.discard(counts)
     hot, cold = [], []
-    for k, x in enumerate(terms, 1):
-        least = max(1.0, min_word_share * t) if k == 1 else max(float(LEAST), min_ngram_share * n)
+    for x in terms:
+        least = _frequent(x, cached)
         hot.append(x.where(F.col("total") >= least).select("key", "c", "score"))
         cold.append(x.where(F.col("total") < least).select("key", "c", "score"))
     both = lambda parts: parts[0] if len(parts) == 1 else both([parts[0].union(parts[1]), *parts[2:]])

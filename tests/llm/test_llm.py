@@ -64,7 +64,7 @@ def test_url_rules_and_model(spark):
 
 def test_lm_base_and_normalisation(spark, edge):
     train = F.coalesce(F.col("doc_id") != 3, F.lit(True))
-    got = lm_scoring.score_documents(edge, train, min_word_share=1e-3, min_ngram_share=1e-3).collect()
+    got = lm_scoring.score_documents(edge, train).collect()
     assert len(got) == len(EDGE)
     counts = Counter(t for d, x in EDGE if d != 3 for t in [*lm_scoring.tokens(x), b""])
     n, v = sum(counts.values()), len(counts)
@@ -79,8 +79,9 @@ def test_lm_base_and_normalisation(spark, edge):
         assert abs(total - 1) < 1e-9
 
 
-@pytest.mark.parametrize("share", [1e-6, 0.05])
-def test_lm_keeps_every_repeated_ngram(spark, share):
+@pytest.mark.parametrize("cached", [0, 20, 1000])
+def test_lm_keeps_every_repeated_ngram(spark, cached, monkeypatch):
+    monkeypatch.setattr(lm_scoring, "SHARD", 500)
     r = np.random.default_rng(3)
     texts = [" ".join(f"w{x}" for x in np.minimum(r.zipf(1.4, 40), 60)) for _ in range(60)] + ["", None]
     rows, train = list(enumerate(texts)), lambda i: i % 5 > 0
@@ -91,7 +92,7 @@ def test_lm_keeps_every_repeated_ngram(spark, share):
     uni = count(1)
     auto = lm_scoring.Automaton([uni[(i,)] for i in range(len(index))], sum(uni.values()), len(uni), [{g: c for g, c in count(n).items() if c >= 2} for n in (2, 3)], 0.5)
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    got = {x["doc_id"]: x for x in lm_scoring.score_documents(df, F.col("doc_id") % 5 > 0, min_word_share=share, min_ngram_share=share).collect()}
+    got = {x["doc_id"]: x for x in lm_scoring.score_documents(df, F.col("doc_id") % 5 > 0, cached=cached).collect()}
     for i, x in enumerate(ids):
         assert (got[i]["score"], got[i]["base_score"]) == pytest.approx(auto.traverse(x), abs=1e-6)
         assert (got[i]["n_known"], got[i]["held_out"]) == (sum(uni[(w,)] > 0 for w in x), not train(i))
