@@ -1,27 +1,34 @@
 """Checks of denial constraints: counts, existence, pairs, increments.
 
-Counting never lists pairs where an order statistic does: equality-only rules are
-group counts, one inequality is a running count over value frequencies, two are a
-segment-tree sweep whose nodes are again running counts. Ranges are split into
-buckets by quantiles first, so one hot key is spread over many tasks.
+A count is the number of ordered pairs of different rows; a row is no pair with itself,
+whatever its id. No count lists pairs: rows become points with weights (how many rows
+stand there as s, how many as t), equalities are the key, ``<>`` is all less equal, and
+each inequality but one is a tree over the ranks of its values, in which two rows of
+different rank part at exactly one node; the last inequality is a running count within
+the nodes. Cost is n log n for each tree, at every size and for every ordered type.
 """
 
 from __future__ import annotations
 
 from functools import reduce
+from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..plans.dc_rules import Rule, compare
 
+#: ranges that values are split into before they are ordered.
 BUCKETS = 64
-#: largest group that pairs are joined in; larger ones are counted by order.
-JOIN_GROUP = 2000
+
+
+def _all(conditions) -> Column:
+    return reduce(lambda a, b: a & b, conditions, F.lit(True))
 
 
 def violations(df: DataFrame, rule: Rule, id_col: str) -> DataFrame:
-    """(s_id, t_id) of all ordered pairs that break the rule: an equi-join with the rest as residual."""
+    """(s_id, t_id) of all ordered pairs of different ids that break the rule: an equi-join with the rest as residual."""
     return _pairs(df, df, rule, id_col)
 
 
@@ -30,8 +37,10 @@ def _pairs(left: DataFrame, right: DataFrame, rule: Rule, id_col: str, flags: li
     s, t = left.select(*sorted(used & set(left.columns))).alias("s"), right.select(*sorted(used & set(right.columns))).alias("t")
     on = [F.col(f"s.{p.left}") == F.col(f"t.{p.right}") for p in rule.keys]
     on += [p.column() for p in rule.rest]
+    if flags:
+        on.append(reduce(lambda a, b: a | b, (r.column() for r in flags)))
     on.append(F.col(f"s.{id_col}") != F.col(f"t.{id_col}"))
-    joined = s.join(t, reduce(lambda a, b: a & b, on))
+    joined = s.join(t, _all(on))
     cols = [F.col(f"s.{id_col}").alias("s_id"), F.col(f"t.{id_col}").alias("t_id")]
     return joined.select(*cols, *(r.column().alias(r.name) for r in flags or []))
 
@@ -41,118 +50,144 @@ def shared_violations(df: DataFrame, rules: list[Rule], id_col: str) -> DataFram
     out = None
     for sig in dict.fromkeys(r.signature for r in rules):
         group = [r for r in rules if r.signature == sig]
-        base = Rule(tuple(group[0].keys))
-        flagged = _pairs(df, df, base, id_col, group)
+        flagged = _pairs(df, df, Rule(tuple(group[0].keys)), id_col, group)
         names = F.array_compact(F.array(*(F.when(F.col(r.name), F.lit(r.name)) for r in group)))
         one = flagged.select(F.explode(names).alias("dc_id"), "s_id", "t_id")
         out = one if out is None else out.unionByName(one)
     return out
 
 
-def exists(df: DataFrame, rule: Rule, id_col: str) -> DataFrame:
+def counts(df: DataFrame, rules: list[Rule]) -> DataFrame:
+    """(dc_id, violations) of each rule."""
+    parts = [count(df, r).select(F.lit(r.name).alias("dc_id"), "violations") for r in rules]
+    return reduce(lambda a, b: a.unionByName(b), parts)
+
+
+def exists(df: DataFrame, rule: Rule) -> DataFrame:
     """One row, column ``violated``. One homogeneous inequality needs only the extremes of each key."""
     order = rule.order
     if len(order) == 1 and len(rule.predicates) == len(rule.keys) + 1 and order[0].same and all(k.same for k in rule.keys):
         c = order[0].left
-        per = df.where(F.col(c).isNotNull()).groupBy(*(k.left for k in rule.keys)).agg(F.max(c).alias("hi"), F.min(c).alias("lo"), F.count("*").alias("n"))
-        strict = order[0].op in ("<", ">")
-        return per.agg(F.coalesce(F.bool_or((F.col("hi") > F.col("lo")) if strict else (F.col("n") > 1)), F.lit(False)).alias("violated"))
-    return violations(df, rule, id_col).limit(1).agg((F.count("*") > 0).alias("violated"))
-
-
-def _splits(df: DataFrame, col: str) -> list:
-    got = df.agg(F.percentile_approx(F.col(col), [i / BUCKETS for i in range(1, BUCKETS)], 2000)).first()[0]
+        known = df.dropna(subset=[c, *(k.left for k in rule.keys)])
+        per = known.groupBy(*(k.left for k in rule.keys)).agg(F.max(c).alias("hi"), F.min(c).alias("lo"), F.count("*").alias("n"))
+        broken = F.col("hi") > F.col("lo") if order[0].op in ("<", ">") else F.col("n") > 1
+        return per.agg(F.coalesce(F.bool_or(broken), F.lit(False)).alias("violated"))
+    return count(df, rule).select((F.col("violations") > 0).alias("violated"))
+
+
+def _proxy(df: DataFrame, col: str) -> Column:
+    """A number that never falls as the value rises: ranges are cut by it."""
+    kind, c = df.schema[col].dataType, F.col(col)
+    if isinstance(kind, T.NumericType):
+        return c.cast("double")
+    if isinstance(kind, T.DateType):
+        return F.unix_date(c).cast("double")
+    if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
+        return F.unix_micros(c.cast("timestamp")).cast("double")
+    if isinstance(kind, T.StringType):
+        return F.conv(F.rpad(F.substring(F.hex(F.encode(c, "UTF-8")), 1, 14), 14, "0"), 16, 10).cast("double")
+    return F.lit(0.0)
+
+
+def _splits(df: DataFrame, proxy: Column) -> list[float]:
+    got = df.agg(F.percentile_approx(proxy, [i / BUCKETS for i in range(1, BUCKETS)], 2000)).first()[0]
     return sorted(set(got or []))
 
 
-def _bucket(col: Column, splits: list) -> Column:
+def _bucket(proxy: Column, splits: list[float]) -> Column:
     """Number of splits below the value: equal values share a bucket, order is kept."""
-    return F.size(F.filter(F.array(*(F.lit(x) for x in splits)), lambda x: x < col)) if splits else F.lit(0)
+    return F.size(F.filter(F.array(*(F.lit(x) for x in splits)), lambda x: x < proxy)) if splits else F.lit(0)
 
 
-def _ordered_count(rows: DataFrame, keys: list[str], strict: bool, splits: list) -> DataFrame:
-    """``n``: sum of cl(v) * cr(v') over v' < v (or <=) within a key; rows hold v, cl, cr."""
-    freq = rows.groupBy(*keys, "v").agg(F.sum("cl").alias("cl"), F.sum("cr").alias("cr")).withColumn("_b", _bucket(F.col("v"), splits))
+def _ordered_count(rows: DataFrame, keys: list[str], dim: str, op: str) -> DataFrame:
+    """``n``: sum of cl(v) * cr(v') over the pairs with v op v' within a key; rows hold the keys, v, cl, cr."""
+    proxy = _proxy(rows, dim)
+    down = op in ("<", "<=")
+    way = (lambda c: F.col(c).desc()) if down else (lambda c: F.col(c).asc())
+    freq = rows.withColumn("_b", _bucket(proxy, _splits(rows, proxy)))
     total = freq.groupBy(*keys, "_b").agg(F.sum("cr").alias("_r"))
-    below = total.withColumn("_below", F.sum("_r").over(Window.partitionBy(*keys).orderBy("_b")) - F.col("_r")).drop("_r")
-    run = F.sum("cr").over(Window.partitionBy(*keys, "_b").orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
-    counted = freq.withColumn("_run", run - (F.col("cr") if strict else F.lit(0)))
-    return counted.join(below, [*keys, "_b"]).agg(F.coalesce(F.sum(F.col("cl") * (F.col("_run") + F.col("_below"))), F.lit(0)).cast("long").alias("n"))
-
-
-def count_one(df: DataFrame, rule: Rule) -> DataFrame:
-    """Ordered pairs of a rule with one inequality (same or different columns) and equality keys."""
-    p = rule.order[0]
-    if p.op in ("<", "<="):
-        rule, p = Rule(tuple(x.swapped() for x in rule.predicates)), p.swapped()
-    strict = p.op == ">"
-    ks = [f"k{i}" for i in range(len(rule.keys))]
-    left = df.select(*(F.col(k.left).alias(n) for k, n in zip(rule.keys, ks)), F.col(p.left).alias("v"), F.lit(1).alias("cl"), F.lit(0).alias("cr"))
-    right = df.select(*(F.col(k.right).alias(n) for k, n in zip(rule.keys, ks)), F.col(p.right).alias("v"), F.lit(0).alias("cl"), F.lit(1).alias("cr"))
-    known = reduce(lambda a, b: a & b, (F.col(c).isNotNull() for c in [*ks, "v"]))
-    n = _ordered_count(left.union(right).where(known), ks, strict, _splits(df, p.left))
-    # a row is no pair with itself
-    own = df.agg(F.count_if(reduce(lambda a, b: a & b, [compare(q.op, F.col(q.left), F.col(q.right)) for q in rule.predicates])).alias("own"))
-    return n.union(own.select(-F.col("own"))).agg(F.sum("n").alias("violations"))
-
-
-def _equal_ids(df: DataFrame, rule: Rule, id_col: str) -> DataFrame:
-    """``n``: pairs of equal id that break a rule of one column per predicate, a row with itself included."""
-    cols = sorted({id_col, *(p.left for p in rule.predicates)})
-    s, t = df.select(*cols).alias("s"), df.select(*cols).alias("t")
-    on = [F.col(f"s.{c}") == F.col(f"t.{c}") for c in [id_col, *(k.left for k in rule.keys)]] + [p.column() for p in rule.order]
-    return s.join(t, reduce(lambda a, b: a & b, on)).agg(F.count("*").alias("n"))
-
-
-def count_two(df: DataFrame, rule: Rule, id_col: str, equal_ids: bool = True) -> DataFrame:
-    """Ordered pairs of a rule with two same-column inequalities.
-
-    Rows are told apart, or ids where ``equal_ids`` is False: pairs of equal id are then
-    taken off, and rows without an id are in no pair, as in ``_pairs``.
-
-    Rows are bucketed on the first column; a pair of different buckets meets in exactly
-    one node of the tree over the buckets, its two halves, where only the second column
-    is left to compare: a running count. Pairs within a bucket are joined.
+    below = total.withColumn("_below", F.sum("_r").over(Window.partitionBy(*keys).orderBy(way("_b"))) - F.col("_r")).drop("_r")
+    run = F.sum("cr").over(Window.partitionBy(*keys, "_b").orderBy(way(dim)).rowsBetween(Window.unboundedPreceding, 0))
+    counted = freq.withColumn("_run", run - (F.col("cr") if op in ("<", ">") else F.lit(0)))
+    product = F.col("cl").cast("decimal(19,0)") * (F.col("_run") + F.col("_below")).cast("decimal(19,0)")
+    return counted.join(below, [*keys, "_b"]).agg(F.sum(product).cast("decimal(38,0)").alias("n"))
+
+
+def _ranks(rows: DataFrame, dim: str) -> DataFrame:
+    """(dim, _rank): positions of the distinct values in their order, from 0; ordered range by range."""
+    values = rows.select(dim).distinct()
+    proxy = _proxy(values, dim)
+    values = values.withColumn("_b", _bucket(proxy, _splits(values, proxy)))
+    sizes = values.groupBy("_b").agg(F.count("*").alias("_n"))
+    # as many rows as there are ranges
+    before = sizes.withColumn("_before", F.sum("_n").over(Window.partitionBy(F.lit(0)).orderBy("_b")) - F.col("_n")).drop("_n")
+    place = values.withColumn("_i", F.row_number().over(Window.partitionBy("_b").orderBy(dim)))
+    return place.join(F.broadcast(before), "_b").select(dim, (F.col("_before") + F.col("_i") - 1).alias("_rank"))
+
+
+def _parted(rows: DataFrame, keys: list[str], dim: str, op: str, distinct: int, others: list[str]) -> DataFrame | None:
+    """Rows at the nodes of a tree over the ranks of ``dim``, where a pair that satisfies ``op`` meets once.
+
+    At level l rows of equal rank >> (l + 1) meet, the higher half as one side and the
+    lower as the other; for the loose operators equal ranks meet at a level of their own.
     """
-    a, b = rule.order
-    flip = a.op in ("<", "<=")
-    ks = [k.left for k in rule.keys]
-    rows = df.where(reduce(lambda x, y: x & y, (F.col(c).isNotNull() for c in [*ks, a.left, b.left, *([] if equal_ids else [id_col])])))
-    splits = _splits(rows, a.left)
-    levels = max(1, len(splits).bit_length())
-    bucketed = rows.withColumn("_bk", _bucket(F.col(a.left), splits))
-    lv = bucketed.select(*ks, F.col(b.left).alias("v"), "_bk", F.explode(F.array(*(F.lit(i) for i in range(1, levels + 1)))).alias("_l"))
-    high = F.expr("shiftright(_bk, _l - 1) & 1") == (0 if flip else 1)
-    up = b.op in (">", ">=")
-    lv = lv.select(*ks, "_l", F.expr("shiftright(_bk, _l)").alias("_node"), (F.col("v") if up else -F.col("v")).alias("v"), high.cast("int").alias("cl"), (~high).cast("int").alias("cr"))
-    across = _ordered_count(lv, [*ks, "_l", "_node"], b.op in ("<", ">"), [x if up else -x for x in _splits(rows, b.left)] if up else sorted(-x for x in _splits(rows, b.left)))
-    s, t = bucketed.select(*ks, a.left, b.left, "_bk").alias("s"), bucketed.select(*ks, a.left, b.left, "_bk").alias("t")
-    on = [F.col(f"s.{c}") == F.col(f"t.{c}") for c in [*ks, "_bk"]] + [a.column(), b.column()]
-    n = across.union(s.join(t, reduce(lambda x, y: x & y, on)).agg(F.count("*").alias("m")))
-    if not equal_ids:
-        n = n.union(_equal_ids(rows, rule, id_col).select(-F.col("n")))
-    elif a.op in ("<=", ">=") and b.op in ("<=", ">="):  # else no row pairs with itself
-        n = n.union(rows.agg((-F.count("*")).alias("n")))
-    return n.agg(F.sum("n").alias("violations"))
-
-
-def count(df: DataFrame, rule: Rule, id_col: str) -> DataFrame:
-    """One row, column ``violations``: the number of ordered pairs, by the cheapest strategy."""
-    plain = len(rule.predicates) == len(rule.keys) + len(rule.order)
-    if not rule.order and plain and all(k.same for k in rule.keys):
-        ks = [k.left for k in rule.keys]
-        per = df.dropna(subset=ks).groupBy(*ks).agg(F.count("*").alias("c"))
-        return per.agg(F.coalesce(F.sum(F.col("c") * (F.col("c") - 1)), F.lit(0)).alias("violations"))
-    if len(rule.order) == 1 and plain:
-        return count_one(df, rule)
-    if len(rule.order) == 2 and plain and rule.keys and all(p.same for p in rule.predicates):
-        biggest = df.groupBy(*(k.left for k in rule.keys)).count().agg(F.max("count")).first()[0] or 0
-        if biggest > JOIN_GROUP:
-            return count_two(df, rule, id_col, equal_ids=False)
-    if rule.symmetric:
-        half = violations(df, rule, id_col).where("s_id < t_id")
-        return half.agg((F.count("*") * 2).alias("violations"))
-    return violations(df, rule, id_col).agg(F.count("*").alias("violations"))
+    bits = (distinct - 1).bit_length()
+    high = 1 if op in (">", ">=") else 0
+    ranked = rows.join(_ranks(rows, dim), dim)
+    bit = lambda i: F.expr(f"shiftright(_rank, {i}) & 1")
+    at = [F.struct(F.lit(i).alias("l"), F.expr(f"shiftright(_rank, {i + 1})").alias("x"), F.when(bit(i) == high, F.col("cl")).otherwise(0).alias("cl"), F.when(bit(i) == high, 0).otherwise(F.col("cr")).alias("cr")) for i in range(bits)]
+    if op in (">=", "<="):
+        at.append(F.struct(F.lit(-1).alias("l"), F.col("_rank").alias("x"), F.col("cl").alias("cl"), F.col("cr").alias("cr")))
+    if not at:
+        return None
+    node = ranked.select(*keys, *others, F.explode(F.array(*at)).alias("_at"))
+    level, place = f"_l_{dim}", f"_x_{dim}"
+    node = node.select(*keys, *others, F.col("_at.l").alias(level), F.col("_at.x").alias(place), F.col("_at.cl").alias("cl"), F.col("_at.cr").alias("cr")).where("cl > 0 or cr > 0")
+    return node.groupBy(*keys, level, place, *others).agg(F.sum("cl").alias("cl"), F.sum("cr").alias("cr"))
+
+
+def _total(rows: DataFrame, keys: list[str], order: list[tuple[str, str]]) -> DataFrame | None:
+    """``n``: pairs (a row as s, a row as t) of a key that satisfy every (column, operator)."""
+    dims = [d for d, _ in order]
+    rows = rows.groupBy(*keys, *dims).agg(F.sum("cl").alias("cl"), F.sum("cr").alias("cr"))
+    if not order:
+        return rows.agg(F.sum(F.col("cl").cast("decimal(19,0)") * F.col("cr").cast("decimal(19,0)")).cast("decimal(38,0)").alias("n"))
+    if len(order) > 1:  # trees over the columns of fewest values
+        distinct = rows.agg(*(F.count_distinct(d).alias(d) for d in dims)).first()
+        order = sorted(order, key=lambda x: distinct[x[0]])
+        for i, (dim, op) in enumerate(order[:-1]):
+            rows = _parted(rows, keys, dim, op, distinct[dim], [d for d, _ in order[i + 1 :]])
+            if rows is None:
+                return None
+            keys = [*keys, f"_l_{dim}", f"_x_{dim}"]
+    return _ordered_count(rows, keys, *order[-1])
+
+
+def count(df: DataFrame, rule: Rule) -> DataFrame:
+    """One row, column ``violations``: ordered pairs of different rows that break the rule.
+
+    A null in a column of a predicate makes it not hold. Columns compared may differ;
+    constants are a filter on s; rows are told apart even where all their values agree.
+    """
+    pairs = [p for p in rule.predicates if p.constant is None]
+    fixed = [compare(p.op, F.col(p.left), F.lit(p.constant)) for p in rule.predicates if p.constant is not None]
+    names = [f"{'k' if p.op == '=' else 'd'}{i}" for i, p in enumerate(pairs)]
+    known = lambda side: _all(F.col(getattr(p, side)).isNotNull() for p in pairs)
+    left = df.where(_all(fixed) & known("left")).select(*(F.col(p.left).alias(n) for p, n in zip(pairs, names)), F.lit(1).alias("cl"), F.lit(0).alias("cr"))
+    right = df.where(known("right")).select(*(F.col(p.right).alias(n) for p, n in zip(pairs, names)), F.lit(0).alias("cl"), F.lit(1).alias("cr"))
+    rows = left.union(right)
+    keys = [n for p, n in zip(pairs, names) if p.op == "="]
+    order = [(n, p.op) for p, n in zip(pairs, names) if p.op not in ("=", "<>")]
+    unequal = [n for p, n in zip(pairs, names) if p.op == "<>"]
+    own = df.agg(F.count_if(_all([compare(p.op, F.col(p.left), F.col(p.right)) for p in pairs] + fixed)).cast("decimal(38,0)").alias("n"))
+    out = own.select((-F.col("n")).alias("n"))
+    # pairs with x <> y are all pairs less those with x = y, for each such predicate
+    for m in range(len(unequal) + 1):
+        for equal in combinations(unequal, m):
+            part = _total(rows, [*keys, *equal], order)
+            if part is not None:
+                out = out.union(part.select((F.col("n") if m % 2 == 0 else -F.col("n")).cast("decimal(38,0)").alias("n")))
+    return out.agg(F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("violations"))
 
 
 def insert(history: DataFrame, delta: DataFrame, rule: Rule, id_col: str) -> DataFrame:
@@ -191,7 +226,33 @@ def in_box(bounds: dict[str, tuple[float, float]]) -> Column:
     return reduce(lambda a, b: a & b, (F.coalesce(F.col(c).between(lo, hi), F.lit(False)) for c, (lo, hi) in bounds.items()), F.lit(True))
 
 
-def nearest(df: DataFrame, point: list[float], n: int, cols: list[str], id_col: str) -> DataFrame:
-    """The n rows closest by Euclidean distance, ties by id."""
-    d = F.sqrt(reduce(lambda a, b: a + b, (F.pow(F.col(c) - x, 2) for c, x in zip(cols, point))))
-    return df.select(id_col, F.round(d, 6).alias("distance")).orderBy("distance", id_col).limit(n)
+def boxes_meet(a: dict[str, tuple[Column, Column]], b: dict[str, tuple[Column, Column]]) -> Column:
+    """Whether two boxes overlap, ends included; a dimension that one lacks is unbounded there."""
+    return _all((a[c][0] <= b[c][1]) & (b[c][0] <= a[c][1]) for c in a if c in b)
+
+
+def distance(cols: list[str], point: list, metric: str = "euclidean") -> Column:
+    """Euclidean distance, or the number of coordinates that differ (``hamming``)."""
+    if metric == "hamming":
+        return reduce(lambda a, b: a + b, ((~F.col(c).eqNullSafe(F.lit(x))).cast("int") for c, x in zip(cols, point)))
+    return F.sqrt(reduce(lambda a, b: a + b, (F.pow(F.col(c) - x, 2) for c, x in zip(cols, point))))
+
+
+def within(df: DataFrame, point: list, radius: float, cols: list[str], metric: str = "euclidean") -> DataFrame:
+    """Rows at most ``radius`` from the point; the box around it bounds the scan first."""
+    if metric == "euclidean":
+        df = df.where(in_box({c: (x - radius, x + radius) for c, x in zip(cols, point)}))
+    return df.where(distance(cols, point, metric) <= radius)
+
+
+def nearest(df: DataFrame, point: list[float], n: int, cols: list[str], id_col: str, accept: Column | None = None) -> DataFrame:
+    """The n rows closest by Euclidean distance that ``accept`` holds for, ties by id."""
+    kept = df if accept is None else df.where(accept)
+    return kept.select(id_col, F.round(distance(cols, point), 6).alias("distance")).orderBy("distance", id_col).limit(n)
+
+
+def edit(points: DataFrame, changes: DataFrame, id_col: str) -> DataFrame:
+    """Points after inserts, moves and deletes: a change row replaces its id; null coordinates delete it."""
+    rest = points.join(changes.select(id_col).distinct(), id_col, "left_anti")
+    coords = [c for c in points.columns if c != id_col]
+    return rest.unionByName(changes.select(*points.columns).where(_all(F.col(c).isNotNull() for c in coords)))

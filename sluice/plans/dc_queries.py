@@ -24,29 +24,51 @@ def orders(spark, d):
     return spark.read.parquet(f"{d}/orders.parquet")
 
 
-def _count(name, text, sql_on):
-    Q[name] = lambda spark, d: dc.count(lineitem(spark, d), rule(text), "id")
-    SQL[name] = f"WITH l AS (SELECT *, l_orderkey * 100 + l_linenumber AS id FROM lineitem) SELECT count(*) AS violations FROM l s JOIN l t ON {sql_on} AND s.id <> t.id"
-
-
-_count("dc_eq_only_count", "l_partkey = l_partkey, l_suppkey = l_suppkey", "s.l_partkey = t.l_partkey AND s.l_suppkey = t.l_suppkey")
-_count("dc_one_ineq_count", "l_suppkey = l_suppkey, l_extendedprice > l_extendedprice", "s.l_suppkey = t.l_suppkey AND s.l_extendedprice > t.l_extendedprice")
-_count("dc_one_ineq_count_loose", "l_suppkey = l_suppkey, l_quantity <= l_quantity", "s.l_suppkey = t.l_suppkey AND s.l_quantity <= t.l_quantity")
-_count("dc_hetero_ineq_count", "l_suppkey = l_suppkey, l_tax > l_discount", "s.l_suppkey = t.l_suppkey AND s.l_tax > t.l_discount")
-# these strategies tell rows apart, not ids: (orderkey, linenumber) is not unique here
-_ROWS = "SELECT (SELECT count(*) FROM lineitem s JOIN lineitem t ON {on}) - (SELECT count(*) FROM lineitem s WHERE {own}) AS violations"
-SQL["dc_one_ineq_count"] = _ROWS.format(on="s.l_suppkey = t.l_suppkey AND s.l_extendedprice > t.l_extendedprice", own="false")
-SQL["dc_one_ineq_count_loose"] = _ROWS.format(on="s.l_suppkey = t.l_suppkey AND s.l_quantity <= t.l_quantity", own="true")
-SQL["dc_hetero_ineq_count"] = _ROWS.format(on="s.l_suppkey = t.l_suppkey AND s.l_tax > t.l_discount", own="s.l_tax > s.l_discount")
-_count("dc_two_ineq_count", "l_quantity = l_quantity, l_tax = l_tax, l_extendedprice > l_extendedprice, l_discount < l_discount", "s.l_quantity = t.l_quantity AND s.l_tax = t.l_tax AND s.l_extendedprice > t.l_extendedprice AND s.l_discount < t.l_discount")
-_count("dc_multi_ineq_count", "l_partkey = l_partkey, l_extendedprice > l_extendedprice, l_discount < l_discount, l_tax >= l_tax", "s.l_partkey = t.l_partkey AND s.l_extendedprice > t.l_extendedprice AND s.l_discount < t.l_discount AND s.l_tax >= t.l_tax")
-_count("dc_cross_equality", "l_partkey = l_suppkey, l_suppkey = l_partkey", "s.l_partkey = t.l_suppkey AND s.l_suppkey = t.l_partkey")
-_count("dc_unequal_count", "l_partkey = l_partkey, l_suppkey <> l_suppkey", "s.l_partkey = t.l_partkey AND s.l_suppkey <> t.l_suppkey")
-
-Q["dc_two_ineq_tree"] = lambda spark, d: dc.count_two(lineitem(spark, d), rule("l_suppkey = l_suppkey, l_extendedprice > l_extendedprice, l_discount < l_discount"), "id")
-SQL["dc_two_ineq_tree"] = "WITH l AS (SELECT *, l_orderkey * 100 + l_linenumber AS id FROM lineitem) SELECT count(*) AS violations FROM l s JOIN l t ON s.l_suppkey = t.l_suppkey AND s.l_extendedprice > t.l_extendedprice AND s.l_discount < t.l_discount"
-Q["dc_one_ineq_exists"] = lambda spark, d: dc.exists(lineitem(spark, d), rule("l_returnflag = l_returnflag, l_extendedprice > l_extendedprice"), "id")
-SQL["dc_one_ineq_exists"] = "SELECT bool_or(hi > lo) AS violated FROM (SELECT max(l_extendedprice) hi, min(l_extendedprice) lo FROM lineitem GROUP BY l_returnflag)"
+#: rows are told apart, so a pair is two rows; a row with itself is taken off
+_ROWS = "SELECT (SELECT count(*) FROM {t} s JOIN {t} t ON {on}) - (SELECT count(*) FROM {t} s WHERE {own}) AS violations"
+
+
+def _predicates(text, s, t):
+    parts = [p.split() for p in text.split(",")]
+    return " AND ".join(f"{s}.{a} {op} " + (b if b[0].isdigit() else f"{t}.{b}") for a, op, b in parts)
+
+
+def _count(name, text, table="lineitem"):
+    Q[name] = lambda spark, d: dc.count(spark.read.parquet(f"{d}/{table}.parquet"), rule(text))
+    SQL[name] = _ROWS.format(t=table, on=_predicates(text, "s", "t"), own=_predicates(text, "s", "s"))
+
+
+_count("dc_eq_only_count", "l_partkey = l_partkey, l_suppkey = l_suppkey")
+_count("dc_one_ineq_count", "l_suppkey = l_suppkey, l_extendedprice > l_extendedprice")
+_count("dc_one_ineq_count_loose", "l_suppkey = l_suppkey, l_quantity <= l_quantity")
+_count("dc_hetero_ineq_count", "l_suppkey = l_suppkey, l_tax > l_discount")
+_count("dc_two_ineq_count", "l_quantity = l_quantity, l_tax = l_tax, l_extendedprice > l_extendedprice, l_discount < l_discount")
+_count("dc_two_ineq_tree", "l_suppkey = l_suppkey, l_extendedprice > l_extendedprice, l_discount < l_discount")
+_count("dc_two_hetero_count", "l_suppkey = l_suppkey, l_tax > l_discount, l_discount <= l_tax")
+_count("dc_multi_ineq_count", "l_partkey = l_partkey, l_extendedprice > l_extendedprice, l_discount < l_discount, l_tax >= l_tax")
+_count("dc_multi_hetero_count", "l_partkey = l_partkey, l_extendedprice > l_extendedprice, l_discount < l_tax, l_tax >= l_discount")
+_count("dc_cross_equality", "l_partkey = l_suppkey, l_suppkey = l_partkey")
+_count("dc_unequal_count", "l_partkey = l_partkey, l_suppkey <> l_suppkey")
+_count("dc_unequal_and_order", "l_suppkey = l_suppkey, l_returnflag <> l_returnflag, l_extendedprice < l_extendedprice")
+_count("dc_string_order", "l_suppkey = l_suppkey, l_returnflag < l_returnflag, l_quantity >= l_quantity")
+_count("dc_date_order", "l_partkey = l_partkey, l_shipdate < l_shipdate, l_extendedprice > l_extendedprice")
+_count("dc_constant_predicate", "l_partkey = l_partkey, l_quantity > 40, l_discount > l_discount")
+_count("dc_orders_date_price", "o_custkey = o_custkey, o_orderdate < o_orderdate, o_totalprice > o_totalprice", "orders")
+_count("dc_orders_status", "o_custkey = o_custkey, o_orderstatus = o_orderstatus, o_orderpriority <> o_orderpriority", "orders")
+_count("dc_customer_balance", "c_nationkey = c_nationkey, c_mktsegment = c_mktsegment, c_acctbal >= c_acctbal", "customer")
+_count("dc_part_size_price", "p_brand = p_brand, p_size < p_size, p_retailprice > p_retailprice", "part")
+_count("dc_supplier_balance", "s_nationkey = s_nationkey, s_acctbal < s_acctbal", "supplier")
+_count("dc_events_value", "event_type = event_type, user_id = user_id, ts < ts, value > value", "events")
+
+
+def _exists(name, text, sql):
+    Q[name] = lambda spark, d: dc.exists(lineitem(spark, d), rule(text))
+    SQL[name] = sql
+
+
+_exists("dc_one_ineq_exists", "l_returnflag = l_returnflag, l_extendedprice > l_extendedprice", "SELECT bool_or(hi > lo) AS violated FROM (SELECT max(l_extendedprice) hi, min(l_extendedprice) lo FROM lineitem GROUP BY l_returnflag)")
+_exists("dc_two_ineq_exists", "l_partkey = l_partkey, l_tax > l_tax, l_discount < l_discount", f"SELECT count(*) > 0 AS violated FROM lineitem s JOIN lineitem t ON {_predicates('l_partkey = l_partkey, l_tax > l_tax, l_discount < l_discount', 's', 't')}")
+_exists("dc_never_exists", "l_orderkey = l_orderkey, l_quantity > 50, l_tax > l_tax", f"SELECT count(*) > 0 AS violated FROM lineitem s JOIN lineitem t ON {_predicates('l_orderkey = l_orderkey, l_quantity > 50, l_tax > l_tax', 's', 't')}")
 
 PRICE = "o_custkey = o_custkey, o_totalprice > o_totalprice, o_orderpriority = o_orderpriority"
 Q["dc_pairs"] = lambda spark, d: dc.violations(orders(spark, d), rule(PRICE), "o_orderkey")
@@ -55,12 +77,15 @@ SQL["dc_pairs"] = f"SELECT s.o_orderkey AS s_id, t.o_orderkey AS t_id FROM order
 
 RULES = [rule(PRICE, "price"), rule("o_custkey = o_custkey, o_orderpriority = o_orderpriority, o_orderdate < o_orderdate, o_totalprice > o_totalprice", "late"), rule("o_custkey = o_custkey, o_orderstatus <> o_orderstatus, o_totalprice < o_totalprice", "status")]
 Q["dc_multi_rule_shared"] = lambda spark, d: dc.shared_violations(orders(spark, d), RULES, "o_orderkey").groupBy("dc_id").agg(F.count("*").alias("violations"))
+Q["dc_multi_rule_counts"] = lambda spark, d: dc.counts(orders(spark, d), RULES)
 SQL["dc_multi_rule_shared"] = f"""WITH p AS (SELECT s.o_orderkey a, t.o_orderkey b, {_PAIR} AS price,
     s.o_custkey = t.o_custkey AND s.o_orderpriority = t.o_orderpriority AND s.o_orderdate < t.o_orderdate AND s.o_totalprice > t.o_totalprice AS late,
     s.o_custkey = t.o_custkey AND s.o_orderstatus <> t.o_orderstatus AND s.o_totalprice < t.o_totalprice AS status
     FROM orders s JOIN orders t ON s.o_custkey = t.o_custkey AND s.o_orderkey <> t.o_orderkey)
     SELECT 'price' AS dc_id, count(*) AS violations FROM p WHERE price UNION ALL SELECT 'late', count(*) FROM p WHERE late UNION ALL SELECT 'status', count(*) FROM p WHERE status"""
 
+SQL["dc_multi_rule_counts"] = SQL["dc_multi_rule_shared"]
+
 
 def _insert(spark, d):
     o = orders(spark, d)

@@ -48,26 +48,47 @@ def test_incremental_golden(spark, op, expect):
     assert all(0 not in p for p in map(tuple, left))
 
 
-def test_counting_strategies_equal_nested_loop(spark):
+def _nested_loop(rows, cols, text):
+    """Ordered pairs of different rows; a null makes a predicate not hold."""
+    ops = {"=": lambda a, b: a == b, "<>": lambda a, b: a != b, "<": lambda a, b: a < b, ">": lambda a, b: a > b, "<=": lambda a, b: a <= b, ">=": lambda a, b: a >= b}
+    preds = rule(text).predicates
+    at = {c: i for i, c in enumerate(cols)}
+
+    def holds(s, t):
+        for p in preds:
+            a, b = s[at[p.left]], p.constant if p.constant is not None else t[at[p.right]]
+            if a is None or b is None or not ops[p.op](a, b):
+                return False
+        return True
+
+    return sum(i != j and holds(s, t) for i, s in enumerate(rows) for j, t in enumerate(rows))
+
+
+RULES = [
+    "k = k, a > a", "k = k, a <= a", "k = k, a < b", "k = k, b >= c", "k = k", "a = b, b = a", "k = k, a <> a", "k = k, a > a, b < b", "a > a, b <= c",
+    "k = k, a >= a, b <= b, c > c", "k = k, s < s", "s >= s, d < d", "k = k, d <= d, a <> a, b <> b", "k = k, a > 4, b < b", "a < a",
+]
+
+
+@pytest.mark.parametrize("text", RULES)
+def test_counts_equal_nested_loop(spark, text):
     r = random.Random(5)
-    rows = [(i, r.randint(0, 3), r.choice([None, *range(9)]), r.randint(0, 9), r.randint(0, 4)) for i in range(300)]
-    df = spark.createDataFrame(rows, "id int, k int, a int, b int, c int")
-    for text in ("k = k, a > a", "k = k, a <= a", "k = k, a < b", "k = k, b >= c", "k = k", "a = b, b = a", "k = k, a <> a", "k = k, a > a, b < b"):
-        x = rule(text)
-        want = dc.violations(df, x, "id").count()
-        assert dc.count(df, x, "id").first()[0] == want, text
-        if text.endswith("b < b"):
-            assert dc.count_two(df, x, "id").first()[0] == want
-
-
-def test_counts_of_large_groups_tell_ids_apart(spark):
-    r = random.Random(6)
-    n = dc.JOIN_GROUP + 100
-    rows = [(None if i % 500 == 7 else i % (n // 3), 1, r.randint(0, 40), r.randint(0, 9)) for i in range(n)]
-    df = spark.createDataFrame(rows, "id int, k int, a int, b int")
-    for text in ("k = k, a > a, b < b", "k = k, a >= a, b <= b", "k = k, a < a, b <= b"):
-        x = rule(text)
-        assert dc.count(df, x, "id").first()[0] == dc.violations(df, x, "id").count(), text
+    day = lambda: r.choice([None, dt.date(2024, 1, 1) + dt.timedelta(days=r.randint(0, 9))])
+    cols = ["id", "k", "a", "b", "c", "s", "d"]
+    rows = [(r.randint(0, 60), r.choice([None, 0, 0, 0, 1, 2]), r.choice([None, *range(9)]), r.randint(0, 9), r.randint(0, 4), r.choice([None, "", "a", "ab", "b", "é", "aaaaaaaab"]), day()) for _ in range(150)]
+    rows += rows[:5]  # repeated rows, repeated ids, null keys
+    df = spark.createDataFrame(rows, "id int, k int, a int, b int, c int, s string, d date")
+    want = _nested_loop(rows, cols, text)
+    assert dc.count(df, rule(text)).first()[0] == want
+    assert dc.exists(df, rule(text)).first()[0] == (want > 0)
+    assert dc.count(df.limit(0), rule(text)).first()[0] == 0 and dc.exists(df.limit(0), rule(text)).first()[0] is False
+
+
+def test_null_keys_are_no_group(spark):
+    df = spark.createDataFrame([(None, 1.0), (None, 2.0)], "k int, v double")
+    assert dc.exists(df, rule("k = k, v > v")).first()[0] is False
+    assert dc.count(df, rule("k = k, v > v")).first()[0] == 0
+
 
 
 def test_rules_and_assessments(spark):
