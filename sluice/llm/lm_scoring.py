@@ -38,9 +38,9 @@ from .substring_dedup import word_bounds
 
 END_KEY = np.int64(0x5EED0E4D0F7E8753)  # the end token, which is no word
 CHUNK = 1 << 20  # characters handled at once by a worker
-FLUSH = 1 << 20  # n-grams, and FLUSH_TEXTS texts, that a worker gathers before it sends them on
+FLUSH = 1 << 19  # n-grams, and FLUSH_TEXTS texts, that a worker gathers before it sends them on
 FLUSH_TEXTS = 1 << 16
-SHARD = 2_000_000  # tokens of the corpus for each shard of the model
+SHARD = 1_000_000  # tokens of the corpus for each shard of the model
 CACHE = 250_000  # most words, and n-grams of an order, that are broadcast
 LEAST = 2  # an n-gram seen so often is kept
 _HASHER = SpanHasher()
