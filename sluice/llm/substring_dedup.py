@@ -339,9 +339,10 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, unit: Unit = BYTES):
     return src, rows, texts, touched.join(spans, "uid")
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, unit: Unit = BYTES, texts_out: bool = False) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row; with ``texts_out``
-    also x1, x2 and ``kept``, the remaining text, where anything was removed.
+def remove_repeats(docs: DataFrame, length: int = LENGTH, unit: Unit = BYTES, texts_out: bool = False, keys_out: bool = False) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row; with ``keys_out`` also
+    x1, x2, the text's identity, and with ``texts_out`` also ``kept``, the remaining text,
+    where anything was removed.
 
     Removed is each byte covered by a ``length``-byte string that also starts anywhere
     else in the table, the same row included; matches never cross rows. With the unit
@@ -384,5 +385,6 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, unit: Unit = BYTES, te
         F.when(whole, F.col("n_bytes")).otherwise(F.coalesce("removed", F.lit(0))).cast("long").alias("n_removed"),
         F.when(whole, F.lit(1)).otherwise(F.coalesce("spans", F.lit(0))).cast("long").alias("n_spans"),
         F.when(whole, F.lit(EMPTY_SHA)).otherwise(F.coalesce("left_sha", "sha")).alias("kept_sha256"),
-        *(["x1", "x2", F.when(whole, F.lit("")).otherwise(F.col("kept")).alias("kept")] if texts_out else []),
+        *(["x1", "x2"] if texts_out or keys_out else []),
+        *([F.when(whole, F.lit("")).otherwise(F.col("kept")).alias("kept")] if texts_out else []),
     )

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sluice.llm import common, decontaminate, lm_scoring, mixing, near_duplicates, substring_dedup, token_counts, topk_search, toxicity, url_filter, warc
+from sluice.llm import common, queries, decontaminate, lm_scoring, mixing, near_duplicates, substring_dedup, token_counts, topk_search, toxicity, url_filter, warc
 
 EDGE = [(1, ""), (2, None), (3, "one"), (3, "one"), (None, "a b c d e f g h"), (5, "w " * 3000), (6, "a b c d e f g h")]
 
@@ -112,6 +112,16 @@ def test_substring_dedup_equals_brute_force(spark):
     assert order == sorted(order, key=lambda x: ([b"banana bandana", b"ananas"][x[0]][x[1] :], x[0]))
 
 
+def test_op5_reports_passages_of_fifty_words(spark, tmp_path):
+    short = " ".join(f"a{i}" for i in range(52))  # under 400 bytes
+    texts = [f"{short} tail one", f"head {short}", "other text " * 3, None, "", short[:150], "x " * 60]
+    extra = [(i, t, 1, "kept") for i, t in enumerate(texts)]
+    spark.createDataFrame(extra, "doc_id long, text string, n long, kept string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r for r in queries.QUERIES["op5_substring_dedup"](spark, str(tmp_path)).collect()}
+    assert len(got) == len(texts) and all(r["n_removed"] == 0 for r in got.values())
+    assert [got[i]["passage_bytes"] for i in range(len(texts))] == [len(short), len(short), 0, 0, 0, 0, 119]
+
+
 def test_near_duplicates_edges(spark, edge):
     got = near_duplicates.near_duplicates(edge).collect()
     assert len(got) == len(EDGE)
