@@ -11,6 +11,7 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -167,11 +168,18 @@ class Staged:
     plan: Callable[[DataFrame, list[str]], DataFrame]
 
 
+def null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Join on keys where null equals null: a null instance is a group like any other."""
+    other = right.select(*(F.col(k).alias(f"_r_{k}") for k in keys), *(c for c in right.columns if c not in keys))
+    on = reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(f"_r_{k}")) for k in keys))
+    return left.join(other, on, how).drop(*(f"_r_{k}" for k in keys))
+
+
 def _frequencies(final: Callable[[], Column], c) -> Staged:
     def plan(df: DataFrame, keys: list[str]) -> DataFrame:
         freq = df.groupBy(*keys, _c(c).alias("_v")).agg(F.count("*").alias("_n"))
         top = freq.groupBy(*keys).agg(F.max("_n").alias("_top"))
-        return freq.join(top, keys).groupBy(*keys).agg(final().alias("value"))
+        return null_safe(freq, top, keys).groupBy(*keys).agg(final().alias("value"))
 
     return Staged(plan)
 
@@ -203,7 +211,7 @@ def set_conformance_fraction_only_most_frequent(c, allowed, precision: int = 3):
 def _above_mean(final: Callable[[], Column], c) -> Staged:
     def plan(df: DataFrame, keys: list[str]) -> DataFrame:
         means = df.groupBy(*keys).agg(F.avg(_c(c)).alias("_mean"))
-        return df.join(means, keys).withColumn("_v", _c(c)).groupBy(*keys).agg(final().alias("value"))
+        return null_safe(df, means, keys).withColumn("_v", _c(c)).groupBy(*keys).agg(final().alias("value"))
 
     return Staged(plan)
 
@@ -267,7 +275,7 @@ def correlation(first: str, second: str, precision: int = 3, method: str = "pear
         rows = cell.groupBy(*keys, first).agg(F.sum("_n").alias("_r"))
         cols = cell.groupBy(*keys, second).agg(F.sum("_n").alias("_k"))
         total = cell.groupBy(*keys).agg(F.sum("_n").alias("_t"), F.count_distinct(first).alias("_nr"), F.count_distinct(second).alias("_nk"))
-        joined = cell.join(rows, [*keys, first]).join(cols, [*keys, second]).join(total, keys)
+        joined = null_safe(null_safe(null_safe(cell, rows, [*keys, first]), cols, [*keys, second]), total, keys)
         phi = F.sum(F.col("_n") * F.col("_n") / (F.col("_r") * F.col("_k"))) - 1
         low = F.least(F.first("_nr"), F.first("_nk")) - 1
         return joined.groupBy(*keys).agg(F.when(low > 0, F.round(F.sqrt(phi / low), precision)).otherwise(F.lit(float("nan"))).alias("value"))

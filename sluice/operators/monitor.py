@@ -6,10 +6,11 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as Order
 from pyspark.sql import functions as F
 
 from ..functions.assess import assess
-from ..functions.measures import Staged
+from ..functions.measures import Staged, null_safe
 
 
 @dataclass(frozen=True)
@@ -70,9 +71,20 @@ class Monitor:
 
     def _windowed(self, df: DataFrame) -> DataFrame:
         ts = F.col(self.time_column).cast("timestamp")
+        if self.window.kind == "session":
+            return self._sessions(df.where(ts.isNotNull()), ts)
         out = df.withColumn("_w", self.window.column(ts))
         return out.withColumns({"window_start": F.col("_w.start"), "window_end": F.col("_w.end")}).drop("_w")
 
+    def _sessions(self, df: DataFrame, ts: Column) -> DataFrame:
+        """Each row with its session's bounds: a session ends where no row follows within the gap."""
+        gap = F.expr(f"INTERVAL {self.window.duration}")
+        by = Order.partitionBy(self.instance if self.instance else F.lit(0))
+        new = F.coalesce(ts > F.lag(ts).over(by.orderBy(ts)) + gap, F.lit(True)).cast("int")
+        out = df.withColumn("_new", new).withColumn("_s", F.sum("_new").over(by.orderBy(ts)))
+        same = Order.partitionBy(self.instance if self.instance else F.lit(0), "_s")
+        return out.withColumns({"window_start": F.min(ts).over(same), "window_end": F.max(ts).over(same) + gap}).drop("_new", "_s")
+
     def _plain(self, df: DataFrame) -> DataFrame:
         aggs = [m.alias(n) for n, (m, _) in self.checks.items() if not isinstance(m, Staged)] or [F.count("*").alias("_rows")]
         if self.window.kind == "session":
@@ -93,10 +105,8 @@ class Monitor:
         got = self._plain(df)
         for n, (m, _) in self.checks.items():
             if isinstance(m, Staged):
-                if self.window.kind == "session":
-                    raise ValueError("staged measures need fixed windows")
                 part = m.plan(self._windowed(df), self.keys).withColumnRenamed("value", n)
-                got = got.join(part, self.keys, "left")
+                got = null_safe(got, part, self.keys, "left")
         return self._assessed(got)
 
     def stream(self, df: DataFrame) -> DataFrame:

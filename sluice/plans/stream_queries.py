@@ -271,10 +271,10 @@ def _tomb(spark, d):
     return S.tombstone(e, e.where((F.col("event_id") % 10 == 3) & (F.hour("ts") < 12)), ["event_id", "pane_id"]).select("event_id")
 
 
-@add("late_invalidate", "SELECT s.event_id AS s_id, t.event_id AS t_id FROM events s JOIN events t ON s.user_id = t.user_id AND s.event_type = t.event_type AND s.value < t.value AND s.event_id <> t.event_id WHERE t.event_id % 100 = 3")
+@add("late_invalidate", "SELECT s.event_id AS s_id, t.event_id AS t_id FROM events s JOIN events t ON s.user_id = t.user_id AND s.event_type = t.event_type AND s.value < t.value AND s.event_id <> t.event_id WHERE t.event_id % 10 = 3")
 def _invalidate(spark, d):
     e = events(spark, d)
-    return dc._pairs(e, e.where("event_id % 100 = 3"), rule(WINDOWED), "event_id")
+    return dc._pairs(e, e.where("event_id % 10 = 3"), rule(WINDOWED), "event_id")
 
 
 @add("accuracy_metrics", _AL + ", t AS (SELECT event_id FROM events WHERE value < 5), f AS (SELECT DISTINCT s_id AS event_id FROM a), c AS (SELECT (SELECT count(*) FROM t SEMI JOIN f USING (event_id)) AS tp, (SELECT count(*) FROM f ANTI JOIN t USING (event_id)) AS fp, (SELECT count(*) FROM t ANTI JOIN f USING (event_id)) AS fn) SELECT tp, fp, fn, round(tp / (tp + fp), 4) AS precision, round(tp / (tp + fn), 4) AS recall, round(2 * tp / (2 * tp + fp + fn), 4) AS f1 FROM c")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from sluice import registry
 from sluice.functions.assess import assess
-from sluice.operators import dc, quality, streams
+from sluice.operators import dc, lifecycle, quality, streams
 from sluice.plans.dc_rules import Predicate, group_rules, parse_text, rule
 from sluice.streaming import live
 
@@ -127,3 +127,35 @@ def test_registry_has_sql():
 
 def test_flagship(spark):
     assert registry.QUERIES["measures_tumbling"](spark, SF).count() > 0
+
+
+def test_stale_reset_and_panes(spark):
+    t = lambda s: dt.datetime(2024, 1, 1) + dt.timedelta(seconds=s)
+    df = spark.createDataFrame([("a", 1, t(0)), ("a", 2, t(400)), ("a", 3, t(500)), ("b", 4, t(0))], "k string, i int, ts timestamp")
+    assert {r["i"] for r in lifecycle.fresh_only(df, "k", "ts", 300, "i").collect()} == {2, 3, 4}
+    panes = spark.createDataFrame([(1000, 1), (1000, 2), (9000, 3)], "pane_end long, i int")
+    got = {r["pane_end"]: r["state"] for r in lifecycle.pane_states(panes, "pane_end", 5000, 100, 2).collect()}
+    assert got == {1000: "evicted", 9000: "open"}
+    assert lifecycle.evict(panes, "pane_end", 5000, 100).count() == 1
+
+
+def test_alert_callbacks_in_order(spark):
+    w = spark.createDataFrame([(2, "b", True), (1, "a", True), (3, "c", False)], "w int, m string, alert boolean")
+    seen = []
+    assert lifecycle.on_alert(w, "w", "m", seen.append) == 2 and seen == ["a", "b"]
+    with pytest.raises(ValueError, match="a"):
+        lifecycle.on_alert(w, "w", "m")
+
+
+def test_ema_and_late_batches_on_a_stream(spark, tmp_path):
+    rows = [("a", 1, 1.0), ("a", 2, 3.0), ("a", 3, 5.0), ("b", 1, None)]
+    spark.createDataFrame(rows, "k string, t long, x double").write.parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema("k string, t long, x double").parquet(f"{tmp_path}/in")
+    live.ema_stream(stream, "k", "t", "x", 0.5, "t").writeStream.format("memory").queryName("ema").outputMode("update").trigger(availableNow=True).start().awaitTermination()
+    got = {r["k"]: (r["mean"], r["variance"], r["n"]) for r in spark.table("ema").collect()}
+    assert got["a"] == (3.375, 6.96875, 3) and got["b"] == (0.0, 0.0, 0)
+    kept = {"late": 0, "on": 0}
+    count = lambda name: lambda df, n: kept.__setitem__(name, kept[name] + df.count())
+    at = stream.withColumn("ts", F.timestamp_seconds("t"))
+    live.split_late_batches(at, "ts", 0, count("on"), count("late"), f"{tmp_path}/c", f"{tmp_path}/w").awaitTermination()
+    assert kept == {"late": 0, "on": 4}
