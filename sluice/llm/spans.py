@@ -46,8 +46,20 @@ class SpanHasher:
 
     def prefix(self, data: np.ndarray) -> np.ndarray:
         """Prefix sums of (byte + 1) * base**i, with a leading 0."""
-        out = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * self._table(len(data) + 1)[0][: len(data)], out=out[1:])
+        out = np.empty(len(data) + 1, np.uint64)
+        out[0] = 0
+        term = data.astype(np.uint64)
+        term += np.uint64(1)
+        term *= self._table(len(data) + 1)[0][: len(data)]
+        np.cumsum(term, out=out[1:])
+        return out
+
+    def rolling(self, prefix: np.ndarray, k: int) -> np.ndarray:
+        """Hash of each ``k`` symbols, ascending by start; its high bits are well spread, its low ones are not."""
+        n = max(len(prefix) - k, 0)
+        out = prefix[k:] - prefix[:n]
+        out *= self._table(len(prefix))[1][:n]
+        out *= np.uint64(BASES[1])
         return out
 
     def spans(self, prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:

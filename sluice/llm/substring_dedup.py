@@ -1,7 +1,7 @@
 """Exact removal of repeated substrings by prefix-free parsing.
 
 A text is a sequence of symbols, bytes or words (``Unit``). A rolling hash of a few
-symbols that is 0 modulo a number is a trigger; triggers cut every text into phrases,
+symbols that is below a threshold is a trigger; triggers cut every text into phrases,
 the same way wherever the same symbols occur. The dictionary is the set of distinct
 phrases, the parse the sequence of phrases of a text. A repeat of ``length`` symbols repeats its inner phrases, so
 
@@ -72,8 +72,29 @@ class Unit:
 
 def word_bounds(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of the runs of bytes that are no ASCII white space."""
-    step = np.diff(np.r_[True, _SPACE[data], True].astype(np.int8))
-    return np.flatnonzero(step == -1), np.flatnonzero(step == 1)
+    if not len(data):
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    space = _SPACE[data]
+    turn = np.flatnonzero(space[1:] != space[:-1]) + 1
+    turn = np.concatenate([[] if space[0] else [0], turn, [] if space[-1] else [len(data)]]).astype(np.int64)
+    return turn[::2], turn[1::2]
+
+
+def ranges(first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """Whole numbers of ascending, disjoint ranges, both ends included; empty ranges give none."""
+    some = last >= first
+    first, n = first[some], (last - first + 1)[some]
+    return np.arange(n.sum()) + np.repeat(first - (np.cumsum(n) - n), n)
+
+
+def union(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Union of spans [start, end) as maximal runs, ascending; touching spans are one run."""
+    if not len(start):
+        return start, end
+    order = np.argsort(start, kind="stable")
+    start, end = start[order], np.maximum.accumulate(end[order])
+    gap = start[1:] > end[:-1]
+    return start[np.r_[True, gap]], end[np.r_[gap, True]]
 
 
 #: windows of 400 bytes hold some eight triggers of bytes, windows of 50 words some six of words
@@ -82,11 +103,7 @@ BYTES, WORDS = Unit(12, 48), Unit(3, 8, words=True)
 
 def trigger_positions(data: np.ndarray, prefix: np.ndarray, unit: Unit = BYTES) -> np.ndarray:
     """Starts of trigger windows, ascending."""
-    n = len(data) - unit.trigger + 1
-    if n <= 0:
-        return np.empty(0, np.int64)
-    at = np.arange(n)
-    return np.flatnonzero(_ONE.spans(prefix, at, at + unit.trigger) % np.uint64(unit.modulus) == 0)
+    return np.flatnonzero(_ONE.rolling(prefix, unit.trigger) < np.uint64((1 << 64) // unit.modulus))
 
 
 def parse(text: bytes, length: int = LENGTH, unit: Unit = BYTES):
@@ -104,10 +121,9 @@ def parse(text: bytes, length: int = LENGTH, unit: Unit = BYTES):
     # an occurrence can extend to just after the trigger before, and to just before the end of the one after
     lo = np.concatenate([[0], t[:-2] + 1])[: len(start)] if len(start) else start
     hi = np.concatenate([t[2:] + unit.trigger - 1, [n]])[: len(start)] if len(start) else start
-    windows = np.arange(n - length + 1)
-    first = np.searchsorted(t, windows)
-    last = np.searchsorted(t, windows + length - unit.trigger, side="right") - 1
-    bare = windows[last - first < 1]
+    # a window whose first trigger is t[k] holds no second one if it ends within t[k + 1]'s
+    fence = np.concatenate([[-1], t, [n, n + length]])
+    bare = ranges(fence[:-2] + 1, np.minimum(np.minimum(fence[1:-1], fence[2:] - length + unit.trigger - 1), n - length))
     if not len(bare):
         return h, np.arange(len(start)), lo, hi
     # a stretch of such windows is one region; its distinct hashes stand for it, once
@@ -126,8 +142,8 @@ def parse(text: bytes, length: int = LENGTH, unit: Unit = BYTES):
     return (np.concatenate([h, uniq[pu]]), np.concatenate([np.arange(len(start)), index]), np.concatenate([lo, bare[head[pr]]]), np.concatenate([hi, bare[tail[pr]] + length]))
 
 
-def classes_of(text: bytes, regions: list[tuple[int, int]], length: int = LENGTH, unit: Unit = BYTES):
-    """Window classes within the regions: rows (kind, run hash, class hash, first, last window start).
+def classes_of(text: bytes, regions: tuple[np.ndarray, np.ndarray], length: int = LENGTH, unit: Unit = BYTES):
+    """Window classes within the regions (starts, ends): rows (kind, run hash, class hash, first, last window start).
 
     The run hash is of the whole phrases and the class hash, by another base, of all the
     windows' bytes; a class is known by both. Kind 0 are such classes. Kind 1 are single
@@ -138,13 +154,17 @@ def classes_of(text: bytes, regions: list[tuple[int, int]], length: int = LENGTH
     data = unit.symbols(text)
     p1, p2 = _ONE.prefix(data), _TWO.prefix(data)
     t = trigger_positions(data, p1, unit)
-    regions = [(a, min(b, len(data))) for a, b in regions]
-    starts = [np.arange(a, b - length + 1) for a, b in regions if b - a >= length]
-    p = np.unique(np.concatenate(starts)) if starts else np.empty(0, np.int64)
+    lo, hi = (np.array(c, np.int64) for c in regions)
+    hi = np.minimum(hi, len(data)) - length + 1
+    lo, hi = union(lo[hi > lo], hi[hi > lo])
+    p = ranges(lo, hi - 1)
     if not len(p):
         return [np.empty(0, np.int64)] * 5
-    i = np.searchsorted(t, p)
-    j = np.searchsorted(t, p + length - unit.trigger, side="right") - 1
+    before = np.zeros(len(data) + 1, np.int32)  # triggers that start before a position
+    before[t + 1] = 1
+    np.cumsum(before, out=before)
+    i = before[p]
+    j = before[p + length - unit.trigger + 1] - 1
     bare = j - i < 1
     new = np.r_[True, (i[1:] != i[:-1]) | (j[1:] != j[:-1]) | (p[1:] != p[:-1] + 1) | bare[1:] | bare[:-1]]
     head = np.flatnonzero(new)
@@ -161,14 +181,13 @@ def classes_of(text: bytes, regions: list[tuple[int, int]], length: int = LENGTH
     at = np.flatnonzero(lone)
     if len(at) < 2:
         return cols
-    both = np.stack([run[at], whole[at]], 1)
-    _, first, inv, count = np.unique(both, axis=0, return_index=True, return_inverse=True, return_counts=True)
-    again = at[count[inv.reshape(-1)] > 1]
+    order = at[np.lexsort((at, whole[at], run[at]))]
+    same = (run[order][1:] == run[order][:-1]) & (whole[order][1:] == whole[order][:-1])
+    again = np.sort(order[np.r_[same, False] | np.r_[False, same]])
     if not len(again):
         return cols
     drop = np.zeros(len(a), bool)
-    drop[at] = True
-    drop[at[first]] = False
+    drop[order[1:][same]] = True
     head = np.flatnonzero(np.r_[True, a[again][1:] != a[again][:-1] + 1])
     tail = np.append(head[1:], len(again)) - 1
     zero = np.zeros(len(head), np.int64)
@@ -176,10 +195,11 @@ def classes_of(text: bytes, regions: list[tuple[int, int]], length: int = LENGTH
     return [np.concatenate([c[~drop], x]) for c, x in zip(cols, sure)]
 
 
-def window_hashes(text: bytes, spans: list[tuple[int, int]], length: int = LENGTH, unit: Unit = BYTES):
-    """(hash, hash, start) of each window that starts in [first, last] of a span."""
+def window_hashes(text: bytes, spans: tuple[np.ndarray, np.ndarray], length: int = LENGTH, unit: Unit = BYTES):
+    """(hash, hash, start) of each window that starts in [first, last] of the spans (firsts, lasts)."""
     data = unit.symbols(text)
-    p = np.unique(np.concatenate([np.arange(a, b + 1) for a, b in spans]))
+    first, end = union(spans[0].astype(np.int64), spans[1].astype(np.int64) + 1)
+    p = ranges(first, end - 1)
     return [h.spans(h.prefix(data), p, p + length).view(np.int64) for h in (_ONE, _TWO)] + [p]
 
 
@@ -245,6 +265,13 @@ def corpus_order(texts: list[bytes], unit: Unit = BYTES) -> list[tuple[int, int]
     return [(i, p) for _, _, i, p in out]
 
 
+def _pairs(column):
+    """(firsts, seconds) of each row of a column of lists of pairs, without a Python object a pair."""
+    at = column.offsets.to_numpy()
+    first, second = (column.values.field(k).to_numpy(zero_copy_only=False) for k in range(2))
+    return [(first[a:b], second[a:b]) for a, b in zip(at[:-1], at[1:])]
+
+
 def _twice(rows: DataFrame, keys: list[str]) -> DataFrame:
     """Keys with two different occurrence ids: a partially aggregated min and max."""
     return rows.groupBy(*keys).agg(F.min("id").alias("_a"), F.max("id").alias("_b")).where("_a <> _b")
@@ -297,8 +324,8 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, unit: Unit = BYTES):
 
     def to_classes(batches):
         for b in batches:
-            for uid, regs, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
-                cols = classes_of(t, [(r["lo"], r["hi"]) for r in regs], length, unit)
+            for uid, regs, t in zip(b.column(0).to_pylist(), _pairs(b.column(1)), b.column(2).to_pylist()):
+                cols = classes_of(t, regs, length, unit)
                 if len(cols[0]):
                     arrays = [pa.array(cols[0].astype(np.int32)), pa.array(cols[1]), pa.array(cols[2]), pa.array(np.full(len(cols[0]), uid, np.int64))]
                     yield pa.RecordBatch.from_arrays(arrays + [pa.array(c.astype(np.int32)) for c in cols[3:]], names=["kind", "k", "f", "uid", "a", "b"])
@@ -321,8 +348,8 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, unit: Unit = BYTES):
 
     def to_windows(batches):
         for b in batches:
-            for uid, spans, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
-                h1, h2, p = window_hashes(t, [(s["a"], s["b"]) for s in spans], length, unit)
+            for uid, spans, t in zip(b.column(0).to_pylist(), _pairs(b.column(1)), b.column(2).to_pylist()):
+                h1, h2, p = window_hashes(t, spans, length, unit)
                 yield pa.RecordBatch.from_arrays([pa.array(h1), pa.array(h2), pa.array(np.full(len(p), uid, np.int64)), pa.array(p.astype(np.int32))], names=["h1", "h2", "uid", "p"])
 
     windows = touched.join(look, "uid").select("uid", "look", "t").mapInArrow(to_windows, "h1 long, h2 long, uid long, p int")
@@ -359,10 +386,10 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, unit: Unit = BYTES, te
 
     def finish(batches):
         for b in batches:
-            x1, x2, spans, text = (c.to_pylist() for c in b.columns)
+            x1, x2, text = (b.column(k).to_pylist() for k in (0, 1, 3))
             removed, count, sha, kept = [], [], [], []
-            for s, t in zip(spans, text):
-                runs = unit.to_bytes(t, merged((x["s"], x["e"]) for x in s))
+            for s, t in zip(_pairs(b.column(2)), text):
+                runs = unit.to_bytes(t, list(zip(*(c.tolist() for c in union(*s)))))
                 left = cut(t, runs)
                 removed.append(len(t) - len(left))
                 count.append(len(runs))
