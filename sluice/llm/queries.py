@@ -34,12 +34,11 @@ def op4_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The contract's columns by strings of 400 bytes, and ``passage_bytes``: bytes in runs of 50
     words that stand anywhere else too, which may be shorter than 400 bytes."""
-    docs = read(spark, sf_dir, "documents")
-    out = substring_dedup.remove_repeats(docs, length=400, keys_out=True)
-    words = substring_dedup.remove_repeats(docs, length=50, unit=substring_dedup.WORDS, keys_out=True)
-    # one row for each text that has any: rows of equal texts lose the same bytes
-    passages = words.where("n_removed > 0").groupBy("x1", "x2").agg(F.max("n_removed").alias("passage_bytes"))
-    return out.join(passages, ["x1", "x2"], "left").select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", F.coalesce("passage_bytes", F.lit(0)).cast("long").alias("passage_bytes"))
+    rows, (cuts, passages) = substring_dedup.cuts_by_kind(read(spark, sf_dir, "documents"), ((400, substring_dedup.BYTES), (50, substring_dedup.WORDS)))
+    passages = passages.select("x1", "x2", F.col("removed").alias("in_passages"))
+    out = rows.join(cuts, ["x1", "x2"], "left").join(passages, ["x1", "x2"], "left")
+    count = lambda c, name: F.coalesce(c, F.lit(0)).cast("long").alias(name)
+    return out.select("doc_id", "n_bytes", count("removed", "n_removed"), count("spans", "n_spans"), F.coalesce("left_sha", "sha").alias("kept_sha256"), count("in_passages", "passage_bytes"))
 
 
 def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

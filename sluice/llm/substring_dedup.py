@@ -5,7 +5,8 @@ symbols that is below a threshold is a trigger; triggers cut every text into phr
 the same way wherever the same symbols occur. The dictionary is the set of distinct
 phrases, the parse the sequence of phrases of a text. A repeat of ``length`` symbols repeats its inner phrases, so
 
-1. phrases that occur once in the dictionary rule out every window that holds one;
+1. phrases that occur once in the dictionary rule out every window that holds one; this
+   parse is of the bytes that are no white space, so one serves windows of either unit;
 2. what is left is ordered by parse: a window is the suffix of one phrase, a run of
    whole phrases and the prefix of another. Windows with equal runs and equal outer
    phrases fall into one class of the corpus order, so a class that occurs twice is
@@ -58,6 +59,13 @@ class Unit:
         """Number of symbols of a text column."""
         return F.regexp_count(text, F.lit(r"[^\t-\r ]+")) if self.words else F.octet_length(text)
 
+    def inside(self, text: bytes, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Spans of bytes as spans of the symbols that lie wholly within."""
+        if not self.words:
+            return lo, hi
+        start, end = word_bounds(np.frombuffer(text, np.uint8))
+        return np.searchsorted(start, lo), np.searchsorted(end, hi, side="right")
+
     def least_bytes(self, length: int) -> int:
         """No text of fewer bytes has so many symbols."""
         return 2 * length - 1 if self.words else length
@@ -99,6 +107,8 @@ def union(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 #: windows of 400 bytes hold some eight triggers of bytes, windows of 50 words some six of words
 BYTES, WORDS = Unit(12, 48), Unit(3, 8, words=True)
+#: of the parse that rules windows out, which is of the bytes that are no white space
+PARSE = Unit(12, 40)
 
 
 def trigger_positions(data: np.ndarray, prefix: np.ndarray, unit: Unit = BYTES) -> np.ndarray:
@@ -106,29 +116,50 @@ def trigger_positions(data: np.ndarray, prefix: np.ndarray, unit: Unit = BYTES)
     return np.flatnonzero(_ONE.rolling(prefix, unit.trigger) < np.uint64((1 << 64) // unit.modulus))
 
 
-def parse(text: bytes, length: int = LENGTH, unit: Unit = BYTES):
-    """(hash, index, lo, hi) of the phrases of a text, and of its windows with under two triggers.
+def bare_windows(data: np.ndarray, begin: np.ndarray, end: np.ndarray, length: int, unit: Unit):
+    """(ordinal, start, end) in bytes of the windows that hold under two of the triggers [begin, end).
 
-    Phrase i runs from trigger i to the end of trigger i + 1. A window whose whole
-    phrases are a run a..b lies within (lo of a, hi of b). Windows have negative indexes.
+    A window whose first trigger is k holds no second one if it ends before the end of k + 1.
     """
-    data = unit.symbols(text)
     n = len(data)
-    prefix = _ONE.prefix(data)
-    t = trigger_positions(data, prefix, unit)
-    start, end = t[:-1], t[1:] + unit.trigger
-    h = _ONE.spans(prefix, start, end)
+    after = np.concatenate([end, [2 * n + length] * 2])
+    if unit.words:
+        start, stop = word_bounds(data)
+        start, stop = start[: max(len(start) - length + 1, 0)], stop[length - 1 :]
+        at = np.flatnonzero(after[np.searchsorted(begin, start) + 1] > stop)
+        return at, start[at], stop[at]
+    at = ranges(np.concatenate([[-1], begin]) + 1, np.minimum(np.minimum(np.concatenate([begin, [n]]), after[1:] - length - 1), n - length))
+    return at, at, at + length
+
+
+def parse(text: bytes, kinds: tuple = ((LENGTH, BYTES),)):
+    """(hash, index, lo, hi) of the phrases of a text, and of its windows with under two triggers.
+
+    Triggers and hashes are of the bytes that are no white space (``PARSE``), lo and hi are
+    places in the whole text. Phrase i runs from trigger i to the end of trigger i + 1. A
+    window whose whole phrases are a run a..b lies within (lo of a, hi of b). Windows, of
+    each (length, unit) of ``kinds``, have negative indexes.
+    """
+    data = np.frombuffer(text, np.uint8)
+    solid = np.flatnonzero(~_SPACE[data])
+    prefix = _ONE.prefix(data[solid])
+    t = trigger_positions(solid, prefix, PARSE)
+    h = _ONE.spans(prefix, t[:-1], t[1:] + PARSE.trigger)
+    begin, end = solid[t], solid[t + PARSE.trigger - 1] + 1
     # an occurrence can extend to just after the trigger before, and to just before the end of the one after
-    lo = np.concatenate([[0], t[:-2] + 1])[: len(start)] if len(start) else start
-    hi = np.concatenate([t[2:] + unit.trigger - 1, [n]])[: len(start)] if len(start) else start
-    # a window whose first trigger is t[k] holds no second one if it ends within t[k + 1]'s
-    fence = np.concatenate([[-1], t, [n, n + length]])
-    bare = ranges(fence[:-2] + 1, np.minimum(np.minimum(fence[1:-1], fence[2:] - length + unit.trigger - 1), n - length))
-    if not len(bare):
-        return h, np.arange(len(start)), lo, hi
-    # a stretch of such windows is one region; its distinct hashes stand for it, once
-    # more (under an index of its own) where the text itself repeats them
-    wh = mix(_ONE.spans(prefix, bare, bare + length) ^ np.uint64(0xA5A5A5A5))
+    out = [(h, np.arange(len(h)), np.concatenate([[0], begin[:-2] + 1])[: len(h)], np.concatenate([end[2:] - 1, [len(data)]])[: len(h)])]
+    for kind, (length, unit) in enumerate(kinds):
+        at, first, last = bare_windows(data, begin, end, length, unit)
+        if len(at):
+            wh = mix(_ONE.spans(prefix, np.searchsorted(solid, first), np.searchsorted(solid, last)) ^ np.uint64(0xA5A5A5A5 + kind))
+            out.append(_stretches(wh, at, first, last, kind))
+    return tuple(np.concatenate(c) for c in zip(*out)) if len(out) > 1 else out[0]
+
+
+def _stretches(wh: np.ndarray, bare: np.ndarray, first: np.ndarray, last: np.ndarray, kind: int):
+    """Rows of ``parse`` for windows of few triggers: a stretch of them is one region; its
+    distinct hashes stand for it, once more (under an index of its own) where the text
+    itself repeats them."""
     uniq, inv, count = np.unique(wh, return_inverse=True, return_counts=True)
     head = np.flatnonzero(np.r_[True, bare[1:] != bare[:-1] + 1])
     tail = np.append(head[1:], len(bare)) - 1
@@ -137,13 +168,13 @@ def parse(text: bytes, length: int = LENGTH, unit: Unit = BYTES):
     pr, pu = pair // len(uniq), pair % len(uniq)
     twin = count[pu] > 1
     pr, pu = np.concatenate([pr, pr[twin]]), np.concatenate([pu, pu[twin]])
-    index = -1 - bare[head[pr]]
+    index = -1 - (2 * first[head[pr]] + kind)
     index[len(pair) :] -= 1 << 30
-    return (np.concatenate([h, uniq[pu]]), np.concatenate([np.arange(len(start)), index]), np.concatenate([lo, bare[head[pr]]]), np.concatenate([hi, bare[tail[pr]] + length]))
+    return uniq[pu], index, first[head[pr]], last[tail[pr]]
 
 
 def classes_of(text: bytes, regions: tuple[np.ndarray, np.ndarray], length: int = LENGTH, unit: Unit = BYTES):
-    """Window classes within the regions (starts, ends): rows (kind, run hash, class hash, first, last window start).
+    """Window classes within the regions (starts, ends, in symbols): rows (kind, run hash, class hash, first, last window start).
 
     The run hash is of the whole phrases and the class hash, by another base, of all the
     windows' bytes; a class is known by both. Kind 0 are such classes. Kind 1 are single
@@ -277,24 +308,27 @@ def _twice(rows: DataFrame, keys: list[str]) -> DataFrame:
     return rows.groupBy(*keys).agg(F.min("id").alias("_a"), F.max("id").alias("_b")).where("_a <> _b")
 
 
-def repeated_spans(docs: DataFrame, length: int = LENGTH, unit: Unit = BYTES):
-    """(rows, per_text): every row's identity, and the repeated windows of each distinct text.
+def repeated_spans(docs: DataFrame, kinds: tuple = ((LENGTH, BYTES),)):
+    """(rows, texts, found): every row's identity, every distinct text, and for each (length, unit)
+    of ``kinds`` the repeated windows of each distinct text.
 
-    rows: doc_id, x1, x2, n_bytes, n (symbols), sha (of the whole text). per_text: x1, x2, copies,
-    first (a doc_id), spans: array of [start, end) of symbols covered by repeated windows; texts
-    without one are absent, and so are texts that occur twice as a whole.
+    rows: doc_id, x1, x2, n_bytes, n0 and so on (symbols, by kind), sha (of the whole text). texts:
+    x1, x2, first (a doc_id), copies, n_bytes, n0 and so on. found: x1, x2, copies, t, spans: array
+    of [start, end) of symbols covered by repeated windows; texts without one are absent.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    counts = [unit.count(F.col("text")).cast("long").alias(f"n{k}") for k, (_, unit) in enumerate(kinds)]
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *text_keys(F.col("text")), text.alias("text"), F.encode(text, "UTF-8").alias("t"))
-    rows = common.written(src.select("doc_id", "x1", "x2", F.octet_length("t").cast("long").alias("n_bytes"), unit.count(F.col("text")).cast("long").alias("n"), F.sha2("t", 256).alias("sha")), "pfp-rows")
-    texts = rows.groupBy("x1", "x2").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies"))
+    rows = common.written(src.select("doc_id", "x1", "x2", F.octet_length("t").cast("long").alias("n_bytes"), *counts, F.sha2("t", 256).alias("sha")), "pfp-rows")
+    least = min(unit.least_bytes(length) for length, unit in kinds)
+    texts = rows.groupBy("x1", "x2").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies"), *(F.max(c).alias(c) for c in ("n_bytes", *(f"n{k}" for k in range(len(kinds))))))
 
     def phrases(batches):
         for b in batches:
             got: list[list[np.ndarray]] = [[] for _ in range(5)]
             size = 0
             for x1, t in zip(b.column(0).to_numpy(), b.column(1).to_pylist()):
-                h, index, lo, hi = parse(t, length, unit)
+                h, index, lo, hi = parse(t, kinds)
                 for c, v in zip(got, (h.view(np.int64), np.full(len(h), x1), index, lo, hi)):
                     c.append(v)
                 size += len(h)
@@ -307,14 +341,14 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, unit: Unit = BYTES):
     # half of a text's identity will do here: were it shared by two texts, both would get
     # the regions of both, and regions are only where to look
     names = ["h", "x1", "i", "lo", "hi"]
-    found = src.where(F.octet_length("t") >= unit.least_bytes(length)).select("x1", "t").mapInArrow(phrases, "h long, x1 long, i int, lo int, hi int")
+    found = src.where(F.octet_length("t") >= least).select("x1", "t").mapInArrow(phrases, "h long, x1 long, i int, lo int, hi int")
     # copies of a text give the same occurrence id, so they do not make a phrase repeated
     common_h = _twice(found.select("h", F.xxhash64("x1", "i").alias("id")), ["h"]).select("h")
     kept = found.join(common_h, "h", "left_semi").groupBy("x1", "i").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
     # runs of repeated phrases: index less rank is constant along a run
     w = Window.partitionBy("x1").orderBy("i")
     runs = kept.withColumn("run", F.when(F.col("i") < 0, F.col("i")).otherwise(F.col("i") - F.row_number().over(w) + F.lit(1 << 30)))
-    runs = runs.groupBy("x1", "run").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where(F.col("hi") - F.col("lo") >= length)
+    runs = runs.groupBy("x1", "run").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where(F.col("hi") - F.col("lo") >= least)
     regions = runs.groupBy("x1").agg(F.collect_list(F.struct("lo", "hi")).alias("regions"))
     wanted = regions.join(texts, "x1").select(F.col("x1").alias("w1"), F.col("x2").alias("w2"), "first", "copies", "regions")
     wanted = common.written(wanted, "pfp-wanted")
@@ -322,10 +356,18 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, unit: Unit = BYTES):
     fetched = near.join(wanted, (F.col("x1") == F.col("w1")) & (F.col("x2") == F.col("w2")) & F.col("doc_id").eqNullSafe(F.col("first")))
     touched = common.written(fetched.select(F.monotonically_increasing_id().alias("uid"), "x1", "x2", "first", "copies", "regions", "t"), "pfp-touched")
 
+    found = [_spans_of(touched, length, unit) for length, unit in kinds]
+    common.discard(wanted)
+    return rows, texts, found
+
+
+def _spans_of(touched: DataFrame, length: int, unit: Unit) -> DataFrame:
+    """``touched`` with the spans of its repeated windows of one kind."""
+
     def to_classes(batches):
         for b in batches:
             for uid, regs, t in zip(b.column(0).to_pylist(), _pairs(b.column(1)), b.column(2).to_pylist()):
-                cols = classes_of(t, regs, length, unit)
+                cols = classes_of(t, unit.inside(t, *regs), length, unit)
                 if len(cols[0]):
                     arrays = [pa.array(cols[0].astype(np.int32)), pa.array(cols[1]), pa.array(cols[2]), pa.array(np.full(len(cols[0]), uid, np.int64))]
                     yield pa.RecordBatch.from_arrays(arrays + [pa.array(c.astype(np.int32)) for c in cols[3:]], names=["kind", "k", "f", "uid", "a", "b"])
@@ -361,28 +403,12 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, unit: Unit = BYTES):
     for part, spent in ((by_window, [stored]), (by_class.union(direct).union(certain), [every, kinds])):
         gathered.append(common.written(part.groupBy("uid").agg(F.collect_list(F.struct("s", "e")).alias("spans")), "pfp-spans"))
         common.discard(*spent)
-    common.discard(wanted)
     spans = gathered[0].union(gathered[1]).groupBy("uid").agg(F.flatten(F.collect_list("spans")).alias("spans"))
-    return src, rows, texts, touched.join(spans, "uid")
-
-
-def remove_repeats(docs: DataFrame, length: int = LENGTH, unit: Unit = BYTES, texts_out: bool = False, keys_out: bool = False) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row; with ``keys_out`` also
-    x1, x2, the text's identity, and with ``texts_out`` also ``kept``, the remaining text,
-    where anything was removed.
+    return touched.join(spans, "uid")
 
-    Removed is each byte covered by a ``length``-byte string that also starts anywhere
-    else in the table, the same row included; matches never cross rows. With the unit
-    WORDS it is each run of ``length`` words that repeats, with the white space within. Null texts are
-    empty. Rows with equal texts of at least ``length`` bytes are removed whole; shorter
-    texts stay as they are. Exact: every window is compared by 128-bit fingerprints.
-    Parts of a character that a cut leaves are dropped in ``kept``, while the digest is
-    of the bytes. Other columns are ignored.
 
-    Scale: each phrase is one shuffled row of a few integers; texts move once, those
-    with repeats only are stored. Hot phrases and copies are reduced in each task first.
-    """
-    src, rows, texts, found = repeated_spans(docs, length, unit)
+def _cut_texts(texts: DataFrame, found: DataFrame, kind: int, length: int, unit: Unit, texts_out: bool = False) -> DataFrame:
+    """x1, x2, removed, spans, left_sha, kept of each distinct text that loses any bytes."""
 
     def finish(batches):
         for b in batches:
@@ -401,17 +427,43 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, unit: Unit = BYTES, te
             )
 
     schema = "x1 long, x2 long, removed long, spans long, left_sha string, kept string"
-    cut_texts = found.where("copies = 1").select("x1", "x2", "spans", "t").mapInArrow(finish, schema).withColumn("twice", F.lit(False))
+    cut_texts = found.where("copies = 1").select("x1", "x2", "spans", "t").mapInArrow(finish, schema)
     # a text that occurs twice goes whole, any other as cut: one row per text to join, so that
     # both sides come straight from a shuffle and AQE can split the rows of a hot text
-    twice = texts.where("copies > 1").select("x1", "x2", F.lit(True).alias("twice"))
-    out = rows.join(cut_texts.unionByName(twice, allowMissingColumns=True), ["x1", "x2"], "left")
-    whole = F.coalesce("twice", F.lit(False)) & (F.col("n") >= length)
+    twice = texts.where((F.col("copies") > 1) & (F.col(f"n{kind}") >= length))
+    kept = F.lit("" if texts_out else None).cast("string").alias("kept")
+    return cut_texts.union(twice.select("x1", "x2", F.col("n_bytes").alias("removed"), F.lit(1).cast("long").alias("spans"), F.lit(EMPTY_SHA).alias("left_sha"), kept))
+
+
+def cuts_by_kind(docs: DataFrame, kinds: tuple, texts_out: bool = False) -> tuple[DataFrame, list[DataFrame]]:
+    """(rows, cuts): the rows' identities (``repeated_spans``), and for each (length, unit) what
+    each distinct text with a repeat loses (x1, x2, removed, spans, left_sha, kept). One parse
+    serves all kinds; see ``remove_repeats`` for what is removed."""
+    rows, texts, found = repeated_spans(docs, kinds)
+    return rows, [_cut_texts(texts, f, k, *kinds[k], texts_out) for k, f in enumerate(found)]
+
+
+def remove_repeats(docs: DataFrame, length: int = LENGTH, unit: Unit = BYTES, texts_out: bool = False) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row; with ``texts_out`` also
+    x1, x2, the text's identity, and ``kept``, the remaining text, where anything was removed.
+
+    Removed is each byte covered by a ``length``-byte string that also starts anywhere
+    else in the table, the same row included; matches never cross rows. With the unit
+    WORDS it is each run of ``length`` words that repeats, with the white space within. Null texts are
+    empty. Rows with equal texts of at least ``length`` bytes are removed whole; shorter
+    texts stay as they are. Exact: every window is compared by 128-bit fingerprints.
+    Parts of a character that a cut leaves are dropped in ``kept``, while the digest is
+    of the bytes. Other columns are ignored.
+
+    Scale: each phrase is one shuffled row of a few integers; texts move once, those
+    with repeats only are stored. Hot phrases and copies are reduced in each task first.
+    """
+    rows, (cuts,) = cuts_by_kind(docs, ((length, unit),), texts_out)
+    out = rows.join(cuts, ["x1", "x2"], "left")
     return out.select(
         "doc_id", "n_bytes",
-        F.when(whole, F.col("n_bytes")).otherwise(F.coalesce("removed", F.lit(0))).cast("long").alias("n_removed"),
-        F.when(whole, F.lit(1)).otherwise(F.coalesce("spans", F.lit(0))).cast("long").alias("n_spans"),
-        F.when(whole, F.lit(EMPTY_SHA)).otherwise(F.coalesce("left_sha", "sha")).alias("kept_sha256"),
-        *(["x1", "x2"] if texts_out or keys_out else []),
-        *([F.when(whole, F.lit("")).otherwise(F.col("kept")).alias("kept")] if texts_out else []),
+        F.coalesce("removed", F.lit(0)).cast("long").alias("n_removed"),
+        F.coalesce("spans", F.lit(0)).cast("long").alias("n_spans"),
+        F.coalesce("left_sha", "sha").alias("kept_sha256"),
+        *(["x1", "x2", "kept"] if texts_out else []),
     )

@@ -2,6 +2,7 @@
 
 import hashlib
 import io
+import re
 import math
 from collections import Counter
 
@@ -112,6 +113,30 @@ def test_substring_dedup_equals_brute_force(spark):
     assert order == sorted(order, key=lambda x: ([b"banana bandana", b"ananas"][x[0]][x[1] :], x[0]))
 
 
+def test_one_parse_serves_bytes_and_words(spark):
+    """Both kinds against brute force: passages with other white space, long words, few triggers."""
+    r = np.random.default_rng(4)
+    word = lambda a, b: "".join(chr(97 + x) for x in r.integers(0, 26, int(r.integers(a, b))))
+    short, wide = [word(1, 5) for _ in range(60)], [word(30, 60) for _ in range(14)]
+    fill = lambda n: " ".join(word(1, 9) for _ in range(n))
+    texts = [f"{fill(30)} {' '.join(short)}\n{fill(9)}", f"{fill(3)}\t{'  '.join(short)}", f"x{' '.join(short)}y {fill(70)}"]
+    texts += [f"{fill(4)} {' '.join(wide)} {fill(20)}", f"{' '.join(wide)}", f"{fill(80)} {' '.join(wide)}", " " * 1000, fill(5) + " " * 500 + fill(60), "ab " * 300, "", None]
+    data = [(t or "").encode() for t in texts]
+    grams = Counter(t[p : p + 400] for t in data for p in range(len(t) - 399))
+    words = [[(m.start(), m.end()) for m in re.finditer(rb"[^\t-\r ]+", t)] for t in data]
+    runs_of = lambda t, w: [(tuple(t[a:b] for a, b in w[i : i + 50]), w[i][0], w[i + 49][1]) for i in range(len(w) - 49)]
+    runs = Counter(g for t, w in zip(data, words) for g, _, _ in runs_of(t, w))
+    rows, cuts = substring_dedup.cuts_by_kind(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), ((400, substring_dedup.BYTES), (50, substring_dedup.WORDS)))
+    for k, cut in enumerate(cuts):
+        got = {x["doc_id"]: (x["removed"], x["spans"], x["left_sha"]) for x in rows.join(cut, ["x1", "x2"]).collect()}
+        for i, t in enumerate(data):
+            spans = [(p, p + 400) for p in range(len(t) - 399) if grams[t[p : p + 400]] > 1] if k == 0 else [(a, b) for g, a, b in runs_of(t, words[i]) if runs[g] > 1]
+            spans = substring_dedup.merged(spans)
+            want = (sum(b - a for a, b in spans), hashlib.sha256(substring_dedup.cut(t, spans)).hexdigest())
+            assert (got[i][0], got[i][2]) == want if spans else i not in got, (k, i)
+        assert len(got) == (6, 4)[k]  # words: the passage in three texts, and "ab" over and over
+
+
 def test_op5_reports_passages_of_fifty_words(spark, tmp_path):
     short = " ".join(f"a{i}" for i in range(52))  # under 400 bytes
     texts = [f"{short} tail one", f"head {short}", "other text " * 3, None, "", short[:150], "x " * 60]
