@@ -182,15 +182,15 @@ def classes_of(text: bytes, regions: tuple[np.ndarray, np.ndarray], length: int
     repeats one, a single row stands for it, and the stretches of those windows, repeated
     for certain, are kind 2.
     """
-    data = unit.symbols(text)
-    p1, p2 = _ONE.prefix(data), _TWO.prefix(data)
-    t = trigger_positions(data, p1, unit)
     lo, hi = (np.array(c, np.int64) for c in regions)
-    hi = np.minimum(hi, len(data)) - length + 1
+    hi = hi - length + 1
     lo, hi = union(lo[hi > lo], hi[hi > lo])
     p = ranges(lo, hi - 1)
     if not len(p):
         return [np.empty(0, np.int64)] * 5
+    data = unit.symbols(text)
+    p1, p2 = _ONE.prefix(data), _TWO.prefix(data)
+    t = trigger_positions(data, p1, unit)
     before = np.zeros(len(data) + 1, np.int32)  # triggers that start before a position
     before[t + 1] = 1
     np.cumsum(before, out=before)
@@ -372,7 +372,9 @@ def _spans_of(touched: DataFrame, length: int, unit: Unit) -> DataFrame:
                     arrays = [pa.array(cols[0].astype(np.int32)), pa.array(cols[1]), pa.array(cols[2]), pa.array(np.full(len(cols[0]), uid, np.int64))]
                     yield pa.RecordBatch.from_arrays(arrays + [pa.array(c.astype(np.int32)) for c in cols[3:]], names=["kind", "k", "f", "uid", "a", "b"])
 
-    every = touched.select("uid", "regions", "t").mapInArrow(to_classes, "kind int, k long, f long, uid long, a int, b int")
+    least = unit.least_bytes(length)
+    wide = touched.where(F.exists("regions", lambda r: r["hi"] - r["lo"] >= least))
+    every = wide.select("uid", "regions", "t").mapInArrow(to_classes, "kind int, k long, f long, uid long, a int, b int")
     every = common.written(every, "pfp-classes")
     marked = every.withColumn("id", F.xxhash64("uid", "a"))
     span = (F.col("a").alias("s"), (F.col("b") + length).alias("e"))
