@@ -342,6 +342,8 @@ def repeated_spans(docs: DataFrame, kinds: tuple = ((LENGTH, BYTES),)):
     # the regions of both, and regions are only where to look
     names = ["h", "x1", "i", "lo", "hi"]
     found = src.where(F.octet_length("t") >= least).select("x1", "t").mapInArrow(phrases, "h long, x1 long, i int, lo int, hi int")
+    # stored, as the texts are parsed once and the phrases read twice
+    found = common.written(found, "pfp-phrases")
     # copies of a text give the same occurrence id, so they do not make a phrase repeated
     common_h = _twice(found.select("h", F.xxhash64("x1", "i").alias("id")), ["h"]).select("h")
     kept = found.join(common_h, "h", "left_semi").groupBy("x1", "i").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
@@ -352,13 +354,14 @@ def repeated_spans(docs: DataFrame, kinds: tuple = ((LENGTH, BYTES),)):
     regions = runs.groupBy("x1").agg(F.collect_list(F.struct("lo", "hi")).alias("regions"))
     wanted = regions.join(texts, "x1").select(F.col("x1").alias("w1"), F.col("x2").alias("w2"), "first", "copies", "regions")
     wanted = common.written(wanted, "pfp-wanted")
+    common.discard(found)
     near = common.thinned(src, "x1", wanted, "w1")
     fetched = near.join(wanted, (F.col("x1") == F.col("w1")) & (F.col("x2") == F.col("w2")) & F.col("doc_id").eqNullSafe(F.col("first")))
     touched = common.written(fetched.select(F.monotonically_increasing_id().alias("uid"), "x1", "x2", "first", "copies", "regions", "t"), "pfp-touched")
 
-    found = [_spans_of(touched, length, unit) for length, unit in kinds]
+    spans = [_spans_of(touched, length, unit) for length, unit in kinds]
     common.discard(wanted)
-    return rows, texts, found
+    return rows, texts, spans
 
 
 def _spans_of(touched: DataFrame, length: int, unit: Unit) -> DataFrame:
