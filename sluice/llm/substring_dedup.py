@@ -344,9 +344,10 @@ def repeated_spans(docs: DataFrame, kinds: tuple = ((LENGTH, BYTES),)):
     found = src.where(F.octet_length("t") >= least).select("x1", "t").mapInArrow(phrases, "h long, x1 long, i int, lo int, hi int")
     # stored, as the texts are parsed once and the phrases read twice
     found = common.written(found, "pfp-phrases")
-    # copies of a text give the same occurrence id, so they do not make a phrase repeated
+    # copies of a text give the same occurrence id, so they do not make a phrase repeated; the
+    # repeated hashes of a shuffle partition (a few bytes each, once) are hashed, so nothing is sorted
     common_h = _twice(found.select("h", F.xxhash64("x1", "i").alias("id")), ["h"]).select("h")
-    kept = found.join(common_h, "h", "left_semi").groupBy("x1", "i").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    kept = found.join(common_h.hint("shuffle_hash"), "h", "left_semi").groupBy("x1", "i").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
     # runs of repeated phrases: index less rank is constant along a run
     w = Window.partitionBy("x1").orderBy("i")
     runs = kept.withColumn("run", F.when(F.col("i") < 0, F.col("i")).otherwise(F.col("i") - F.row_number().over(w) + F.lit(1 << 30)))
@@ -383,7 +384,7 @@ def _spans_of(touched: DataFrame, length: int, unit: Unit) -> DataFrame:
     span = (F.col("a").alias("s"), (F.col("b") + length).alias("e"))
     runs_only = marked.where("kind = 0")
     kinds = common.written(runs_only.groupBy("k", "f").agg(F.min("id").alias("id"), (F.min("id") != F.max("id")).alias("twice")), "pfp-kinds")
-    by_class = runs_only.join(kinds.where("twice").select("k", "f"), ["k", "f"], "left_semi").select("uid", *span)
+    by_class = runs_only.join(kinds.where("twice").select("k", "f").hint("shuffle_hash"), ["k", "f"], "left_semi").select("uid", *span)
     # runs that stand between different outer phrases, at least one of them alone
     edge = kinds.groupBy("k").agg(F.count("*").alias("c"), F.bool_or(~F.col("twice")).alias("alone")).where("c > 1 and alone")
     edge_kinds = kinds.join(edge.select("k"), "k", "left_semi").select("id")
@@ -402,7 +403,7 @@ def _spans_of(touched: DataFrame, length: int, unit: Unit) -> DataFrame:
     windows = touched.join(look, "uid").select("uid", "look", "t").mapInArrow(to_windows, "h1 long, h2 long, uid long, p int")
     stored = common.written(windows, "pfp-windows")
     windows = stored.withColumn("id", F.xxhash64("uid", "p"))
-    by_window = windows.join(_twice(windows, ["h1", "h2"]).select("h1", "h2"), ["h1", "h2"], "left_semi").select("uid", F.col("p").alias("s"), (F.col("p") + length).alias("e"))
+    by_window = windows.join(_twice(windows, ["h1", "h2"]).select("h1", "h2").hint("shuffle_hash"), ["h1", "h2"], "left_semi").select("uid", F.col("p").alias("s"), (F.col("p") + length).alias("e"))
     # one kind after the other, so that the shuffle files of only one are there at a time
     gathered = []
     for part, spent in ((by_window, [stored]), (by_class.union(direct).union(certain), [every, kinds])):
