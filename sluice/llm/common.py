@@ -58,12 +58,13 @@ def shuffles_freed(spark: SparkSession):
             spark.conf.set(key, before)
 
 
-def written(df: DataFrame, tag: str) -> DataFrame:
-    """Write to the shared folder and read back: cuts lineage, survives lost executors."""
+def written(df: DataFrame, tag: str, row_group: int = 128 << 20) -> DataFrame:
+    """Write to the shared folder and read back: cuts lineage, survives lost executors.
+    A task holds up to ``row_group`` bytes of rows before it writes them."""
     spark = df.sparkSession
     path = fresh_path(spark, tag)
     with shuffles_freed(spark):
-        df.write.option("compression", "zstd").parquet(path)
+        df.write.option("compression", "zstd").option("parquet.block.size", row_group).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._sluice_path = path
     return out

@@ -332,7 +332,7 @@ def repeated_spans(docs: DataFrame, kinds: tuple = ((LENGTH, BYTES),)):
                 for c, v in zip(got, (h.view(np.int64), np.full(len(h), x1), index, lo, hi)):
                     c.append(v)
                 size += len(h)
-                if size > 1 << 18:
+                if size > 1 << 16:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(np.int64 if k < 2 else np.int32)) for k, c in enumerate(got)], names=names)
                     got, size = [[] for _ in range(5)], 0
             if size:
@@ -343,7 +343,7 @@ def repeated_spans(docs: DataFrame, kinds: tuple = ((LENGTH, BYTES),)):
     names = ["h", "x1", "i", "lo", "hi"]
     found = src.where(F.octet_length("t") >= least).select("x1", "t").mapInArrow(phrases, "h long, x1 long, i int, lo int, hi int")
     # stored, as the texts are parsed once and the phrases read twice
-    found = common.written(found, "pfp-phrases")
+    found = common.written(found, "pfp-phrases", row_group=8 << 20)
     # copies of a text give the same occurrence id, so they do not make a phrase repeated; the
     # repeated hashes of a shuffle partition (a few bytes each, once) are hashed, so nothing is sorted
     common_h = _twice(found.select("h", F.xxhash64("x1", "i").alias("id")), ["h"]).select("h")
