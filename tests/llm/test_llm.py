@@ -183,6 +183,38 @@ def test_decontamination_of_an_item_in_a_third_of_the_rows(spark):
     assert got == set(range(0, 96, 3))
 
 
+def test_decontamination_against_brute_force(spark):
+    r = np.random.default_rng(5)
+    words = [f"w{i}" for i in range(400)]
+    items = {i: [str(w) for w in r.choice(words, int(r.integers(12, 61)))] for i in range(30)}
+    docs = {}
+    for d in range(240):
+        text = [str(w) for w in r.choice(words, int(r.integers(0, 700)))]
+        if d % 2:
+            item = items[d % 30]
+            changed = r.random(len(item)) < (0.25 if d % 3 == 0 else 0.1 if d % 3 == 1 else 0)
+            item = [f"x{d}" if c else w for w, c in zip(item, changed)]
+            at = (0, len(text), len(text) // 2)[d % 5 % 3]  # first, last and inner words of a text
+            text[at:at] = item
+        docs[d] = text
+    docs[240] = []
+    docs[241] = items[7][:-1]
+
+    def share(item, text):
+        n = len(item)
+        return max((decontaminate.lcs_length(item, text[s : s + n + n // 4 + 4]) / n for s in range(len(text))), default=0)
+
+    possible = {(d, i) for d, text in docs.items() for i, item in items.items() if len(set(item) & set(text)) >= 0.5 * len(set(item))}
+    shares = {(d, i): share(items[i], docs[d]) for d, i in possible}
+    df = spark.createDataFrame([(d, " ".join(t)) for d, t in docs.items()], "doc_id long, text string").coalesce(1)
+    bench = spark.createDataFrame([(i, " ".join(t)) for i, t in items.items()] + [(99, "?!")], "item_id long, text string")
+    got = {(x["doc_id"], x["item_id"]) for x in decontaminate.find_contamination(df, bench).collect()}
+    assert {p for p, s in shares.items() if s == 1} <= got <= {p for p, s in shares.items() if s >= decontaminate.MIN_LCS}
+    sure = {p for p, s in shares.items() if s >= decontaminate.SURE_LCS}
+    assert len(sure) > 60 and len(sure & got) >= 0.97 * len(sure)
+    assert decontaminate.find_contamination(df, bench.limit(0)).count() == 0 == decontaminate.find_contamination(df.limit(0), bench).count()
+
+
 def test_mixing_meets_targets(spark):
     docs = [(i, "plain words here. " * (3 + i % 5)) if i % 3 else (i, "JUNK*** THING$$$ MORE### " * (3 + i % 5)) for i in range(120)]
     df = spark.createDataFrame([*docs, (None, None)], "doc_id long, text string")
