@@ -8,7 +8,8 @@ accumulators level by level. After each level a row can still gain at most
 ``|q| * r`` (Cauchy-Schwarz, r the norm of the row's unprocessed values), so rows
 whose accumulator plus that bound stays under the k-th best lower bound are proved
 out. Processing stops once few possible members are left, or no segment is; the
-members are then rescored exactly in integers held by doubles.
+members are then rescored exactly, in doubles where these hold each sum, else in
+integers.
 """
 
 from __future__ import annotations
@@ -23,6 +24,7 @@ from pyspark.sql import functions as F
 #: rows of an index block; queries of a query block; rows left per query when processing stops.
 BLOCK_ROWS, QUERY_ROWS, STOP_AT = 16384, 512, 64
 LEVELS = 6
+LONG = 1 << 63
 
 
 def build_block(ids: np.ndarray, vecs: np.ndarray, levels: int = LEVELS) -> dict:
@@ -39,13 +41,21 @@ def build_block(ids: np.ndarray, vecs: np.ndarray, levels: int = LEVELS) -> dict
     return {"ids": ids, "dims": vecs.shape[1] if vecs.ndim == 2 else 0, "segments": segments}
 
 
+def _exact(a: np.ndarray, b: np.ndarray, doubles: bool) -> np.ndarray:
+    """Inner products of whole-numbered rows; beyond 64 bits the nearest long."""
+    if doubles:  # every partial sum is below 2^53
+        return np.einsum("ij,ij->i", a, b).astype(np.int64)
+    sums = (sum(int(x) * int(y) for x, y in zip(r, t)) for r, t in zip(a.tolist(), b.tolist()))
+    return np.array([min(max(v, -LONG), LONG - 1) for v in sums], np.int64)
+
+
 def search_block(block: dict, queries: np.ndarray, query_ids: np.ndarray, k: int, stop_at: int = STOP_AT):
     """(query index, row id, score) of each query's exact top k of the block, own rows left out."""
     ids, segments = block["ids"], block["segments"]
     n, d = len(ids), block["dims"]
     m = len(queries)
     if not n or not m:
-        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
+        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
     if queries.shape[1] < d:
         queries = np.pad(queries, ((0, 0), (0, d - queries.shape[1])))
     queries = queries[:, :d]
@@ -57,6 +67,8 @@ def search_block(block: dict, queries: np.ndarray, query_ids: np.ndarray, k: int
     q = queries.astype(kind)
     q_norm = np.sqrt((queries**2).sum(1))
     rest = (full**2).sum(1)
+    # what rounding may add to or take from a sum of doubles
+    slack = 0.0 if peak < 2**53 else 4e-16 * (d + len(segments)) * q_norm[:, None] * np.sqrt(rest)[None, :]
     scores = np.zeros((m, n), kind)
     own = query_ids[:, None] == ids[None, :]
     kth = min(k, n) - 1
@@ -67,24 +79,24 @@ def search_block(block: dict, queries: np.ndarray, query_ids: np.ndarray, k: int
             scores += q @ plane.T
             rest = np.maximum(rest - (plane.astype(np.float64) ** 2).sum(1), 0)
         last = level == len(segments) - 1
-        gain = (q_norm[:, None] * np.sqrt(rest)[None, :] * (1 + 1e-6) + 1e-3 * (rest > 0)).astype(kind)
+        gain = (q_norm[:, None] * np.sqrt(rest)[None, :] * (1 + 1e-6) + 1e-3 * (rest > 0) + slack).astype(kind)
         if not last:
-            low = np.where(own, -np.inf, scores - gain)
+            low = np.where(own, -np.inf, np.clip(scores - gain, -float(LONG), float(LONG)))
             bar = np.partition(low, n - 1 - kth, axis=1)[:, n - 1 - kth]
-            alive = (scores + gain >= bar[:, None]) & ~own
+            alive = (np.clip(scores + gain, -float(LONG), float(LONG)) >= bar[:, None]) & ~own
             if level < len(segments) // 2 or alive.sum() > m * max(stop_at, 2 * k):
                 continue
         else:
-            held = np.where(own, -np.inf, scores)
+            held = np.where(own, -np.inf, np.clip(scores - slack, -float(LONG), float(LONG)))
             bar = np.partition(held, n - 1 - kth, axis=1)[:, n - 1 - kth]
-            alive = (held >= bar[:, None]) & ~own
+            alive = (np.clip(scores + slack, -float(LONG), float(LONG)) >= bar[:, None]) & ~own
         break
     at, who = np.nonzero(alive)
-    exact = np.empty(len(at))
-    for i in range(0, len(at), 1 << 16):  # whole numbers: a double holds the sum exactly
-        s = slice(i, i + (1 << 16))
-        exact[s] = np.einsum("ij,ij->i", queries[at[s]], full[who[s]])
-    order = np.lexsort((ids[who], -exact, at))
+    exact = np.empty(len(at), np.int64)
+    for i in range(0, len(at), 1 << 16):
+        c = slice(i, i + (1 << 16))
+        exact[c] = _exact(queries[at[c]], full[who[c]], peak < 2**53)
+    order = np.lexsort((ids[who], ~exact, at))  # ~ falls as the score rises, at either bound too
     at, who, exact = at[order], who[order], exact[order]
     start = np.searchsorted(at, np.arange(m))
     keep = np.arange(len(at)) - start[at] < k
@@ -106,7 +118,8 @@ def top_k(vectors: DataFrame, k: int = 20, query_mod: int = 20, scale: float = 6
     take no part. Vectors of unequal length count as padded with zeros; rows with the
     query's id are its own; a repeated id is returned once for each of its rows, and a
     repeated query id is one query (its least vector by content). Fewer than k rows
-    give fewer results; an empty table gives none. Other columns are ignored.
+    give fewer results; an empty table gives none. Scores beyond 64 bits count as the
+    nearest long. Other columns are ignored.
 
     Plan: rows are dealt by a hash over id and content to blocks of bounded size, and
     query blocks (bounded too) are sent to every index block: a stated query set
@@ -156,7 +169,7 @@ def top_k(vectors: DataFrame, k: int = 20, query_mod: int = 20, scale: float = 6
                 for i in range(0, len(q_ids), 256):
                     at, ids, score = search_block(block, q[i : i + 256], q_ids[i : i + 256], k)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(q_ids[i : i + 256][at]), pa.array(ids), pa.array(score.astype(np.int64))], names=["query_id", "vec_id", "score"]
+                        [pa.array(q_ids[i : i + 256][at]), pa.array(ids), pa.array(score)], names=["query_id", "vec_id", "score"]
                     )
 
     found = pairs.mapInArrow(run, "query_id long, vec_id long, score long")

@@ -164,6 +164,21 @@ def test_components_settle_or_raise(spark):
         common.connected_components(path, max_rounds=1)
 
 
+@pytest.mark.parametrize("size", [200, 3 * 10**7, 10**9, 5 * 10**9])
+def test_topk_block_is_exact_for_any_components(size):
+    r = np.random.default_rng(size)
+    vecs = r.integers(-size, size, (300, 24), endpoint=True)
+    vecs[50:60] = vecs[40]  # ties
+    vecs[60:70] = vecs[40]
+    vecs[60:70, 0] += np.arange(10)  # scores that differ by little
+    ids = np.arange(300) * 3
+    at, got, score = topk_search.search_block(topk_search.build_block(ids, vecs.astype(float)), vecs[::15].astype(float), ids[::15], 20)
+    assert len(at) == 20 * 20
+    for q in range(20):
+        want = sorted((-min(max(sum(int(a) * int(b) for a, b in zip(vecs[q * 15], v)), -(2**63)), 2**63 - 1), int(i)) for i, v in zip(ids, vecs) if i != ids[q * 15])[:20]
+        assert [(-int(s), int(i)) for s, i in zip(score[at == q], got[at == q])] == want
+
+
 def test_decontamination(spark):
     item = "the quick purple walrus measured seventeen copper kettles. then it sang about distant rivers"
     docs = [(i, " ".join(f"w{(i * 31 + j * 7) % 997}" for j in range(300))) for i in range(80)]
