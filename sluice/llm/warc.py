@@ -81,7 +81,9 @@ def build_record(page_id, url: str | None, payload: bytes, digest: str, refers_t
     return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
-def _fields(raw: bytes) -> dict[str, str]:
+def _fields(raw: bytes, single: tuple[str, ...] | None = None) -> dict[str, str]:
+    """Names in lower case and values. Only ``single`` names (None: but WARC-Concurrent-To, all)
+    must not be given twice; the values of others are joined by line ends."""
     out: dict[str, str] = {}
     last = None
     for line in raw.split(b"\r\n"):
@@ -94,8 +96,11 @@ def _fields(raw: bytes) -> dict[str, str]:
             raise WarcError(f"malformed header line {text[:60]!r}")
         last = name.lower()
         if last in out:
-            raise WarcError(f"header {name} is given twice")
-        out[last] = value.strip()
+            if last in single if single is not None else last != "warc-concurrent-to":
+                raise WarcError(f"header {name} is given twice")
+            out[last] += "\n" + value.strip()
+        else:
+            out[last] = value.strip()
     return out
 
 
@@ -121,7 +126,7 @@ def parse_record(data: bytes) -> Record:
         at = rec.block.find(b"\r\n\r\n")
         if at < 0:
             raise WarcError("the block has no HTTP header end")
-        rec.http_headers = _fields(rec.block[rec.block.find(b"\r\n") + 2 : at])
+        rec.http_headers = _fields(rec.block[rec.block.find(b"\r\n") + 2 : at], single=("content-length",))
         rec.payload = rec.block[at + 4 :]
         stated = rec.http_headers.get("content-length", "")
         if headers["warc-type"] == "response":
@@ -177,11 +182,17 @@ class ArchiveWriter:
 
 
 def read_frames(src, chunk: int = 1 << 18) -> Iterator[bytes]:
-    """Decoded records of an archive, one per frame. ``src.read(n)`` may give any size."""
+    """Decoded records of an archive, one per frame. ``src.read(n)`` may give any size.
+
+    An archive that starts with a record's frame has no dictionary.
+    """
     head = src.read(8)
-    if len(head) < 8 or struct.unpack("<I", head[:4])[0] != SKIPPABLE_MAGIC:
-        raise WarcError("no leading dictionary frame")
-    size = struct.unpack("<I", head[4:])[0]
+    while len(head) < 8 and (got := src.read(8 - len(head))):
+        head += got
+    plain = head.startswith(FRAME_MAGIC)
+    if not plain and (len(head) < 8 or struct.unpack("<I", head[:4])[0] != SKIPPABLE_MAGIC):
+        raise WarcError("neither a dictionary frame nor a record's leads")
+    size = 0 if plain else struct.unpack("<I", head[4:])[0]
     raw = b""
     while len(raw) < size:
         got = src.read(size - len(raw))
@@ -191,7 +202,7 @@ def read_frames(src, chunk: int = 1 << 18) -> Iterator[bytes]:
     if raw.startswith(FRAME_MAGIC):  # a dictionary may be stored compressed
         raw = zstd.ZstdDecompressor().decompress(raw)
     dec = zstd.ZstdDecompressor(**({"dict_data": zstd.ZstdCompressionDict(raw)} if raw else {}))
-    rest = b""
+    rest = head if plain else b""
     while True:
         data = rest or src.read(chunk)
         if not data:

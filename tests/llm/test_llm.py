@@ -41,6 +41,27 @@ def test_warc_round_trip_and_validation(spark):
     assert warc.archive_pages(pages.limit(0)).count() == 0
 
 
+def test_warc_reader_takes_plain_archives_and_repeated_headers():
+    rec = warc.build_record(7, "http://a/", b"body", warc.payload_digest(b"body"), None, "2024-01-01T00:00:00Z")
+    cookies = b"Set-Cookie: a=1\r\nSet-Cookie: b=2\r\n"
+    size = int(warc.parse_record(rec).headers["content-length"])
+    more = rec.replace(b"Content-Type: text/html", cookies + b"Content-Type: text/html").replace(b"Content-Length: %d\r" % size, b"Content-Length: %d\r" % (size + len(cookies)))
+    assert warc.parse_record(more).http_headers["set-cookie"] == "a=1\nb=2"
+    with pytest.raises(warc.WarcError):
+        warc.parse_record(rec.replace(b"WARC-Date", b"WARC-Date: 2024-01-01T00:00:00Z\r\nWARC-Date"))
+    plain = b"".join(warc.zstd.ZstdCompressor().compress(r) for r in (rec, more))
+
+    class Slow(io.BytesIO):
+        def read(self, n=-1):
+            return super().read(min(n, 3))
+
+    for source in (io.BytesIO, Slow):
+        assert list(warc.read_frames(source(plain))) == [rec, more]
+    for bad in (b"", b"\x28\xb5", b"no archive at all"):
+        with pytest.raises(warc.WarcError):
+            list(warc.read_frames(io.BytesIO(bad)))
+
+
 def test_top_k_equals_brute_force(spark):
     r = np.random.default_rng(1)
     vecs = r.standard_normal((400, 16))
