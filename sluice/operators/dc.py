@@ -6,6 +6,8 @@ stand there as s, how many as t), equalities are the key, ``<>`` is all less equ
 each inequality but one is a tree over the ranks of its values, in which two rows of
 different rank part at exactly one node; the last inequality is a running count within
 the nodes. Cost is n log n for each tree, at every size and for every ordered type.
+With equalities and several inequalities, rows are dealt by the key once and the trees of
+groups that fit are built in memory; only larger groups are copied to tree nodes.
 """
 
 from __future__ import annotations
@@ -17,10 +19,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..plans.dc_rules import Rule, compare
+from ..deploy import ship
+from ..plans.dc_rules import Predicate, Rule, compare
+from . import dominance
 
 #: ranges that values are split into before they are ordered.
 BUCKETS = 64
+#: hash cells whose sizes bound those of the groups in them.
+CELLS = 1 << 16
 
 
 def _all(conditions) -> Column:
@@ -163,6 +169,56 @@ def _total(rows: DataFrame, keys: list[str], order: list[tuple[str, str]]) -> Da
     return _ordered_count(rows, keys, *order[-1])
 
 
+def _crowded(rows: DataFrame, keys: list[str]) -> DataFrame | None:
+    """Keys of over ``dominance.CHUNK`` rows, None if there are none: looked for only if a cell of hashes has so many."""
+    n = F.count("*").alias("_n")
+    most = rows.groupBy(F.pmod(F.xxhash64(*keys), F.lit(CELLS)).alias("_c")).agg(n).agg(F.max("_n")).first()[0]
+    if (most or 0) <= dominance.CHUNK:
+        return None
+    found = rows.groupBy(*keys).agg(n).where(F.col("_n") > dominance.CHUNK).select(*keys)
+    return None if found.isEmpty() else found
+
+
+def _grouped(rows: DataFrame, keys: list[str], order: list[tuple[str, str, str]]) -> DataFrame:
+    """``n``: pairs of a key that satisfy every (left, right, operator), each group in a task's memory."""
+    ship(rows.sparkSession)
+    dealt = rows.repartition(*keys).sortWithinPartitions(*keys)
+    return dealt.mapInArrow(dominance.counter(keys, order), "n long").agg(F.sum(F.col("n").cast("decimal(19,0)")).cast("decimal(38,0)").alias("n"))
+
+
+def _plain(kind: T.DataType) -> bool:
+    return isinstance(kind, (T.NumericType, T.DateType, T.TimestampType, T.TimestampNTZType, T.BooleanType)) or kind == T.StringType()
+
+
+def _counts(df: DataFrame, pairs: list[Predicate], keys: list[Predicate], order: list[Predicate], fixed: list[Column]) -> list[DataFrame]:
+    """``n`` of each part: pairs that agree in the keys and satisfy ``order``, of rows known in all of ``pairs``."""
+    known = lambda side: _all(F.col(getattr(p, side)).isNotNull() for p in pairs)
+    kinds = [(df.schema[p.left].dataType, df.schema[p.right].dataType) for p in [*keys, *order]]
+    # -0.0 equals 0.0, so one key must not be dealt to two tasks
+    key = lambda c: (F.col(c) + F.lit(0.0).cast(df.schema[c].dataType)) if isinstance(df.schema[c].dataType, (T.DoubleType, T.FloatType)) else F.col(c)
+    names, dims = [f"k{i}" for i in range(len(keys))], [(f"d{i}", p.op) for i, p in enumerate(order)]
+    sided = lambda side: [*(key(getattr(p, side)).alias(n) for p, n in zip(keys, names)), *(F.col(getattr(p, side)).alias(d) for p, (d, _) in zip(order, dims))]
+    left = df.where(_all(fixed) & known("left")).select(*sided("left"), F.lit(1).alias("cl"), F.lit(0).alias("cr"))
+    right = df.where(known("right")).select(*sided("right"), F.lit(0).alias("cl"), F.lit(1).alias("cr"))
+    rows, parts = left.union(right), []
+    if len(order) > 1 and keys and all(_plain(k) for two in kinds for k in two):
+        if all(p.same for p in keys) and all(a == b for a, b in kinds):  # one row is both s and t
+            at = {c: f"v{i}" for i, c in enumerate(dict.fromkeys(c for p in order for c in (p.left, p.right)))}
+            side = F.coalesce((_all(fixed) & known("left")).cast("int"), F.lit(0)) + 2 * known("right").cast("int")
+            points = df.select(*sided("left")[: len(keys)], *(F.col(c).alias(n) for c, n in at.items()), side.alias("_side")).where("_side > 0")
+            three = [(at[p.left], at[p.right], p.op) for p in order]
+        else:
+            points = rows.select(*names, *(d for d, _ in dims), (F.col("cl") + 2 * F.col("cr")).alias("_side"))
+            three = [(d, d, op) for d, op in dims]
+        crowded = _crowded(points, names)
+        if crowded is None:
+            return [_grouped(points, names, three)]
+        parts.append(_grouped(points.join(crowded, names, "left_anti"), names, three))
+        rows = rows.join(crowded, names, "left_semi")
+    rest = _total(rows, names, dims)
+    return parts if rest is None else [*parts, rest]
+
+
 def count(df: DataFrame, rule: Rule) -> DataFrame:
     """One row, column ``violations``: ordered pairs of different rows that break the rule.
 
@@ -171,21 +227,13 @@ def count(df: DataFrame, rule: Rule) -> DataFrame:
     """
     pairs = [p for p in rule.predicates if p.constant is None]
     fixed = [compare(p.op, F.col(p.left), F.lit(p.constant)) for p in rule.predicates if p.constant is not None]
-    names = [f"{'k' if p.op == '=' else 'd'}{i}" for i, p in enumerate(pairs)]
-    known = lambda side: _all(F.col(getattr(p, side)).isNotNull() for p in pairs)
-    left = df.where(_all(fixed) & known("left")).select(*(F.col(p.left).alias(n) for p, n in zip(pairs, names)), F.lit(1).alias("cl"), F.lit(0).alias("cr"))
-    right = df.where(known("right")).select(*(F.col(p.right).alias(n) for p, n in zip(pairs, names)), F.lit(0).alias("cl"), F.lit(1).alias("cr"))
-    rows = left.union(right)
-    keys = [n for p, n in zip(pairs, names) if p.op == "="]
-    order = [(n, p.op) for p, n in zip(pairs, names) if p.op not in ("=", "<>")]
-    unequal = [n for p, n in zip(pairs, names) if p.op == "<>"]
+    unequal = [p for p in pairs if p.op == "<>"]
     own = df.agg(F.count_if(_all([compare(p.op, F.col(p.left), F.col(p.right)) for p in pairs] + fixed)).cast("decimal(38,0)").alias("n"))
     out = own.select((-F.col("n")).alias("n"))
     # pairs with x <> y are all pairs less those with x = y, for each such predicate
     for m in range(len(unequal) + 1):
         for equal in combinations(unequal, m):
-            part = _total(rows, [*keys, *equal], order)
-            if part is not None:
+            for part in _counts(df, pairs, [*rule.keys, *equal], rule.order, fixed):
                 out = out.union(part.select((F.col("n") if m % 2 == 0 else -F.col("n")).cast("decimal(38,0)").alias("n")))
     return out.agg(F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("violations"))
 

@@ -84,6 +84,25 @@ def test_counts_equal_nested_loop(spark, text):
     assert dc.count(df.limit(0), rule(text)).first()[0] == 0 and dc.exists(df.limit(0), rule(text)).first()[0] is False
 
 
+def test_groups_are_counted_in_memory_or_by_trees(spark, monkeypatch):
+    r = random.Random(8)
+    odd = [None, float("nan"), -0.0, 0.0, float("-inf"), 1.5, -1.5]
+    cols = ["k", "f", "a", "b", "x", "y", "s"]
+    rows = [(r.choice([None, 0, 0, 0, 0, 1, 2, 3]), r.choice([-0.0, 0.0, 1.0]), r.randint(0, 9), r.choice([None, *range(5)]), r.choice(odd[2:]), r.choice(odd[2:]), r.choice([None, "", "a", "é", "b"])) for _ in range(300)]
+    df = spark.createDataFrame(rows, "k int, f double, a int, b int, x double, y double, s string").repartition(3)
+    texts = ["k = k, a > a, b < b, x >= x", "k = k, a > b, b <= a, x < y", "f = f, x > x, s <= s", "k = k, f = f, a <> b, a >= a, x < x", "k = b, a > a, s < s", "k = k, a > 4, x <= y, s >= s"]
+    trees = dc._total
+    for chunk in (1 << 17, 40):  # all groups in memory; some in chunks and the larger by trees
+        monkeypatch.setattr(dc.dominance, "CHUNK", chunk)
+        # with room for a chunk no row is copied to a tree node
+        monkeypatch.setattr(dc, "_total", trees if chunk < 1 << 17 else None)
+        for text in texts:
+            assert dc.count(df, rule(text)).first()[0] == _nested_loop(rows, cols, text), (chunk, text)
+    nan = spark.createDataFrame([(1, float(x), y) for x in ("nan", "nan", 1, "-inf") for y in (1, 2)], "k int, x double, y int")
+    monkeypatch.setattr(dc.dominance, "CHUNK", 1 << 17)
+    assert dc.count(nan, rule("k = k, x > x, y >= y")).first()[0] == 15 and dc.count(nan, rule("k = k, x >= x, y > y")).first()[0] == 11
+
+
 def test_null_keys_are_no_group(spark):
     df = spark.createDataFrame([(None, 1.0), (None, 2.0)], "k int, v double")
     assert dc.exists(df, rule("k = k, v > v")).first()[0] is False
