@@ -103,6 +103,12 @@ def test_groups_are_counted_in_memory_or_by_trees(spark, monkeypatch):
     assert dc.count(nan, rule("k = k, x > x, y >= y")).first()[0] == 15 and dc.count(nan, rule("k = k, x >= x, y > y")).first()[0] == 11
 
 
+def test_date_orders_are_counted_in_memory(spark, monkeypatch):
+    monkeypatch.setattr(dc, "_total", None)  # no row is copied to a tree node
+    days = spark.createDataFrame([(1, dt.date(1969, 1, d), dt.datetime(2024, 1, d, 1), d % 2 == 0) for d in (1, 2, 3)], "k int, d date, t timestamp, b boolean")
+    assert dc.count(days, rule("k = k, d < d, t < t")).first()[0] == 3 and dc.count(days, rule("k = k, d < d, b <= b")).first()[0] == 2
+
+
 def test_null_keys_are_no_group(spark):
     df = spark.createDataFrame([(None, 1.0), (None, 2.0)], "k int, v double")
     assert dc.exists(df, rule("k = k, v > v")).first()[0] is False
