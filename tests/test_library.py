@@ -109,6 +109,15 @@ def test_date_orders_are_counted_in_memory(spark, monkeypatch):
     assert dc.count(days, rule("k = k, d < d, t < t")).first()[0] == 3 and dc.count(days, rule("k = k, d < d, b <= b")).first()[0] == 2
 
 
+def test_orders_of_two_columns_are_counted_in_memory(spark, monkeypatch):
+    monkeypatch.setattr(dc, "_total", None)  # no row is copied to a tree node
+    r = random.Random(4)
+    rows = [(r.randint(0, 3), r.randint(0, 50) / 2, r.choice([None, *range(5)]), r.randint(0, 4)) for _ in range(200)]
+    df = spark.createDataFrame(rows, "k int, p double, a int, b int")
+    text = "k = k, p > p, a < b, b >= a"
+    assert dc.count(df, rule(text)).first()[0] == _nested_loop(rows, df.columns, text)
+
+
 def test_null_keys_are_no_group(spark):
     df = spark.createDataFrame([(None, 1.0), (None, 2.0)], "k int, v double")
     assert dc.exists(df, rule("k = k, v > v")).first()[0] is False
