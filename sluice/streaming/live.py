@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.scalars import millis
 from ..operators import dc
 from ..operators.monitor import Monitor
 from ..plans.dc_rules import Rule
@@ -83,7 +84,7 @@ def split_late_batches(stream: DataFrame, ts: str, wait_seconds: float, on_time:
         seen = None
         if number and _exists(spark, watermark_path):
             seen = spark.read.option("recursiveFileLookup", "true").parquet(watermark_path).where(F.col("batch") < number).agg(F.max("wm")).first()[0]
-        t = F.unix_millis(F.col(ts).cast("timestamp"))
+        t = millis(F.col(ts))
         behind = t < (seen or -(1 << 62)) - int(wait_seconds * 1000)
         late(batch.where(behind), number)
         on_time(batch.where(~behind), number)

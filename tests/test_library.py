@@ -118,6 +118,20 @@ def test_orders_of_two_columns_are_counted_in_memory(spark, monkeypatch):
     assert dc.count(df, rule(text)).first()[0] == _nested_loop(rows, df.columns, text)
 
 
+@pytest.mark.parametrize("name", ["pane_states"])
+def test_times_near_a_pane_end_are_as_in_sql(spark, tmp_path, name):
+    duckdb = pytest.importorskip("duckdb")
+    at = [dt.datetime(2024, 1, 15, h, 59, 59, us) for h in range(22, 24) for us in (999499, 999500, 999501, 999999)] + [dt.datetime(2024, 1, 15, 23, 59, 58, 999700), None]
+    rows = [(i, t, i % 3, "view", 1.25, "{}") for i, t in enumerate(at)]
+    spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string").write.parquet(f"{tmp_path}/events.parquet")
+    got = registry.QUERIES[name](spark, str(tmp_path))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM read_parquet('{tmp_path}/events.parquet/*.parquet')")
+    want = con.execute(f"SELECT {', '.join(got.columns)} FROM ({registry.ORACLE_SQL[name]})").fetchall()
+    order = lambda rows: sorted(map(tuple, rows), key=str)
+    assert order(got.collect()) == order(want)
+
+
 def test_null_keys_are_no_group(spark):
     df = spark.createDataFrame([(None, 1.0), (None, 2.0)], "k int, v double")
     assert dc.exists(df, rule("k = k, v > v")).first()[0] is False
