@@ -118,7 +118,7 @@ def test_orders_of_two_columns_are_counted_in_memory(spark, monkeypatch):
     assert dc.count(df, rule(text)).first()[0] == _nested_loop(rows, df.columns, text)
 
 
-@pytest.mark.parametrize("name", ["pane_states", "assign_all_windows", "assign_latest_window", "pane_window_ids"])
+@pytest.mark.parametrize("name", ["pane_states", "assign_all_windows", "assign_latest_window", "pane_window_ids", "time_parts"])
 def test_times_near_a_pane_end_are_as_in_sql(spark, tmp_path, name):
     duckdb = pytest.importorskip("duckdb")
     at = [dt.datetime(2024, 1, 15, h, 59, 59, us) for h in range(22, 24) for us in (999499, 999500, 999501, 999999)] + [dt.datetime(2024, 1, 15, 23, 59, 58, 999700), None]
