@@ -1,9 +1,9 @@
 """Benchmark decontamination by latent semantic retrieval.
 
 Benchmark items are cut into parts of at most a passage's length. TF-IDF weights use
-document frequencies of the items' words over all documents. A randomised SVD with
-one power iteration, whose products with the passage matrix are summed over tasks,
-gives the latent space; every passage of every document is projected into it and
+document frequencies of the items' words over all documents. A randomised SVD of the
+passages of all documents and the items, whose two products with the passage matrix are
+summed over tasks, gives the latent space; every passage of every document is projected into it and
 compared by cosine with the parts of all items but those that the check below must
 refuse there, too few of their words standing near. Candidates are checked in the text: the
 longest common subsequence of words with the item, and the item's answer (its last
@@ -13,9 +13,8 @@ sentence) within the same place.
 from __future__ import annotations
 
 import re
-from collections import Counter
 from dataclasses import dataclass
-from itertools import chain, repeat
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -34,8 +33,10 @@ STRIDE, SHORT, LONG, SHORT_PART, LONG_PART = 16, 2, 4, 24, 48
 #: the texts read so far are searched.
 SECTION, SECTIONS, WORDS = 24, 1024, 1 << 16
 RANK, OVERSAMPLE = 128, 16
-#: documents (least id hashes) and their most bytes that the latent space is fitted on.
-FIT_DOCS, FIT_BYTES = 4096, 16_000
+#: strides that a product is taken of at once; occurrences there from which a word is frequent.
+PIECE, OFTEN = 2048, 17
+#: words of a product whose rows are added up together.
+ROWS = 256
 #: cosine of a candidate; shares of the item's words in order that settle it.
 MIN_COSINE, SURE_LCS, MIN_LCS, MIN_ANSWER = 0.5, 0.85, 0.6, 0.6
 _PUNCT = bytes.maketrans(b"".join(bytes([c]) for c in range(128) if not chr(c).isalnum()), b" " * sum(not chr(c).isalnum() for c in range(128)))
@@ -171,28 +172,55 @@ def _passages(sums: np.ndarray, strides: int) -> np.ndarray:
     return out
 
 
-def _known(ws: list[bytes], vocab: dict) -> tuple[np.ndarray, np.ndarray]:
-    ids = np.fromiter(map(vocab.get, ws, repeat(-1)), np.int64, len(ws))
-    pos = np.flatnonzero(ids >= 0)
-    return ids[pos], pos
+def _encoded(docs: DataFrame, vocab: dict) -> tuple[DataFrame, np.dtype]:
+    """(doc_id, words) of all documents: a text's words as numbers of the given type, -1 for those not in ``vocab``."""
+    shared = docs.sparkSession.sparkContext.broadcast(vocab)
+    kind = np.dtype("<i2" if len(vocab) < 1 << 15 else "<i4")
+
+    def run(batches):
+        get = shared.value.get
+        for b in batches:
+            words = (words_of(text.as_py()) for text in b.column(1))
+            coded = [np.fromiter(map(get, ws, repeat(-1)), kind, len(ws)).tobytes() for ws in words]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(coded, pa.binary())], names=["doc_id", "words"])
 
+    return common.written(docs.select("doc_id", "text").mapInArrow(run, "doc_id long, words binary"), "lsi-words", 16 << 20), kind
 
-def document_frequencies(docs: DataFrame, vocab: dict) -> tuple[np.ndarray, int]:
-    """Over all documents: in how many each word is, and how many there are."""
-    shared = docs.sparkSession.sparkContext.broadcast(vocab)
+
+def _batches_of(column, kind: np.dtype):
+    """The texts' words, several texts at once."""
+    texts: list[np.ndarray] = []
+    many = 0
+    for x in column:
+        texts.append(np.frombuffer(x.as_buffer(), kind))
+        many += len(texts[-1])
+        if many >= WORDS:
+            yield texts
+            texts, many = [], 0
+    if texts:
+        yield texts
+
+
+def document_frequencies(coded: DataFrame, size: int, kind: np.dtype) -> tuple[np.ndarray, int]:
+    """Over all documents: in how many each of the ``size`` words is, and how many there are."""
 
     def run(batches):
-        known, total, n = shared.value, Counter(), 0
+        total, n = np.zeros(size, np.int64), 0
+        at_once = max(1, (1 << 22) // size)
         for b in batches:
-            texts = b.column(0).to_pylist()
-            for t in texts:
-                total.update(known.keys() & set(words_of(t)))
-            n += len(texts)
-        rows = [(known[w], c) for w, c in total.items()] + [(-1, n)]
-        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64())], names=["w", "n"])
-
-    got = docs.select("text").mapInArrow(run, "w long, n long").groupBy("w").agg(F.sum("n").alias("n")).collect()
-    df, n = np.zeros(max(len(vocab), 1)), 0
+            for texts in _batches_of(b.column(0), kind):
+                for i in range(0, len(texts), at_once):
+                    some = texts[i : i + at_once]
+                    # the last column is that of -1
+                    held = np.zeros((len(some), size + 1), bool)
+                    held[np.repeat(np.arange(len(some)), [len(x) for x in some]), np.concatenate(some)] = True
+                    total += held[:, :size].sum(0)
+                n += len(texts)
+        w = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(np.r_[w, -1], pa.int64()), pa.array(np.r_[total[w], n], pa.int64())], names=["w", "n"])
+
+    got = coded.select("words").mapInArrow(run, "w long, n long").groupBy("w").agg(F.sum("n").alias("n")).collect()
+    df, n = np.zeros(size), 0
     for w, c in got:
         if w < 0:
             n = c
@@ -203,70 +231,122 @@ def document_frequencies(docs: DataFrame, vocab: dict) -> tuple[np.ndarray, int]
 
 def randomised_svd(passages, vocab_size: int, rank: int, seed: int = 11) -> np.ndarray:
     """Right singular vectors (vocab, rank). ``passages(table)`` maps a (vocab, k) table to
-    the sum over all passage rows m of m^T (m table), added up over the tasks."""
+    the sum over all passage rows m of m^T (m table), added up over the tasks; two such
+    products, the second on the first one's range, give it (Nystroem's form)."""
     r = np.random.default_rng(seed)
     k = min(rank + OVERSAMPLE, vocab_size)
-    q = np.linalg.qr(r.standard_normal((vocab_size, k)))[0]
-    for _ in range(2):
-        q = np.linalg.qr(passages(q))[0]
-    small = q.T @ passages(q)
-    _, vec = np.linalg.eigh((small + small.T) / 2)
-    return q @ vec[:, ::-1][:, : min(rank, k)]
-
-
-def _sum_products(sample: DataFrame, vocab: dict, idf: np.ndarray, own: list[list[bytes]]):
-    """The ``passages`` of randomised_svd: sampled documents' passages and the items themselves."""
-    shared = sample.sparkSession.sparkContext.broadcast(vocab)
-
-    def product(rows, known: dict, table: np.ndarray) -> tuple[np.ndarray, int]:
-        out, n = np.zeros_like(table), 0
-        weighted = table * idf[:, None]
-        for ws in rows:
-            ids, pos = _known(ws, known)
-            if not len(ids):
-                continue
-            blocks = int(pos[-1]) // STRIDE + 1
-            sums = _block_sums(ids, pos, weighted, blocks)
-            pas = _passages(sums, LONG)
-            n += len(pas)
-            # a word in stride b takes part in the passages that start LONG - 1 strides before it or later
-            share = np.zeros_like(sums)
-            for i in range(min(LONG, len(sums))):
-                share[i : i + len(pas)] += pas
-            np.add.at(out, ids, share[pos // STRIDE] * idf[ids][:, None])
-        return out, n
+    q = np.linalg.qr(passages(np.linalg.qr(r.standard_normal((vocab_size, k)))[0]))[0]
+    y = passages(q)
+    small = q.T @ y
+    val, vec = np.linalg.eigh((small + small.T) / 2)
+    good = val > val[-1] * 1e-6
+    return np.linalg.svd(y @ (vec[:, good] / np.sqrt(val[good])), full_matrices=False)[0][:, : min(rank, k)]
+
+
+def _spread(out: np.ndarray, line: np.ndarray, share: np.ndarray) -> None:
+    """Adds to each word's row of ``out`` the ``share`` of every stride that it stands in, as often as it does."""
+    at = np.flatnonzero(line < len(out))
+    words, strides = line.ravel()[at], at // STRIDE
+    often = np.flatnonzero(np.bincount(words, minlength=len(out)) >= OFTEN)
+    slot = np.full(len(out), -1)
+    slot[often] = np.arange(len(often))
+    slot = slot[words]
+    few = slot < 0
+    times = np.bincount(slot[~few] * len(line) + strides[~few], minlength=len(often) * len(line)).reshape(len(often), len(line))
+    out[often] += times.astype(share.dtype) @ share
+    words, strides = words[few], strides[few]
+    if len(words):
+        order = np.argsort(words.astype(np.uint16) if len(out) < 1 << 16 else words, kind="stable")
+        words = words[order]
+        first = np.flatnonzero(np.r_[True, words[1:] != words[:-1]])
+        out[words[first]] += np.add.reduceat(np.take(share, strides[order], axis=0), first, axis=0)
+
+
+def _add_product(out: np.ndarray, texts: list[np.ndarray], table: np.ndarray) -> int:
+    """Adds the sum over the texts' passages m of m^T (m table) to ``out`` and returns how many there
+    are. ``table`` has a last row of zeros, for the words that are not known."""
+    ids = np.concatenate(texts)
+    lengths = np.array([len(x) for x in texts])
+    starts = np.cumsum(lengths) - lengths
+    at = np.flatnonzero(ids >= 0)
+    lo, hi = np.searchsorted(at, starts), np.searchsorted(at, starts + lengths)
+    has = hi > lo
+    if not has.any():
+        return 0
+    lo, hi, starts = lo[has], hi[has], starts[has]
+    blocks = (at[hi - 1] - starts) // STRIDE + 1
+    # texts stand in a line so far apart that no passage reaches the next one
+    taken = blocks + LONG - 1
+    first, size = np.cumsum(taken) - taken, int(taken.sum())
+    line = np.full((size, STRIDE), len(table) - 1, np.int32)
+    line.ravel()[at + np.repeat(first * STRIDE - starts, hi - lo)] = ids[at]
+    many = np.maximum(blocks - LONG + 1, 1)
+    turn = np.zeros(size + 1, np.int8)
+    turn[first], turn[first + many] = 1, -1
+    whole = np.cumsum(turn[:-1]) > 0  # a passage of a text starts here
+    for a in range(0, size - LONG + 1, PIECE):
+        piece = line[a : a + PIECE + LONG - 1]
+        n = len(piece) - LONG + 1
+        sums = np.take(table, piece[:, 0], axis=0)
+        for j in range(1, STRIDE):
+            sums += np.take(table, piece[:, j], axis=0)
+        pas = _passages(sums, LONG)
+        pas[~whole[a : a + n]] = 0
+        # a stride takes part in the passages that start LONG - 1 strides before it or later
+        share = np.zeros_like(sums)
+        for i in range(LONG):
+            share[i : i + n] += pas
+        _spread(out, piece, share)
+    return int(many.sum())
+
+
+def _sum_products(coded: DataFrame, kind: np.dtype, idf: np.ndarray, own: list[np.ndarray]):
+    """The ``passages`` of randomised_svd: those of all documents and the items themselves."""
 
     def passages(table: np.ndarray) -> np.ndarray:
-        sent = sample.sparkSession.sparkContext.broadcast(table)
+        weighted = np.vstack([table * idf[:, None], np.zeros((1, table.shape[1]))]).astype(np.float32)
+        sent = coded.sparkSession.sparkContext.broadcast(weighted)
+        shape = table.shape
+
+        def rows_of(got):
+            cols = list(zip(*got)) if got else [(), (), ()]
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.binary(), pa.int64()))], names=["at", "part", "n"])
 
         def run(batches):
-            total, n = np.zeros_like(sent.value), 0
+            total, n = np.zeros(shape), 0
             for b in batches:
-                got, rows = product((words_of(t) for t in b.column(0).to_pylist()), shared.value, sent.value)
-                total, n = total + got, n + rows
-            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary()), pa.array([n], pa.int64())], names=["part", "n"])
+                for texts in _batches_of(b.column(0), kind):
+                    n += _add_product(total, texts, sent.value)
+            if n:
+                yield rows_of([(i, total[i : i + ROWS].astype(np.float32).tobytes(), n if i == 0 else 0) for i in range(0, shape[0], ROWS)])
 
         def add(batches):
-            total, n = np.zeros_like(sent.value), 0
+            total: dict[int, list] = {}
             for b in batches:
-                for part, rows in zip(b.column(0), b.column(1).to_pylist()):
-                    total, n = total + np.frombuffer(part.as_buffer()).reshape(total.shape), n + rows
-            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary()), pa.array([n], pa.int64())], names=["part", "n"])
-
-        # one table reaches the driver: those of the sample's few partitions are added in a task
-        schema = "part binary, n long"
-        got = sample.select("text").mapInArrow(run, schema).repartition(1).mapInArrow(add, schema).first()
+                for at, part, n in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist()):
+                    held = total.setdefault(at, [0.0, 0])
+                    held[0] = held[0] + np.frombuffer(part.as_buffer(), np.float32).astype(np.float64)
+                    held[1] += n
+            yield rows_of([(at, x.tobytes(), n) for at, (x, n) in total.items()])
+
+        # one table reaches the driver: those of the tasks are added up by ranges of words
+        schema = "at long, part binary, n long"
+        parts = coded.select("words").mapInArrow(run, schema).repartition("at").mapInArrow(add, schema).collect()
         sent.destroy()
-        mine, rows = product(own, vocab, table)
+        out, n = np.zeros(shape), 0
+        for at, part, some in parts:
+            out[at : at + ROWS] = np.frombuffer(part).reshape(-1, shape[1])
+            n += some
+        mine = np.zeros(shape)
+        rows = sum(_add_product(mine, [x], weighted) for x in own)
         # items and corpus passages weigh the same in total, or the items' words would be lost in the tail
-        out, n = (np.frombuffer(bytes(got["part"])).reshape(table.shape), got["n"]) if got else (np.zeros_like(table), 0)
-        return out / max(n, 1) + mine / max(rows, 1)
+        return (out / max(n, 1) + mine / max(rows, 1)) * idf[:, None]
 
     return passages
 
 
-def _search(docs: DataFrame, items: Items, min_cosine: float) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast(items)
+def _search(coded: DataFrame, kind: np.dtype, items: Items, min_cosine: float) -> DataFrame:
+    shared = coded.sparkSession.sparkContext.broadcast(items)
 
     def check(it: Items, k: int, at: np.ndarray, ids: list[int], a: int, b: int, start: int, end: int) -> tuple[float, float]:
         """Best (lcs share, answer share) of item k in a stretch of words ``start`` to ``end`` no longer
@@ -341,14 +421,14 @@ def _search(docs: DataFrame, items: Items, min_cosine: float) -> DataFrame:
                 if got:
                     yield k, got
 
-    def search(it: Items, mark: np.ndarray, texts: list[list[bytes]]):
+    def search(it: Items, mark: np.ndarray, texts: list[np.ndarray]):
         """(text, item, cosine, lcs share, answer share) of each pair, of several texts at once."""
         # a text starts at a section of its own, that no section with words of the text before reaches
         size = it.section * STRIDE
         taken = np.array([-(-len(ws) // size) for ws in texts])
         between = -(-(LONG * STRIDE + it.reach) // size)
         starts = np.cumsum(taken + between) - taken - between
-        ids = np.fromiter(map(it.vocab.get, chain.from_iterable(texts), repeat(-1)), np.int64)
+        ids = np.concatenate(texts).astype(np.int64)
         lengths = np.array([len(ws) for ws in texts])
         ahead = np.cumsum(lengths) - lengths
         here = np.flatnonzero(ids >= 0)
@@ -374,23 +454,17 @@ def _search(docs: DataFrame, items: Items, min_cosine: float) -> DataFrame:
         for b in batches:
             ids = b.column(0).to_pylist()
             out: list[tuple[int, int, float, float, float]] = []
-            rows: list[int] = []
-            texts: list[list[bytes]] = []
-            many = 0
-            for i, text in enumerate(b.column(1)):
-                ws = words_of(text.as_py())
-                if ws:
-                    rows.append(i)
-                    texts.append(ws)
-                    many += len(ws)
-                if texts and (many >= WORDS or i == len(ids) - 1):
-                    out += [(ids[rows[t]], *rest) for t, *rest in search(it, mark, texts)]
-                    rows, texts, many = [], [], 0
+            done = 0
+            for texts in _batches_of(b.column(1), kind):
+                rows = [i for i, x in enumerate(texts, done) if len(x)]
+                done += len(texts)
+                if rows:
+                    out += [(ids[rows[t]], *rest) for t, *rest in search(it, mark, [x for x in texts if len(x)])]
             cols = list(zip(*out)) if out else [(), (), (), (), ()]
             kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["doc_id", "item_id", "cosine", "lcs_share", "answer_share"])
 
-    return docs.mapInArrow(run, "doc_id long, item_id long, cosine double, lcs_share double, answer_share double")
+    return coded.mapInArrow(run, "doc_id long, item_id long, cosine double, lcs_share double, answer_share double")
 
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, min_cosine: float = MIN_COSINE) -> DataFrame:
@@ -403,25 +477,25 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, min_cosine: float
     give a pair each; other columns are ignored.
 
     Items are searched in blocks of at most BLOCK_ITEMS and BLOCK_BYTES, so the
-    broadcast is bounded; each block is one narrow pass over all passages.
+    broadcast is bounded; for each block the documents' words are stored as numbers once,
+    which serve the frequencies, the latent space (of all documents) and one narrow pass
+    over all passages.
     """
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     bench = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null")
     bench = bench.where(F.octet_length("text") > 0)
-    sample = None
     found: DataFrame | None = None
     for rows in _item_blocks(bench):
         items = Items.of(rows)
         if not items.vocab:
             continue
-        df, n = document_frequencies(src, items.vocab)
-        if sample is None:
-            few = common.hash_sample(src.where(F.octet_length("text").between(1, FIT_BYTES)), ["doc_id", "text"], FIT_DOCS, n)
-            sample = common.written(few.select("text").repartition(min(8, common.shuffle_partitions(docs.sparkSession))), "lsi-sample")
+        coded, kind = _encoded(src, items.vocab)
+        df, n = document_frequencies(coded, len(items.vocab), kind)
         # never 0: an item that most documents hold keeps its weight
         idf = np.log((n + 1) / (df + 1)) + 1
         parts = items.part_rows()
-        basis = randomised_svd(_sum_products(sample, items.vocab, idf, [w for _, w in parts]), len(items.vocab), RANK)
+        own = [np.array([items.vocab[w] for w in ws]) for _, ws in parts]
+        basis = randomised_svd(_sum_products(coded, kind, idf, own), len(items.vocab), RANK)
         items.embed = (basis * idf[:, None]).astype(np.float32)
         vec = np.array([items.embed[[items.vocab[w] for w in ws]].sum(0) for _, ws in parts])
         norm = np.linalg.norm(vec, axis=1, keepdims=True)
@@ -429,7 +503,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, min_cosine: float
         items.part_item = np.array([k for k, _ in parts])
         items.part_long = np.array([len(ws) > SHORT_PART for _, ws in parts])
         items.set_words()
-        one = _search(src, items, min_cosine)
+        one = _search(coded, kind, items, min_cosine)
         found = one if found is None else found.union(one)
     if found is None:
         return src.where("false").select("doc_id", F.lit(None).cast("long").alias("item_id"), *(F.lit(None).cast("double").alias(c) for c in ("cosine", "lcs_share", "answer_share")))

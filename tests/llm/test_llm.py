@@ -219,6 +219,41 @@ def test_decontamination_of_an_item_in_a_third_of_the_rows(spark):
     assert got == set(range(0, 96, 3))
 
 
+def test_latent_space_is_fitted_on_the_passages_of_all_documents(spark):
+    r = np.random.default_rng(3)
+    D = decontaminate
+    vocab = {f"w{i}".encode(): i for i in range(300)}
+    # many and long texts (over 16,000 bytes), short, empty and unknown ones; frequent words
+    sizes = [*r.integers(0, 120, 4500).tolist(), 40_000, 6_000, 0, 1, 15, 16, 17, 48, 64, 65]
+    texts = [[f"w{int(x)}" for x in np.minimum(r.zipf(1.3, n), 400)] for n in sizes] + [["x"] * 70]
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)] + [(None, None)], "doc_id long, text string").repartition(3)
+    coded, kind = D._encoded(df, vocab)
+    freq, n = D.document_frequencies(coded, len(vocab), kind)
+    assert n == len(texts) + 1 and freq.tolist() == [sum(w.decode() in t for t in map(set, texts)) for w in vocab]
+
+    idf = np.log((n + 1) / (freq + 1)) + 1
+
+    def passages(words):
+        ids = [vocab.get(w.encode(), -1) for w in words]
+        last = max((i for i, x in enumerate(ids) if x >= 0), default=-1)
+        strides = np.zeros((last // D.STRIDE + 1, len(vocab)))
+        for i, x in enumerate(ids[: last + 1]):
+            strides[i // D.STRIDE, x] += x >= 0
+        return [strides[i : i + D.LONG].sum(0) for i in range(max(1, len(strides) - D.LONG + 1))] if last >= 0 else []
+
+    m = np.array([p for t in texts for p in passages(t)]) * idf
+    own = [np.arange(5, 25), np.arange(100, 103)]
+    mine = np.array([p for o in own for p in passages([f"w{i}" for i in o])]) * idf
+    table = r.standard_normal((len(vocab), 20))
+    got = D._sum_products(coded, kind, idf, own)(table)
+    want = m.T @ (m @ table) / len(m) + mine.T @ (mine @ table) / len(mine)
+    assert np.abs(got - want).max() < 1e-4 * np.abs(want).max()
+    # the two products find the leading space of a symmetric matrix
+    basis = np.linalg.qr(r.standard_normal((300, 300)))[0]
+    a = basis @ np.diag(0.8 ** np.arange(300)) @ basis.T
+    assert np.abs(np.abs((D.randomised_svd(lambda q: a @ q, 300, 8)).T @ basis[:, :8]) - np.eye(8)).max() < 1e-3
+
+
 def test_decontamination_against_brute_force(spark):
     r = np.random.default_rng(5)
     words = [f"w{i}" for i in range(400)]
