@@ -5,7 +5,7 @@ document frequencies of the items' words over all documents. A randomised SVD of
 passages of all documents and the items, whose two products with the passage matrix are
 summed over tasks, gives the latent space; every passage of every document is projected into it and
 compared by cosine with the parts of all items but those that the check below must
-refuse there, too few of their words standing near. Candidates are checked in the text: the
+refuse there, too few of their words standing near. By falling cosine, places are checked in the text: the
 longest common subsequence of words with the item, and the item's answer (its last
 sentence) within the same place.
 """
@@ -37,8 +37,9 @@ RANK, OVERSAMPLE = 128, 16
 PIECE, OFTEN = 2048, 17
 #: words of a product whose rows are added up together.
 ROWS = 256
-#: cosine of a candidate; shares of the item's words in order that settle it.
-MIN_COSINE, SURE_LCS, MIN_LCS, MIN_ANSWER = 0.5, 0.85, 0.6, 0.6
+#: cosine of a candidate (any: a bound loses places that the text check accepts); shares of the
+#: item's words in order that settle it.
+MIN_COSINE, SURE_LCS, MIN_LCS, MIN_ANSWER = -1.0, 0.85, 0.6, 0.6
 _PUNCT = bytes.maketrans(b"".join(bytes([c]) for c in range(128) if not chr(c).isalnum()), b" " * sum(not chr(c).isalnum() for c in range(128)))
 
 
@@ -415,7 +416,7 @@ def _search(coded: DataFrame, kind: np.dtype, items: Items, min_cosine: float) -
             cos = passages @ it.parts[of].T / norm[:, None]
             for k in np.unique(it.part_item[of]).tolist():
                 best = cos[:, it.part_item[of] == k].max(1)
-                rows = np.flatnonzero(best >= min_cosine)
+                rows = np.flatnonzero(best >= min_cosine) if min_cosine > -1 else np.arange(len(best))
                 rows = rows[np.lexsort((-rows, -best[rows]))]
                 got = best_of(it, k, *hits[k], best[rows], rows + first)
                 if got:
