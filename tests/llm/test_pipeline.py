@@ -161,3 +161,18 @@ def test_empty_tables(spark, sf_dir):
     none = _docs(spark, sf_dir).limit(0)
     for _, stage in cp.STAGES:
         assert stage(spark, none, sf_dir).count() == 0
+
+
+def test_contamination_is_judged_without_a_sample(spark, tmp_path, monkeypatch):
+    from sluice.llm import common
+
+    def refuse(*_):
+        raise AssertionError("a sample was taken")
+
+    monkeypatch.setattr(common, "hash_sample", refuse)
+    item = "the quick purple walrus measured seventeen copper kettles. then it sang about distant rivers"
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    plain = " ".join(f"w{i}" for i in range(4000))  # more bytes than the sample took
+    docs = spark.createDataFrame([(1, plain), (2, f"{plain} {item}"), (None, None)], "doc_id long, text string")
+    kept = corpus_pipeline.drop_contaminated(spark, docs, str(tmp_path)).collect()
+    assert {r["doc_id"] for r in kept} == {1, None}
