@@ -174,5 +174,5 @@ def test_contamination_is_judged_without_a_sample(spark, tmp_path, monkeypatch):
     spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     plain = " ".join(f"w{i}" for i in range(4000))  # more bytes than the sample took
     docs = spark.createDataFrame([(1, plain), (2, f"{plain} {item}"), (None, None)], "doc_id long, text string")
-    kept = corpus_pipeline.drop_contaminated(spark, docs, str(tmp_path)).collect()
+    kept = cp.drop_contaminated(spark, docs, str(tmp_path)).collect()
     assert {r["doc_id"] for r in kept} == {1, None}
