@@ -24,29 +24,37 @@ MAX_DOMAINS = 64
 FEATURES = ("symbols", "digits", "upper", "marks", "lines", "word_length", "letters", "size", "bang")
 
 
-def features(text: Column) -> dict[str, Column]:
-    """Shares of characters by kind, mean word length and log size; 0 for empty texts."""
-    t = F.coalesce(text, F.lit(""))
-    n = F.length(t)
-    share = lambda c: F.when(n > 0, c / n).otherwise(F.lit(0.0))
-    without = lambda chars: n - F.length(F.translate(t, chars, ""))
-    return {
-        "n_tokens": F.size(F.filter(F.split(t, r"[ \t\n\r\f\x0b]+"), lambda w: w != "")).cast("long"),
-        "n_chars_": n,
-        "symbols": F.least(share(without("*#&$%@{}<>|=~^")) * 10, F.lit(1.0)),
-        "digits": share(without("0123456789")) * 10,
-        "upper": share(without("ABCDEFGHIJKLMNOPQRSTUVWXYZ")),
-        "marks": share(without(".,;:?\"'()-")) * 10,
-        "bang": F.least(share(without("!")) * 10, F.lit(1.0)),
-        "lines": share(without("\n")) * 10,
-        "spaces": without(" "),
-    }
+#: the characters that a feature counts, by feature
+COUNTED = {"symbols": "*#&$%@{}<>|=~^", "digits": "0123456789", "upper": "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "marks": ".,;:?\"'()-", "bang": "!", "lines": "\n"}
+#: all others; single characters, as a class of ranges takes some ten times as long
+_OTHERS = "[^" + "".join(c if c.isalnum() or c == "\n" else "\\" + c for c in "".join(COUNTED.values())) + "]+"
+
+
+def features(docs: DataFrame) -> DataFrame:
+    """doc_id, uid, n_tokens, n_chars_, shares of characters by kind and number of spaces; 0 for empty texts.
+
+    A text is read twice: ``signs`` keeps the counted characters only, ``shape`` has one
+    letter for each word, so that the counts are of short texts.
+    """
+    t = F.coalesce("text", F.lit(""))
+    short = docs.select(
+        "doc_id", F.monotonically_increasing_id().alias("uid"), F.length(t).alias("n_chars_"),
+        F.regexp_replace(t, _OTHERS, "").alias("signs"), F.regexp_replace(t, r"[^ \t\n\r\f\x0b]+", "a").alias("shape"),
+    )
+    n = F.col("n_chars_")
+    among = lambda text, chars: F.length(text) - F.length(F.translate(text, chars, ""))
+    share = {c: F.when(n > 0, among("signs", chars) / n).otherwise(F.lit(0.0)) for c, chars in COUNTED.items()}
+    return short.select(
+        "doc_id", "uid", among("shape", "a").cast("long").alias("n_tokens"), "n_chars_",
+        F.least(share["symbols"] * 10, F.lit(1.0)).alias("symbols"), (share["digits"] * 10).alias("digits"), share["upper"].alias("upper"),
+        (share["marks"] * 10).alias("marks"), F.least(share["bang"] * 10, F.lit(1.0)).alias("bang"), (share["lines"] * 10).alias("lines"),
+        among("shape", " ").alias("spaces"),
+    )
 
 
 def _measured(docs: DataFrame) -> DataFrame:
     """doc_id, uid, n_tokens and the feature columns: the one pass over the texts."""
-    f = features(F.col("text"))
-    base = docs.select("doc_id", F.monotonically_increasing_id().alias("uid"), *(c.alias(k) for k, c in f.items()))
+    base = features(docs)
     size = F.log1p(F.col("n_chars_").cast("double")) / 10
     word = F.when(F.col("n_tokens") > 0, F.col("n_chars_") / F.col("n_tokens") / 10).otherwise(0.0)
     letters = F.when(F.col("n_chars_") > 0, F.col("spaces") / F.col("n_chars_")).otherwise(0.0)

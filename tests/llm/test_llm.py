@@ -297,6 +297,20 @@ def test_mixing_meets_targets(spark):
     assert mixing.mix(df, labels.limit(0), {1: 1.0}).count() == 121
 
 
+def test_mixing_reads_a_text_twice(spark):
+    texts = [None, "", " \x0b\x0c a\rb\t\n", "\u00e9A1!\U0001f600#  b c \n\n", "-a^|]\\[`_/+x", "   ", "x ", "ABC 0129.,;:?\"'()-*#&$%@{}<>|=~^!\n"]
+    got = mixing._measured(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    for r in got.collect():
+        t = texts[r["doc_id"]] or ""
+        n, words = max(len(t), 1), re.sub("[ \t\n\r\f\x0b]+", " ", t).split(" ")
+        share = {c: sum(x in chars for x in t) / n for c, chars in mixing.COUNTED.items()}
+        assert r["n_tokens"] == sum(w != "" for w in words) and r["letters"] == t.count(" ") / n
+        assert r["upper"] == share["upper"] and r["symbols"] == min(share["symbols"] * 10, 1) and r["bang"] == min(share["bang"] * 10, 1)
+        assert all(r[c] == share[c] * 10 for c in ("digits", "marks", "lines"))
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert not re.findall(r"(?:translate|split)\((?:coalesce\()?text#", plan) and len(re.findall(r"regexp_replace\(coalesce\(text#", plan)) == 2
+
+
 def test_toxicity_learns(spark):
     r = np.random.default_rng(0)
     words = [f"word{i}" for i in range(60)]
