@@ -42,6 +42,7 @@ FLUSH = 1 << 19  # n-grams, and FLUSH_TEXTS texts, that a worker gathers before
 FLUSH_TEXTS = 1 << 16
 SHARD = 1_000_000  # tokens of the corpus for each shard of the model
 CACHE = 250_000  # most words, and n-grams of an order, that are broadcast
+SLOT_BITS = 20  # slots of an index of keys
 LEAST = 2  # an n-gram seen so often is kept
 _HASHER = SpanHasher()
 
@@ -122,6 +123,27 @@ def unpack(blob: bytes, numbers: int) -> list[np.ndarray]:
     return [keys, *(np.ascontiguousarray(planes[i : i + 4].T).view(np.uint32).reshape(-1) for i in range(8, high, 4))]
 
 
+def _starts(keys: np.ndarray) -> np.ndarray:
+    """Where the keys (ascending) of each value of the upper SLOT_BITS bits start."""
+    return np.searchsorted(keys >> np.int64(64 - SLOT_BITS), np.arange((1 << SLOT_BITS) + 1) - (1 << (SLOT_BITS - 1))).astype(np.int32)
+
+
+def _found(keys: np.ndarray, starts: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(which of ``key`` are among the ``keys``, their places): hashes fill the slots evenly, so a
+    few steps from a slot's start find each, with less waiting for memory than a binary search."""
+    slot = (key >> np.int64(64 - SLOT_BITS)) + (1 << (SLOT_BITS - 1))
+    pos, end = starts[slot], starts[slot + 1]
+    live = np.flatnonzero(pos < end)
+    hit = np.zeros(len(key), bool)
+    while len(live):
+        same = keys[pos[live]] == key[live]
+        hit[live[same]] = True
+        live = live[~same]
+        pos[live] += 1
+        live = live[pos[live] < end[live]]
+    return hit, pos[hit]
+
+
 def _dealt(key: np.ndarray, shards: int):
     """(shard, positions) of sorted keys, shard by shard."""
     bounds = np.searchsorted(shard_of(key, shards), np.arange(shards + 1))
@@ -200,7 +222,8 @@ def ngram_counts(docs: DataFrame, filters, n: int, shards: int) -> DataFrame:
         def out():
             prefix, suffix, num = held[0]
             shard = shard_of(chained(prefix, suffix), shards)
-            order = np.lexsort((prefix.view(np.uint64), shard))
+            by = np.argsort(prefix.view(np.uint64))
+            order = by[np.argsort(shard[by].astype(np.int16 if shards < 1 << 15 else np.int64), kind="stable")]  # 16 bits: by radix
             bounds = np.searchsorted(shard[order], np.arange(shards + 1))
             for s in np.flatnonzero(np.diff(bounds)):
                 at = order[bounds[s] : bounds[s + 1]]
@@ -336,25 +359,26 @@ def _terms(counts: DataFrame, levels: list[DataFrame], space: float, discount: f
     """A table (key, c, total, score) a level: the score that one occurrence adds to a text's.
 
     c is a word's count in training rows, -1 for n-grams. Each step is stored, so that the
-    disk holds one join's shuffles at a time.
+    disk holds one join's shuffles at a time. Each join hashes its side of distinct keys, a
+    shuffle partition of it at a time, so the larger side is not sorted.
     """
     p = (F.col("train") + 1) / F.lit(space)
     low = counts.where("total > 1").select("key", F.col("train").alias("c"), F.col("train").alias("seen"), "total", p.alias("p"), F.log10(p).alias("gain"))
     out: list[DataFrame] = []
     stored: list[DataFrame] = []
     for k, g in enumerate(levels, 2):
-        below = common.written(g.join(low.select(F.col("key").alias("suffix"), F.col("p").alias("below")), "suffix").select("key", "prefix", "c", "below"), "lm-below")
+        below = common.written(g.join(low.select(F.col("key").alias("suffix"), F.col("p").alias("below")).hint("shuffle_hash"), "suffix").select("key", "prefix", "c", "below"), "lm-below")
         common.discard(g)
         mass = below.groupBy("prefix").agg(F.sum(F.col("c") - discount).alias("mass"), F.sum("below").alias("below"))
         left = lambda x: F.greatest(1 - x, F.lit(1e-9))
         bo = F.log10(left(F.col("mass") / F.col("seen")) / left(F.col("below")))
-        context = mass.join(low.select(F.col("key").alias("prefix"), "seen"), "prefix").select("prefix", "seen", bo.alias("bo"))
+        context = low.select(F.col("key").alias("prefix"), "seen").join(mass.hint("shuffle_hash"), "prefix").select("prefix", "seen", bo.alias("bo"))
         context = common.written(context, "lm-contexts")
         weight = context.select(F.col("prefix").alias("key"), "bo")
-        out.append(common.written(low.join(weight, "key", "left").select("key", "c", "total", (F.col("gain") + F.coalesce("bo", F.lit(0.0))).alias("score")), f"lm-terms-{k - 1}"))
+        out.append(common.written(low.join(weight.hint("shuffle_hash"), "key", "left").select("key", "c", "total", (F.col("gain") + F.coalesce("bo", F.lit(0.0))).alias("score")), f"lm-terms-{k - 1}"))
         p = (F.col("c") - discount) / F.col("seen")
         gain = F.log10(p) - F.col("bo") - F.log10("below")
-        low = below.join(context, "prefix").select("key", F.lit(-1).cast("long").alias("c"), F.col("c").alias("seen"), F.col("c").alias("total"), p.alias("p"), gain.alias("gain"))
+        low = below.join(context.hint("shuffle_hash"), "prefix").select("key", F.lit(-1).cast("long").alias("c"), F.col("c").alias("seen"), F.col("c").alias("total"), p.alias("p"), gain.alias("gain"))
         low = common.written(low, f"lm-level-{k}")
         common.discard(below, context, *stored)
         stored = [low]
@@ -423,15 +447,16 @@ def score_documents(
     def send(batches):
         keys, c, score = cache.value
         add = [*weights(c), score]
+        starts = _starts(keys)
 
         def look(key, doc, sums):
             """Adds the cached terms to the texts' sums; gives the rest of the keys."""
             if not len(keys):
                 return key, doc
-            pos = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
-            hit = keys[pos] == key
+            hit, pos = _found(keys, starts, key)
+            of = doc[hit]
             for name, w in zip(("known", "base", "score"), add):
-                sums[name] += np.bincount(doc[hit], w[pos[hit]], len(sums[name]))
+                sums[name] += np.bincount(of, w[pos], len(sums[name]))
             return key[~hit], doc[~hit]
 
         texts_held: list[tuple] = []
