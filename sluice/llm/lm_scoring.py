@@ -37,7 +37,7 @@ from .spans import SpanHasher
 from .substring_dedup import word_bounds
 
 END_KEY = np.int64(0x5EED0E4D0F7E8753)  # the end token, which is no word
-CHUNK = 1 << 20  # characters handled at once by a worker
+CHUNK = 1 << 17  # characters handled at once by a worker: their arrays stay in the processor's cache
 FLUSH = 1 << 19  # n-grams, and FLUSH_TEXTS texts, that a worker gathers before it sends them on
 FLUSH_TEXTS = 1 << 16
 SHARD = 1_000_000  # tokens of the corpus for each shard of the model
@@ -112,8 +112,11 @@ def pack(keys: np.ndarray, *numbers: np.ndarray) -> bytes:
     """Keys in ascending unsigned order as deltas, and 32-bit numbers, byte plane by byte plane."""
     n = len(keys)
     delta = np.diff(keys.view(np.uint64), prepend=np.uint64(0))
-    planes = [delta.view(np.uint8).reshape(n, 8).T, *(x.astype(np.uint32).view(np.uint8).reshape(n, 4).T for x in numbers)]
-    return n.to_bytes(8, "little") + pa.compress(np.concatenate(planes).tobytes(), codec="zstd", asbytes=True)
+    planes = np.empty((8 + 4 * len(numbers), n), np.uint8)
+    planes[:8] = delta.view(np.uint8).reshape(n, 8).T
+    for i, x in enumerate(numbers):
+        planes[8 + 4 * i : 12 + 4 * i] = x.astype(np.uint32).view(np.uint8).reshape(n, 4).T
+    return n.to_bytes(8, "little") + pa.compress(planes, codec="zstd", asbytes=True)
 
 
 def unpack(blob: bytes, numbers: int) -> list[np.ndarray]:
@@ -144,6 +147,13 @@ def _found(keys: np.ndarray, starts: np.ndarray, key: np.ndarray) -> tuple[np.nd
     return hit, pos[hit]
 
 
+def _groups(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(an order of the keys, where each distinct key starts in it): an unstable sort, the quickest."""
+    order = np.argsort(key)
+    key = key[order]
+    return order, np.flatnonzero(np.diff(key, prepend=~key[:1]))
+
+
 def _dealt(key: np.ndarray, shards: int):
     """(shard, positions) of sorted keys, shard by shard."""
     bounds = np.searchsorted(shard_of(key, shards), np.arange(shards + 1))
@@ -167,8 +177,8 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
         def merged():
             key, train, total = (np.concatenate(x) for x in zip(*held))
-            uniq, inv = np.unique(key, return_inverse=True)
-            return uniq, np.bincount(inv, train, len(uniq)).astype(np.int64), np.bincount(inv, total, len(uniq)).astype(np.int64)
+            order, start = _groups(key)
+            return key[order[start]], np.add.reduceat(train[order], start), np.add.reduceat(total[order], start)
 
         for b in batches:
             train, texts = b.column(0).to_numpy(zero_copy_only=False).astype(np.int64), b.column(1).to_pylist()
@@ -216,8 +226,8 @@ def ngram_counts(docs: DataFrame, filters, n: int, shards: int) -> DataFrame:
 
         def merged():
             prefix, suffix, num = (np.concatenate(x) for x in zip(*held))
-            _, first, inv = np.unique(chained(prefix, suffix), return_index=True, return_inverse=True)
-            return prefix[first], suffix[first], np.bincount(inv, num, len(first)).astype(np.int64)
+            order, start = _groups(chained(prefix, suffix))
+            return prefix[order[start]], suffix[order[start]], np.add.reduceat(num[order], start)
 
         def out():
             prefix, suffix, num = held[0]
@@ -258,10 +268,11 @@ def ngram_counts(docs: DataFrame, filters, n: int, shards: int) -> DataFrame:
         parts = [unpack(x, 3) for x in table.column("body").to_pylist()]
         prefix, low, high, num = (np.concatenate(x) for x in zip(*parts))
         suffix = np.ascontiguousarray(np.stack([low, high], 1)).view(np.int64).reshape(-1)
-        key, first, inv = np.unique(chained(prefix, suffix), return_index=True, return_inverse=True)
-        c = np.bincount(inv, num, len(key)).astype(np.int64)
-        ok = c >= LEAST
-        return pa.table({"key": key[ok], "prefix": prefix[first[ok]], "suffix": suffix[first[ok]], "c": c[ok]})
+        key = chained(prefix, suffix)
+        order, start = _groups(key)
+        c = np.add.reduceat(num[order].astype(np.int64), start)
+        at = order[start[c >= LEAST]]
+        return pa.table({"key": key[at], "prefix": prefix[at], "suffix": suffix[at], "c": c[c >= LEAST]})
 
     part = docs.where("train").select("text").mapInArrow(run, "shard int, body binary")
     return part.groupBy("shard").applyInArrow(keep, "key long, prefix long, suffix long, c long")
@@ -371,16 +382,17 @@ def _terms(counts: DataFrame, levels: list[DataFrame], space: float, discount: f
         common.discard(g)
         mass = below.groupBy("prefix").agg(F.sum(F.col("c") - discount).alias("mass"), F.sum("below").alias("below"))
         left = lambda x: F.greatest(1 - x, F.lit(1e-9))
-        bo = F.log10(left(F.col("mass") / F.col("seen")) / left(F.col("below")))
-        context = low.select(F.col("key").alias("prefix"), "seen").join(mass.hint("shuffle_hash"), "prefix").select("prefix", "seen", bo.alias("bo"))
-        context = common.written(context, "lm-contexts")
-        weight = context.select(F.col("prefix").alias("key"), "bo")
-        out.append(common.written(low.join(weight.hint("shuffle_hash"), "key", "left").select("key", "c", "total", (F.col("gain") + F.coalesce("bo", F.lit(0.0))).alias("score")), f"lm-terms-{k - 1}"))
+        bo = F.when(F.col("mass").isNotNull(), F.log10(left(F.col("mass") / F.col("seen")) / left(F.col("below"))))
+        # one join gives both the terms and the contexts among them
+        nodes = low.join(mass.withColumnRenamed("prefix", "key").hint("shuffle_hash"), "key", "left").withColumn("bo", bo)
+        nodes = common.written(nodes.select("key", "c", "total", "seen", "bo", (F.col("gain") + F.coalesce("bo", F.lit(0.0))).alias("score")), "lm-nodes")
+        out.append(common.written(nodes.select("key", "c", "total", "score"), f"lm-terms-{k - 1}"))
+        context = nodes.where("bo is not null").select(F.col("key").alias("prefix"), "seen", "bo")
         p = (F.col("c") - discount) / F.col("seen")
         gain = F.log10(p) - F.col("bo") - F.log10("below")
         low = below.join(context.hint("shuffle_hash"), "prefix").select("key", F.lit(-1).cast("long").alias("c"), F.col("c").alias("seen"), F.col("c").alias("total"), p.alias("p"), gain.alias("gain"))
         low = common.written(low, f"lm-level-{k}")
-        common.discard(below, context, *stored)
+        common.discard(below, nodes, *stored)
         stored = [low]
     last = low.select("key", "c", "total", F.col("gain").alias("score"))
     return [*out, last if stored else common.written(last, "lm-terms-1")]
@@ -446,17 +458,17 @@ def score_documents(
 
     def send(batches):
         keys, c, score = cache.value
-        add = [*weights(c), score]
+        add = dict(zip(("known", "base", "score"), (*weights(c), score)))
         starts = _starts(keys)
 
-        def look(key, doc, sums):
-            """Adds the cached terms to the texts' sums; gives the rest of the keys."""
+        def look(key, doc, sums, names):
+            """Adds the cached terms to these of the texts' sums; gives the rest of the keys."""
             if not len(keys):
                 return key, doc
             hit, pos = _found(keys, starts, key)
             of = doc[hit]
-            for name, w in zip(("known", "base", "score"), add):
-                sums[name] += np.bincount(of, w[pos], len(sums[name]))
+            for name in names:
+                sums[name] += np.bincount(of, add[name][pos], len(sums[name]))
             return key[~hit], doc[~hit]
 
         texts_held: list[tuple] = []
@@ -471,7 +483,7 @@ def score_documents(
             rows = [(block % shards, 0, _ipc(pa.RecordBatch.from_arrays(columns, names=names)))]
             for kind, held in enumerate(grams, 1):
                 key, doc = (np.concatenate(x) for x in zip(*held))
-                by = np.argsort(key.view(np.uint64), kind="stable")
+                by = np.argsort(key.view(np.uint64))
                 key, doc = key[by], doc[by]
                 rows += [(s, kind, pack(key[at], doc[at])) for s, at in _dealt(key, shards)]
             for s, kind, body in rows:
@@ -483,7 +495,7 @@ def score_documents(
                 ids, doc = _hashed(texts[lo:hi])
                 m = hi - lo
                 sums = {x: np.zeros(m) for x in _SUMS}
-                key, of = look(ids, doc, sums)
+                key, of = look(ids, doc, sums, add)
                 ok = _maybe(bits.value[0], key)
                 # a word that occurs once in all: here
                 sums["single"] += np.bincount(of[~ok], minlength=m)
@@ -493,7 +505,7 @@ def score_documents(
                     key, at = _next(key, at, doc, k)
                     ok = _maybe(f, key)
                     key, at = key[ok], at[ok]
-                    rest, of = look(key, doc[at], sums)
+                    rest, of = look(key, doc[at], sums, ["score"])  # an n-gram's others are 0
                     grams[1].append((rest, of + docs_held))
                 if len(bits.value) == 1:
                     grams[1].append((np.empty(0, np.int64), np.empty(0, np.int64)))
@@ -522,7 +534,8 @@ def score_documents(
             pos = np.minimum(np.searchsorted(key, want), max(len(key) - 1, 0))
             hit = key[pos] == want if len(key) else np.zeros(len(want), bool)
             m = int(doc.max()) + 1
-            sums = {x: np.bincount(doc[hit], w[pos[hit]], m) for x, w in (("known", known), ("base", base), ("score", score))}
+            of, at = doc[hit], pos[hit]
+            sums = {x: np.bincount(of, w[at], m) if kind == 1 or x == "score" else np.zeros(m) for x, w in (("known", known), ("base", base), ("score", score))}
             # words that the filter let through though they occur once; other n-grams are none of the model
             sums["single"] = np.bincount(doc[~hit], minlength=m).astype(np.float64) if kind == 1 else np.zeros(m)
             touched = np.unique(doc)

@@ -120,6 +120,24 @@ def test_lm_keeps_every_repeated_ngram(spark, cached, monkeypatch):
         assert (got[i]["n_known"], got[i]["held_out"]) == (sum(uni[(w,)] > 0 for w in x), not train(i))
 
 
+def test_lm_groups_and_finds_keys_without_stable_sorts():
+    r = np.random.default_rng(5)
+    ends = np.array([-(2**63), -1, 0, 2**63 - 1])
+    some = np.concatenate([r.integers(-(2**63), 2**63 - 1, 3000), ends])
+    for key in (r.choice(some, 9000), ends[:1], ends[:0]):
+        order, start = lm_scoring._groups(key)
+        uniq, count = np.unique(key, return_counts=True)
+        assert np.array_equal(key[order[start]], uniq)
+        assert np.array_equal(np.add.reduceat(np.ones(len(key), np.int64)[order], start), count)
+        want = r.permutation(np.concatenate([some, r.integers(-(2**63), 2**63 - 1, 500)]))
+        hit, pos = lm_scoring._found(uniq, lm_scoring._starts(uniq), want)
+        assert np.array_equal(hit, np.isin(want, uniq)) and np.array_equal(uniq[pos], want[hit])
+        by = np.sort(key.view(np.uint64)).view(np.int64)
+        num = np.arange(len(by)) * 70001
+        got = lm_scoring.unpack(lm_scoring.pack(by, num), 1)
+        assert np.array_equal(got[0], by) and np.array_equal(got[1], num.astype(np.uint32))
+
+
 def test_substring_dedup_equals_brute_force(spark):
     base = ["".join(chr(97 + (i * 7919 + j * j * 31 + i * j) % 26) for j in range(900)) for i in range(3)]
     texts = ["", None, "z" * 900, base[0], base[0], base[1][:500] + base[0][100:600], "é" * 300, "Der " * 250, base[2] + base[2][:420]]
