@@ -95,6 +95,14 @@ def ranges(first: np.ndarray, last: np.ndarray) -> np.ndarray:
     return np.arange(n.sum()) + np.repeat(first - (np.cumsum(n) - n), n)
 
 
+_YES, _NO = np.ones(1, bool), np.zeros(1, bool)
+
+
+def _after(first: np.ndarray, rest: np.ndarray) -> np.ndarray:
+    """The two in a row; texts are many and short, and np.r_ takes longer than the joining."""
+    return np.concatenate([first, rest])
+
+
 def union(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Union of spans [start, end) as maximal runs, ascending; touching spans are one run."""
     if not len(start):
@@ -102,7 +110,7 @@ def union(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     order = np.argsort(start, kind="stable")
     start, end = start[order], np.maximum.accumulate(end[order])
     gap = start[1:] > end[:-1]
-    return start[np.r_[True, gap]], end[np.r_[gap, True]]
+    return start[_after(_YES, gap)], end[_after(gap, _YES)]
 
 
 #: windows of 400 bytes hold some eight triggers of bytes, windows of 50 words some six of words
@@ -161,9 +169,10 @@ def _stretches(wh: np.ndarray, bare: np.ndarray, first: np.ndarray, last: np.nda
     distinct hashes stand for it, once more (under an index of its own) where the text
     itself repeats them."""
     uniq, inv, count = np.unique(wh, return_inverse=True, return_counts=True)
-    head = np.flatnonzero(np.r_[True, bare[1:] != bare[:-1] + 1])
-    tail = np.append(head[1:], len(bare)) - 1
-    run = np.cumsum(np.r_[False, bare[1:] != bare[:-1] + 1])
+    gap = bare[1:] != bare[:-1] + 1
+    head = np.flatnonzero(_after(_YES, gap))
+    tail = _after(head[1:], [len(bare)]) - 1
+    run = np.cumsum(_after(_NO, gap))
     pair = np.unique(run * np.int64(len(uniq)) + inv)
     pr, pu = pair // len(uniq), pair % len(uniq)
     twin = count[pu] > 1
@@ -197,9 +206,9 @@ def classes_of(text: bytes, regions: tuple[np.ndarray, np.ndarray], length: int
     i = before[p]
     j = before[p + length - unit.trigger + 1] - 1
     bare = j - i < 1
-    new = np.r_[True, (i[1:] != i[:-1]) | (j[1:] != j[:-1]) | (p[1:] != p[:-1] + 1) | bare[1:] | bare[:-1]]
+    new = _after(_YES, (i[1:] != i[:-1]) | (j[1:] != j[:-1]) | (p[1:] != p[:-1] + 1) | bare[1:] | bare[:-1])
     head = np.flatnonzero(new)
-    tail = np.append(head[1:], len(p)) - 1
+    tail = _after(head[1:], [len(p)]) - 1
     a, b = p[head], p[tail]
     lone = bare[head]
     ti = t[np.minimum(i[head], len(t) - 1)] if len(t) else np.zeros(len(head), np.int64)
@@ -214,13 +223,13 @@ def classes_of(text: bytes, regions: tuple[np.ndarray, np.ndarray], length: int
         return cols
     order = at[np.lexsort((at, whole[at], run[at]))]
     same = (run[order][1:] == run[order][:-1]) & (whole[order][1:] == whole[order][:-1])
-    again = np.sort(order[np.r_[same, False] | np.r_[False, same]])
+    again = np.sort(order[_after(same, _NO) | _after(_NO, same)])
     if not len(again):
         return cols
     drop = np.zeros(len(a), bool)
     drop[order[1:][same]] = True
-    head = np.flatnonzero(np.r_[True, a[again][1:] != a[again][:-1] + 1])
-    tail = np.append(head[1:], len(again)) - 1
+    head = np.flatnonzero(_after(_YES, a[again][1:] != a[again][:-1] + 1))
+    tail = _after(head[1:], [len(again)]) - 1
     zero = np.zeros(len(head), np.int64)
     sure = [zero + 2, zero, zero, a[again][head], a[again][tail]]
     return [np.concatenate([c[~drop], x]) for c, x in zip(cols, sure)]
@@ -353,11 +362,12 @@ def repeated_spans(docs: DataFrame, kinds: tuple = ((LENGTH, BYTES),)):
     runs = kept.withColumn("run", F.when(F.col("i") < 0, F.col("i")).otherwise(F.col("i") - F.row_number().over(w) + F.lit(1 << 30)))
     runs = runs.groupBy("x1", "run").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where(F.col("hi") - F.col("lo") >= least)
     regions = runs.groupBy("x1").agg(F.collect_list(F.struct("lo", "hi")).alias("regions"))
-    wanted = regions.join(texts, "x1").select(F.col("x1").alias("w1"), F.col("x2").alias("w2"), "first", "copies", "regions")
+    wanted = texts.join(regions.hint("shuffle_hash"), "x1").select(F.col("x1").alias("w1"), F.col("x2").alias("w2"), "first", "copies", "regions")
     wanted = common.written(wanted, "pfp-wanted")
     common.discard(found)
     near = common.thinned(src, "x1", wanted, "w1")
-    fetched = near.join(wanted, (F.col("x1") == F.col("w1")) & (F.col("x2") == F.col("w2")) & F.col("doc_id").eqNullSafe(F.col("first")))
+    # the small side is hashed in this and the later joins, so that no text is sorted
+    fetched = near.join(wanted.hint("shuffle_hash"), (F.col("x1") == F.col("w1")) & (F.col("x2") == F.col("w2")) & F.col("doc_id").eqNullSafe(F.col("first")))
     touched = common.written(fetched.select(F.monotonically_increasing_id().alias("uid"), "x1", "x2", "first", "copies", "regions", "t"), "pfp-touched")
 
     spans = [_spans_of(touched, length, unit) for length, unit in kinds]
@@ -387,12 +397,12 @@ def _spans_of(touched: DataFrame, length: int, unit: Unit) -> DataFrame:
     by_class = runs_only.join(kinds.where("twice").select("k", "f").hint("shuffle_hash"), ["k", "f"], "left_semi").select("uid", *span)
     # runs that stand between different outer phrases, at least one of them alone
     edge = kinds.groupBy("k").agg(F.count("*").alias("c"), F.bool_or(~F.col("twice")).alias("alone")).where("c > 1 and alone")
-    edge_kinds = kinds.join(edge.select("k"), "k", "left_semi").select("id")
+    edge_kinds = kinds.join(edge.select("k").hint("shuffle_hash"), "k", "left_semi").select("id")
     certain = marked.where("kind = 2").select("uid", *span)
     single = marked.where("kind = 1")
-    direct = single.join(_twice(single, ["k", "f"]).select("k", "f"), ["k", "f"], "left_semi").select("uid", *span)
+    direct = single.join(_twice(single, ["k", "f"]).select("k", "f").hint("shuffle_hash"), ["k", "f"], "left_semi").select("uid", *span)
     # one occurrence of each edge class is compared window by window
-    look = runs_only.select("id", "uid", "a", "b").join(edge_kinds, "id", "left_semi").groupBy("uid").agg(F.collect_list(F.struct("a", "b")).alias("look"))
+    look = runs_only.select("id", "uid", "a", "b").join(edge_kinds.hint("shuffle_hash"), "id", "left_semi").groupBy("uid").agg(F.collect_list(F.struct("a", "b")).alias("look"))
 
     def to_windows(batches):
         for b in batches:
@@ -400,7 +410,7 @@ def _spans_of(touched: DataFrame, length: int, unit: Unit) -> DataFrame:
                 h1, h2, p = window_hashes(t, spans, length, unit)
                 yield pa.RecordBatch.from_arrays([pa.array(h1), pa.array(h2), pa.array(np.full(len(p), uid, np.int64)), pa.array(p.astype(np.int32))], names=["h1", "h2", "uid", "p"])
 
-    windows = touched.join(look, "uid").select("uid", "look", "t").mapInArrow(to_windows, "h1 long, h2 long, uid long, p int")
+    windows = touched.join(look.hint("shuffle_hash"), "uid").select("uid", "look", "t").mapInArrow(to_windows, "h1 long, h2 long, uid long, p int")
     stored = common.written(windows, "pfp-windows")
     windows = stored.withColumn("id", F.xxhash64("uid", "p"))
     by_window = windows.join(_twice(windows, ["h1", "h2"]).select("h1", "h2").hint("shuffle_hash"), ["h1", "h2"], "left_semi").select("uid", F.col("p").alias("s"), (F.col("p") + length).alias("e"))
@@ -410,7 +420,7 @@ def _spans_of(touched: DataFrame, length: int, unit: Unit) -> DataFrame:
         gathered.append(common.written(part.groupBy("uid").agg(F.collect_list(F.struct("s", "e")).alias("spans")), "pfp-spans"))
         common.discard(*spent)
     spans = gathered[0].union(gathered[1]).groupBy("uid").agg(F.flatten(F.collect_list("spans")).alias("spans"))
-    return touched.join(spans, "uid")
+    return touched.join(spans.hint("shuffle_hash"), "uid")
 
 
 def _cut_texts(texts: DataFrame, found: DataFrame, kind: int, length: int, unit: Unit, texts_out: bool = False) -> DataFrame:

@@ -176,6 +176,19 @@ def test_one_parse_serves_bytes_and_words(spark):
         assert len(got) == (6, 4)[k]  # words: the passage in three texts, and "ab" over and over
 
 
+def test_repeated_spans_sort_no_texts(spark, capsys):
+    text = " ".join(f"w{i * i % 97}{i}" for i in range(200))
+    docs = spark.createDataFrame([(1, text), (2, text + " x")], "doc_id long, text string").repartition(3)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        _, _, (found,) = substring_dedup.repeated_spans(docs)
+        found.explain()
+        assert "ShuffledHashJoin" in (plan := capsys.readouterr().out) and "SortMergeJoin" not in plan
+        assert found.count() == 2
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_op5_reports_passages_of_fifty_words(spark, tmp_path):
     short = " ".join(f"a{i}" for i in range(52))  # under 400 bytes
     texts = [f"{short} tail one", f"head {short}", "other text " * 3, None, "", short[:150], "x " * 60]
